@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propago.llm import bpe, substrings
+from propago.llm import bpe, simhash, substrings
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -27,6 +27,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP1_SQL = """
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -45,5 +49,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM words LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe}
+QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op6_simhash": op6_simhash}
 ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL}
