@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propago.llm import bpe, simhash, substrings
+from propago.llm import bpe, decontaminate, simhash, substrings
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -31,6 +31,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.match(docs, _table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 OP1_SQL = """
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -49,5 +56,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM words LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op6_simhash": op6_simhash}
-ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL}
+OP8_SQL = """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
+  FROM item_words, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0
+), found AS (
+  SELECT doc_id, i, n, item_id
+  FROM (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS win
+        FROM words, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) AS t(i))
+  JOIN windows USING (n, win)
+), hits AS (
+  SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n_hit FROM found, unnest(range(0, n)) AS t(j) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate}
+ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op8_decontaminate": OP8_SQL}
