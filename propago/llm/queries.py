@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propago.llm import bpe, decontaminate, simhash, substrings
+from propago.llm import bpe, decontaminate, pii, simhash, substrings
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,6 +38,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.detect(docs, pii.fit(docs))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return out.select("doc_id", *map(n, ("email", "ip", "card", "phone")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 OP1_SQL = """
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -80,5 +88,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op8_decontaminate": OP8_SQL}
