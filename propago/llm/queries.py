@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propago.llm import bpe, decontaminate, pii, simhash, substrings
+from propago.llm import bpe, decontaminate, pii, simhash, substrings, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -27,6 +27,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(spark, warc.archive(_table(spark, sf_dir, "pages")), payloads=False).filter("error IS NULL")
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -88,5 +93,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate, "op10_pii": op10_pii}
-ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op8_decontaminate": OP8_SQL}
+OP3_SQL = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), coded AS (
+  SELECT page_id, payload_bytes, hex, max(page_id) OVER (PARTITION BY hex) AS largest,
+    array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+      1 + ((('0x' || hex[(i // 4) * 5 + 1 : (i // 4) * 5 + 5])::BIGINT >> (15 - 5 * (i % 4))) & 31)]), '') AS payload_digest
+  FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM coded
+"""
+
+QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate, "op10_pii": op10_pii}
+ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op3_warc": OP3_SQL, "op8_decontaminate": OP8_SQL}
