@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propago.llm import bpe, decontaminate, pii, simhash, substrings, warc
+from propago.llm import bpe, decontaminate, pii, sharding, simhash, substrings, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -32,6 +32,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Bytes of text in a shard at most.
+SHARD_LIMIT = 1 << 20
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_LIMIT)
+    return out.select("doc_id", "shard_id", F.col("shard_depth").cast("long").alias("shard_depth"), "shard_bytes")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -107,5 +116,19 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = largest THEN
 FROM coded
 """
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate, "op10_pii": op10_pii}
-ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op3_warc": OP3_SQL, "op8_decontaminate": OP8_SQL}
+OP4_SQL = """
+WITH hashed AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, ('0x' || md5('v' || doc_id)[1:12])::BIGINT AS h FROM documents
+), paths AS (
+  SELECT doc_id, bytes, d, h >> (48 - d) AS prefix, lpad(bin(h), 48, '0')[1:d] AS bits FROM hashed, unnest(range(0, 41)) AS t(d)
+), buckets AS (
+  SELECT d, prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS n FROM paths GROUP BY d, prefix
+), leaves AS (
+  SELECT doc_id, bits, d, shard_bytes, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS k
+  FROM paths JOIN buckets USING (d, prefix) WHERE shard_bytes <= 1048576 OR n = 1
+)
+SELECT doc_id, bits AS shard_id, d::BIGINT AS shard_depth, shard_bytes FROM leaves WHERE k = 1
+"""
+
+QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_sharding": op4_sharding, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate, "op10_pii": op10_pii}
+ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op3_warc": OP3_SQL, "op4_sharding": OP4_SQL, "op8_decontaminate": OP8_SQL}
