@@ -10,8 +10,8 @@ QUANTILES = 10_000
 NULLS_LAST = (1 << 63) - 1
 
 
-def range_block(df: DataFrame, key: str, rows_per_block: int) -> tuple[Column, int]:
-    """A column that deals the key's ranges to blocks numbered in key order, and the number of blocks.
+def range_block(df: DataFrame, key: str, rows_per_block: int) -> tuple[Column, int, list[int]]:
+    """A column that deals the key's ranges to blocks numbered in key order, their number, and their inner bounds.
 
     Null keys count as the largest. Equal keys share a block. The driver gets at most QUANTILES numbers. An empty
     table has one block.
@@ -25,7 +25,7 @@ def range_block(df: DataFrame, key: str, rows_per_block: int) -> tuple[Column, i
         steps = [i / coarse for i in range(coarse + 1)]
         cuts = sorted(set(df.select(F.percentile_approx(k, steps, 2 * QUANTILES)).first()[0]))
     if len(cuts) < 3:
-        return F.lit(0), 1
+        return F.lit(0), 1, []
     inner = cuts[1:-1]
     width = max(1, int(len(inner) ** 0.5))
     groups = [inner[i : i + width] for i in range(0, len(inner), width)]
@@ -35,8 +35,8 @@ def range_block(df: DataFrame, key: str, rows_per_block: int) -> tuple[Column, i
     at = F.when(top == 0, F.lit(0)).otherwise((top - 1) * width + F.size(F.filter(F.get(table, top - 1), lambda x: x <= k)))
     fine = -(-wanted // coarse)
     if fine == 1:
-        return at.cast("int"), len(inner) + 1
+        return at.cast("int"), len(inner) + 1, inner
     bounds = F.array(*(F.lit(x).cast("double") for x in cuts))
     low, high = F.get(bounds, at), F.get(bounds, at + 1)
     sub = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((k - low) * fine / F.greatest(high - low, F.lit(1.0)))))
-    return (at * fine + sub).cast("long"), (len(inner) + 1) * fine
+    return (at * fine + sub).cast("long"), (len(inner) + 1) * fine, inner

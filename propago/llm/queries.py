@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propago.llm import bpe, decontaminate, pii, sharding, simhash, substrings, warc
+from propago.llm import bpe, decontaminate, fingerprints, pii, sharding, simhash, substrings, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -41,6 +41,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "shard_id", F.col("shard_depth").cast("long").alias("shard_depth"), "shard_bytes")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -130,5 +134,5 @@ WITH hashed AS (
 SELECT doc_id, bits AS shard_id, d::BIGINT AS shard_depth, shard_bytes FROM leaves WHERE k = 1
 """
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_sharding": op4_sharding, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate, "op10_pii": op10_pii}
+QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_sharding": op4_sharding, "op5_fingerprints": op5_fingerprints, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op3_warc": OP3_SQL, "op4_sharding": OP4_SQL, "op8_decontaminate": OP8_SQL}

@@ -187,7 +187,7 @@ def remove_repeats(
     ]
     kept = [c for c in df.columns if c not in {f.name for f in added}]
     schema = StructType([*(df.schema[c] for c in kept), *added])
-    block, n_blocks = range_block(df, key, block_docs)
+    block, _, _ = range_block(df, key, block_docs)
     size = df.select(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     n_buckets = max(1, size // (6 * bucket_windows))
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (16 << 20))
