@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propago.llm import bpe, decontaminate, fingerprints, pii, sharding, simhash, substrings, warc
+from propago.llm import bpe, decontaminate, fingerprints, langid, pii, sharding, simhash, substrings, toxicity, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -49,6 +49,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, _table(spark, sf_dir, "labels")).drop("clauses")
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    out = langid.predict(docs.drop("lang"), model)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.match(docs, _table(spark, sf_dir, "benchmark"))
@@ -134,5 +146,5 @@ WITH hashed AS (
 SELECT doc_id, bits AS shard_id, d::BIGINT AS shard_depth, shard_bytes FROM leaves WHERE k = 1
 """
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_sharding": op4_sharding, "op5_fingerprints": op5_fingerprints, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate, "op10_pii": op10_pii}
+QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_sharding": op4_sharding, "op5_fingerprints": op5_fingerprints, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op9_langid": op9_langid, "op8_decontaminate": op8_decontaminate, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op3_warc": OP3_SQL, "op4_sharding": OP4_SQL, "op8_decontaminate": OP8_SQL}
