@@ -1,5 +1,6 @@
 """The registry of queries and of their DuckDB twins."""
 
+from propago.plans import registry, sequence_queries, summary_queries  # noqa: F401
+
 FLAGSHIP = "orders_summary"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
