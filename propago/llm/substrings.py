@@ -81,7 +81,7 @@ def intervals(mask: np.ndarray) -> list[tuple[int, int]]:
 _PACKED = "bucket int, block long, hashes binary"
 
 
-def _pack_blocks(window: int, n_buckets: int):
+def _pack_blocks(window: int, n_buckets: int, text_at: int):
     edges = ((np.arange(1, n_buckets, dtype=object) << 64) // n_buckets).astype(np.uint64)
 
     def flush(block, held):
@@ -96,7 +96,8 @@ def _pack_blocks(window: int, n_buckets: int):
     def run(batches):
         block, held, size = None, [], 0
         for batch in batches:
-            for b, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            texts = batch.column(text_at).cast(pa.binary())
+            for b, text in zip(batch.column(batch.num_columns - 1).to_pylist(), texts):
                 if held and (b != block or size >= FLUSH):
                     yield flush(block, held)
                     held, size = [], 0
@@ -128,10 +129,10 @@ def _seen_earlier(_, table):
     return pa.table({"block": pa.array(found, pa.int64()), "hashes": pa.array([pack(p) for p in np.split(x, at[1:])] if len(x) else [], pa.binary())})
 
 
-def _clean(window: int, n_kept: int, names: list[str]):
+def _clean(window: int, n_kept: int, names: list[str], text_at: int):
     def run(_, docs, seen):
         keys = docs.column("__key").to_numpy()
-        words = [(t.as_py() or b"").split() for t in docs.column("__text")]
+        words = [(t.as_py() or b"").split() for t in docs.column(text_at).cast(pa.binary())]
         hashes = [window_hashes(w, window) for w in words]
         sizes = [len(x) for x in hashes]
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
@@ -186,17 +187,18 @@ def remove_repeats(
         StructField("removed", ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))),
     ]
     kept = [c for c in df.columns if c not in {f.name for f in added}]
-    schema = StructType([*(df.schema[c] for c in kept), *added])
+    schema = StructType([*(StructField(c, StringType()) if c == text_col else df.schema[c] for c in kept), *added])
     block, _, _ = range_block(df, key, block_docs)
     size = df.select(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     n_buckets = max(1, size // (6 * bucket_windows))
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (16 << 20))
-    docs = df.select(
-        *(F.col(f"`{c}`") for c in kept),
-        F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULLS_LAST)).alias("__key"),
-        F.col(f"`{text_col}`").cast("string").cast("binary").alias("__text"),
-        block.cast("long").alias("__block"),
-    ).repartition(parts, "__block")
-    packed = docs.select("__block", "__text").mapInArrow(_pack_blocks(window, n_buckets), _PACKED)
+    # Both steps read all columns, so that Spark makes one shuffle of the texts and reads it twice.
+    text = F.col(f"`{text_col}`").cast("string")
+    kept_columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
+    text_at = kept.index(text_col) if text_col in kept else len(kept)
+    spare = [] if text_col in kept else [text.alias("__text")]
+    ordered = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULLS_LAST)).alias("__key")
+    docs = df.select(*kept_columns, *spare, ordered, block.cast("long").alias("__block")).repartition(parts, "__block")
+    packed = docs.mapInArrow(_pack_blocks(window, n_buckets, text_at), _PACKED)
     seen = packed.groupBy("bucket").applyInArrow(_seen_earlier, "block long, hashes binary")
-    return docs.groupBy("__block").cogroup(seen.groupBy("block")).applyInArrow(_clean(window, len(kept), [f.name for f in schema]), schema)
+    return docs.groupBy("__block").cogroup(seen.groupBy("block")).applyInArrow(_clean(window, len(kept), [f.name for f in schema], text_at), schema)
