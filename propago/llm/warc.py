@@ -77,7 +77,7 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", payload_col: str =
 
         return fn
 
-    source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{uri_col}`").cast("string").alias("uri"), F.col(f"`{payload_col}`").cast("string").cast("binary").alias("payload"))
+    source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{uri_col}`").cast("string").alias("uri"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
     fields = [StructField("digest", StringType()), StructField("size", LongType()), StructField("member", BinaryType())]
     made = append_columns(source, {"id": "long", "uri": "string", "payload": "binary"}, fields, make).drop("payload")
     slim = source.withColumn("digest", F.sha1("payload")).withColumn("size", F.length("payload")).filter(F.col("size") >= least)
