@@ -196,6 +196,24 @@ def observe(tape: DataFrame, by: list[str], tick_ns: int) -> DataFrame:
     return runs.groupBy(*by, "run").agg(F.min("o_ns").alias("t_ns"), F.min("m").alias("m"), F.max("c").alias("c"), F.count(F.lit(1)).alias("merged"))
 
 
+def before(tape: DataFrame, end_ns: int) -> DataFrame:
+    """Events before a time. The state function is not cut: it is known at every time."""
+    return tape.filter(F.col("t_ns") < end_ns)
+
+
+def block_edges(start_ns: int, end_ns: int, width_ns: int | None) -> list[int]:
+    """Starts of baseline blocks; the last block is open."""
+    return [start_ns] if width_ns is None else list(range(start_ns, end_ns, width_ns))
+
+
+def block_of(t: Column, edges: list[int]) -> Column:
+    """The block that holds a time: the number of later edges at or before it. Times before the first edge are in block 0."""
+    total = F.lit(0)
+    for x in edges[1:]:
+        total = total + (t >= x).cast("int")
+    return total
+
+
 def chronological_split(t: Column, end: Column, shares: tuple[float, float] = (0.70, 0.85)) -> Column:
     """0 train, 1 validation, 2 test by half-open parts of [0, end); a time outside all, so the end itself, is 0."""
     return F.when((t >= end * shares[0]) & (t < end * shares[1]), 1).when((t >= end * shares[1]) & (t < end), 2).otherwise(0)

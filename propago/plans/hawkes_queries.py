@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from propago.operators import hawkes as h
+from propago.operators import ladder
 from propago.operators import sequence as q
 from propago.operators import summary as a
 from propago.plans.registry import query
@@ -180,6 +181,32 @@ def hawkes_fit(spark, sf_dir):
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(trace)], "step int, loglik double")
 
 
+_DEC_SQL = EXCITED_SQL + f""", seen AS (SELECT seg, m, count(*) AS observed FROM tape WHERE t_ns >= {A_NS} AND t_ns < {B_NS} GROUP BY ALL)
+SELECT b.seg, b.k AS m, coalesce(observed, 0) AS observed, round(base, 5) AS baseline, round(coalesce(kick, 0), 5) AS excited FROM bases b LEFT JOIN kicks USING (seg, k) LEFT JOIN seen ON seen.seg = b.seg AND seen.m = b.k"""
+
+
+@query(_DEC_SQL)
+def count_decomposition(spark, sf_dir):
+    out = ladder.decomposition(tape(spark, sf_dir), cells(spark, sf_dir), MODEL, SEG, A_NS, B_NS)
+    return out.select("seg", "m", "observed", F.round("baseline", 5).alias("baseline"), F.round("excited", 5).alias("excited"))
+
+
+@query()
+def model_ladder(spark, sf_dir):
+    """Four configurations, fitted on the first part and scored on it and on the validation part."""
+    cut_ns = A_NS + 14 * DAY
+    configs = [c for c in ladder.standard(BETA[:2]) if c.name in ("poisson", "poisson states", "hawkes", "hawkes marks")]
+    rows = ladder.run(tape(spark, sf_dir), v.state_steps(spark, sf_dir), configs, SEG, (K, S, 4), (A_NS, cut_ns), {"train": (A_NS, cut_ns), "val": (cut_ns, B_NS)}, HOUR, rounds=5)
+    return spark.createDataFrame([(r["model"], float(r["train"]), float(r["val"]), r["branching"]) for r in rows], "model string, train_nll double, val_nll double, branching double")
+
+
+@query()
+def residual_diagnostics(spark, sf_dir):
+    """KS, quantiles, autocorrelation and conditional means of the residuals in one table."""
+    t = tape(spark, sf_dir).select("seg", "seq", "c", "s")
+    return ladder.diagnostics(residuals(spark, sf_dir), t, {"c": (1, 2, 3), "s": (1, 2)}, ["m"])
+
+
 @query()
 def branching_matrix(spark, sf_dir):
     """Branching by scale of the query model, and half-lives."""

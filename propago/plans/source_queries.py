@@ -44,6 +44,11 @@ def session_fingerprints(spark, sf_dir):
     return c.fingerprint(v.fills(spark, sf_dir), ["symbol"])
 
 
+@query()
+def exact_fingerprints(spark, sf_dir):
+    return c.exact_fingerprint(v.fills(spark, sf_dir), ["symbol"])
+
+
 @query(v.RAW_TAPE_SQL + f" SELECT seg, m, t_ns // {DAY} AS day, count(*) AS n FROM raw_tape GROUP BY ALL")
 def streamed_counts(spark, sf_dir):
     """Daily counts by Structured Streaming over files, all that are there."""

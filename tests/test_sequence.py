@@ -1,11 +1,16 @@
 """Tie semantics and boundaries on hand-written tapes."""
 
+import hashlib
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from propago.operators import book, hawkes, inference
+from propago.operators import neural as n
 from propago.operators import sequence as q
 from propago.operators import summary as a
+from propago.sources import capture as c
 
 S = 1_000_000_000
 T = [0, 2, 5, 10, 10, 10.4, 11, 15, 20, 30]
@@ -119,3 +124,57 @@ def test_empty_bins_and_ks(spark):
     out = {r.bin: (r.n, r.mean, r.se) for r in a.conditional_means(x, ["g"], "x", "c", (1, 2)).collect()}
     assert out == {0: (1, 1.0, None), 1: (0, None, None), 2: (0, None, None)}
     assert abs(a.ks_exponential(x, ["g"], "x").first().ks - (1 - np.exp(-1))) < 1e-12
+
+
+def test_blocks_and_prefix(spark):
+    assert q.block_edges(0, 25, 10) == [0, 10, 20] and q.block_edges(5, 25, None) == [5]
+    assert q.before(tape(spark), 10 * S).count() == 3
+    out = tape(spark).select("seq", q.block_of(F.col("t_ns"), [0, 10 * S, 20 * S]).alias("b"))
+    assert [r.b for r in out.orderBy("seq").collect()] == [0, 0, 0, 1, 1, 1, 1, 1, 2, 2]
+
+
+def test_neural_gradient_and_integral(spark):
+    r, beta = np.random.default_rng(1), np.array([0.5, 2.0])
+    p = n.initial(4, 2, 2, width=3)
+    x, tau0, m = r.normal(size=(6, 4)), r.uniform(0, 1, 6), np.array([0, 1, -1, 0, 1, -1])
+    tau1 = tau0 + r.uniform(0.1, 2, 6)
+    value, grads = n.gradient(p, x, tau0, tau1, m, beta, 2)
+    assert abs(value - n.unit_loglik(p, x, tau0, tau1, m, beta, 2).sum()) < 1e-9
+    for name in p:
+        step = np.zeros_like(p[name])
+        step.flat[0] = 1e-6
+        up, down = ({**p, name: p[name] + d * step} for d in (1, -1))
+        slope = (n.unit_loglik(up, x, tau0, tau1, m, beta, 2).sum() - n.unit_loglik(down, x, tau0, tau1, m, beta, 2).sum()) / 2e-6
+        assert abs(slope - grads[name].flat[0]) < 1e-4
+    tokens, pad = r.normal(size=(2, 3, 4)), np.array([0, 2])
+    layer = {k: r.normal(size=(8, 8)) for k in ("q", "k", "v", "o")} | {"up": r.normal(size=(8, 16)), "down": r.normal(size=(16, 8))}
+    params = {"embed": r.normal(size=(4, 8)), "layers": [layer, layer]}
+    out = n.attention_encode(tokens, pad, params)
+    changed = tokens.copy()
+    changed[1, :2] += 1  # padded places do not matter
+    assert out.shape == (2, 8) and np.allclose(out, n.attention_encode(changed, pad, params))
+
+
+def test_capture_and_run(spark, tmp_path):
+    folder = c.partition_path(str(tmp_path), "abc", "2024-01-01")
+    rows = fills(spark, [(0, "buy", 1.0), (0, "buy", 2.0), (9, "sell", 2.0)]).withColumn("price", F.col("price").cast("decimal(38,18)"))
+    for name in ("trades-7", "features-7"):
+        rows.coalesce(1).toPandas().to_parquet(f"{_made(folder)}/{name}.parquet")
+    assert [(r.stream, r.session) for r in c.session_files(spark, folder).collect()] == [("trades", 7)]
+    assert c.has_stream(spark, folder, "trades") and not c.has_stream(spark, folder, "snapshots")
+    loaded = c.load_capture(spark, folder)
+    assert sorted(loaded) == ["orders", "trades"] and loaded["orders"].count() == 2
+    times = c.exact_fingerprint(rows, ["symbol"]).first().fingerprint
+    assert times == hashlib.sha256(np.array([0, 0, 9], np.int64).tobytes()).hexdigest()[:16]
+    run = c.Run(spark, str(tmp_path / "run"))
+    run.config({"fingerprint": times})
+    run.curve(1, 0.5, 0.6, 1.0)
+    assert run.resume() is None
+    run.checkpoint(1, {"w": [1.0]}, 0.6, 0)
+    run.checkpoint(2, {"w": [2.0]}, 0.5, 0)
+    assert run.resume()["epoch"] == 2 and run.verify({"fingerprint": times}) is None and run.verify({"fingerprint": "x"})
+
+
+def _made(folder):
+    os.makedirs(folder, exist_ok=True)
+    return folder
