@@ -114,14 +114,14 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict:
     """Document frequencies over all rows of ``df`` with a language; weights and temperature from about ``sample_docs``.
 
-    The sample is drawn by a hash of the text; a tenth of it sets the temperature only. Rows without language or letter
+    The sample is drawn by a hash of the text, copies once, so a drawn text with many copies stays one row; a tenth of it sets the temperature only. Rows without language or letter
     are left out. Without any row the model knows no language.
     """
     rows = df.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("lang IS NOT NULL AND t IS NOT NULL")
     df_counts, total = document_frequencies(rows.select("t"))
     idf = np.log((1 + total) / (1 + df_counts)) + 1
     share = min(1.0, sample_docs / max(1, total))
-    drawn = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["t", "lang"])
 
     def run(batches):
         for batch in batches:

@@ -191,11 +191,11 @@ def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS)
     """Boosted trees, their calibration and a threshold for each kind.
 
     Weak labels: a candidate that is a base span is positive, one that nothing speaks for is negative, others are left
-    out; invented lines are added. ``sample_docs`` documents, about, drawn by a hash of the text, give candidates.
+    out; invented lines are added. ``sample_docs`` documents, about, drawn by a hash of the text, copies once, give candidates.
     """
     n = docs.count()
     share = min(1.0, sample_docs / max(n, 1))
-    drawn = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["t"])
 
     def run(batches):
         for batch in batches:
