@@ -16,6 +16,8 @@ from propago.llm.arrow import append_columns
 WINDOW = 10
 #: Bytes of item text in one automaton; more items are dealt to several automata, each streamed over all documents.
 SHARD_BYTES = 16 << 20
+#: Bytes of item text at most: the automata of all shards are broadcast.
+BENCHMARK_BYTES = 256 << 20
 #: Word bytes are digits, letters (A-Z lower-cased) and all of non-ASCII; others become spaces.
 _WORD_BYTES = bytes((c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20) for c in range(256))
 
@@ -145,6 +147,9 @@ def _automaton(key: str, items: tuple[tuple[str, bytes], ...], window: int) -> A
 
 def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> list[tuple[tuple[str, bytes], ...]]:
     """The items in shards of SHARD_BYTES at most (a longer item alone), so that each broadcast is bounded."""
+    total = benchmark.select(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    if total > BENCHMARK_BYTES:
+        raise ValueError(f"the items have {total} bytes of text, more than the {BENCHMARK_BYTES} that may be broadcast; match them in parts")
     out: list[list[tuple[str, bytes]]] = [[]]
     size = 0
     for row in benchmark.select(F.col(f"`{item_col}`").cast("string"), F.col(f"`{text_col}`").cast("string").cast("binary")).orderBy(1, 2).toLocalIterator():
