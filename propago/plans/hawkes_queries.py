@@ -207,9 +207,12 @@ def residual_diagnostics(spark, sf_dir):
     return ladder.diagnostics(residuals(spark, sf_dir), t, {"c": (1, 2, 3), "s": (1, 2)}, ["m"])
 
 
-@query()
+@query(
+    f"{_SCALES}, grid AS (SELECT l AS scale, beta, m, e FROM scales, (SELECT unnest(range(0, {K})) AS m), (SELECT unnest(range(0, {J})) AS e))"
+    + " SELECT scale, m, e, round(ln(2) / beta, 6) AS half_life, round(0.001 / (1 + scale) * CASE WHEN e % 2 = m THEN 2 ELSE 1 END * (1 + e // 6) / beta, 9) AS branching FROM grid"
+)
 def branching_matrix(spark, sf_dir):
     """Branching by scale of the query model, and half-lives."""
     by_scale = MODEL.branching_by_scale()
-    rows = [(n, i, j, float(MODEL.half_lives()[n]), float(by_scale[n, i, j])) for n in range(len(BETA)) for i in range(K) for j in range(J)]
+    rows = [(n, i, j, round(float(MODEL.half_lives()[n]), 6), round(float(by_scale[n, i, j]), 9)) for n in range(len(BETA)) for i in range(K) for j in range(J)]
     return spark.createDataFrame(rows, "scale int, m int, e int, half_life double, branching double")

@@ -50,7 +50,14 @@ def bootstrap_gain(spark, sf_dir):
     return _interval(x.verdicts(x.block_bootstrap(gain_blocks(spark, sf_dir), ["g"], RESAMPLES)))
 
 
-@query()
+@query(
+    _GAIN_SQL
+    + f""", sized AS (SELECT factor, block // factor AS block, sum(gain) AS gain, sum(events) AS events FROM blocks, (SELECT unnest([1, 2, 5]) AS factor) GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY block) - 1 AS i, count(*) OVER (PARTITION BY factor) AS n FROM sized),
+taken AS (SELECT factor, r, ('0x' || md5(r || ':' || i)[1:8])::BIGINT % n AS i FROM placed, (SELECT unnest(range(0, {RESAMPLES})) AS r)),
+drawn AS (SELECT factor, r, sum(gain) / sum(events) AS x FROM taken JOIN placed USING (factor, i) GROUP BY factor, r)
+SELECT 0 AS g, factor, round((SELECT sum(gain) / sum(events) FROM blocks), 6) AS estimate, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM drawn GROUP BY factor"""
+)
 def bootstrap_block_sizes(spark, sf_dir):
     """The interval at blocks of one, two and five days."""
     return _interval(x.block_bootstrap(x.coarser(gain_blocks(spark, sf_dir), ["g"], [1, 2, 5]), ["g", "factor"], RESAMPLES))

@@ -39,7 +39,12 @@ def capture_scan(spark, sf_dir):
     return rows.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"))
 
 
-@query()
+@query(
+    v.FILLS_SQL
+    + """, hashed AS (SELECT symbol, sha256(capture_seq || ':' || timestamp_ns) AS h FROM fills),
+sums AS (SELECT symbol, sum(('0x' || h[1:12])::BIGINT)::HUGEINT AS a, sum(('0x' || h[13:24])::BIGINT)::HUGEINT AS b, count(*) AS n FROM hashed GROUP BY symbol)
+SELECT symbol, sha256(a || ':' || b || ':' || n)[1:16] AS fingerprint FROM sums"""
+)
 def session_fingerprints(spark, sf_dir):
     return c.fingerprint(v.fills(spark, sf_dir), ["symbol"])
 
