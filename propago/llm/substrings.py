@@ -21,6 +21,10 @@ BASE = 0x9E3779B97F4A7C15
 WINDOW = 13
 BLOCK_DOCS = 512
 BUCKET_WINDOWS = 1 << 20
+#: A block's number has this many low bits for its part: blocks of one key's many rows are dealt to parts.
+SALT_BITS = 20
+#: Keys with over two blocks of rows that are dealt to parts; more such keys keep a block each.
+MOST_KEYS = 1_000
 #: Hashes that a task gathers before it packs them.
 FLUSH = 1 << 20
 
@@ -121,7 +125,8 @@ def _seen_earlier(_, table):
     order = np.lexsort((owner, x))
     x, owner = x[order], owner[order]
     first = np.concatenate(([True], x[1:] != x[:-1]))
-    again = owner > owner[np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))]
+    key_block = owner >> SALT_BITS
+    again = key_block > key_block[np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))]
     x, owner = x[again], owner[again]
     order = np.argsort(owner, kind="stable")
     x, owner = x[order], owner[order]
@@ -188,7 +193,15 @@ def remove_repeats(
     ]
     kept = [c for c in df.columns if c not in {f.name for f in added}]
     schema = StructType([*(StructField(c, StringType()) if c == text_col else df.schema[c] for c in kept), *added])
-    block, _, _ = range_block(df, key, block_docs)
+    # A key with many rows has a block to itself, in which no row removes another's words: its rows may go to any part.
+    ordered = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULLS_LAST))
+    often = df.groupBy(ordered.alias("k")).count().filter(F.col("count") > 2 * block_docs).orderBy(F.desc("count")).limit(MOST_KEYS).collect()
+    block, _, _ = range_block(df, key, block_docs, tuple(r.k for r in often))
+    salt = F.lit(0)
+    if often:
+        parts_of = F.create_map(*(F.lit(x) for r in often for x in (r.k, min(-(-r["count"] // block_docs), 1 << SALT_BITS))))
+        salt = F.pmod(F.monotonically_increasing_id(), F.coalesce(F.try_element_at(parts_of, ordered), F.lit(1)))
+    block = block.cast("long") * (1 << SALT_BITS) + salt
     size = df.select(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     n_buckets = max(1, size // (6 * bucket_windows))
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (16 << 20))
@@ -197,8 +210,7 @@ def remove_repeats(
     kept_columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
     text_at = kept.index(text_col) if text_col in kept else len(kept)
     spare = [] if text_col in kept else [text.alias("__text")]
-    ordered = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULLS_LAST)).alias("__key")
-    docs = df.select(*kept_columns, *spare, ordered, block.cast("long").alias("__block")).repartition(parts, "__block")
+    docs = df.select(*kept_columns, *spare, ordered.alias("__key"), block.cast("long").alias("__block")).repartition(parts, "__block")
     packed = docs.mapInArrow(_pack_blocks(window, n_buckets, text_at), _PACKED)
     seen = packed.groupBy("bucket").applyInArrow(_seen_earlier, "block long, hashes binary")
     return docs.groupBy("__block").cogroup(seen.groupBy("block")).applyInArrow(_clean(window, len(kept), [f.name for f in schema], text_at), schema)

@@ -71,6 +71,16 @@ def test_substrings_repeated_and_null_keys(spark):
     assert substrings.remove_repeats(docs(spark, []), window=3).count() == 0
 
 
+def test_substrings_of_a_key_with_many_rows(spark):
+    t = [prose(k, 16) for k in range(6)]
+    texts, ids = [t[0], t[1]] + [t[1], t[2], t[3]] * 10 + [t[3], t[4], t[0]], [1, 2] + [5] * 30 + [6, 7, 8]
+    got = substrings.remove_repeats(docs(spark, texts, ids), block_docs=4)
+    want = sorted([(1, 0), (2, 0), *([(5, 16)] * 10), *([(5, 0)] * 20), (6, 16), (7, 0), (8, 16)])
+    assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == want
+    nulls = substrings.remove_repeats(docs(spark, texts, [None if i == 5 else i for i in ids]), block_docs=4)
+    assert sorted((r.doc_id or 99, r.n_removed) for r in nulls.collect()) == sorted([(1, 0), (2, 0), (6, 0), (7, 0), (8, 16), *([(99, 16)] * 20), *([(99, 0)] * 10)])
+
+
 # 2. BPE
 
 
