@@ -81,15 +81,33 @@ def _keys(fp, exact: int):
     return F.array(*out)
 
 
-def spanning_links(values: np.ndarray, budget: int = BUDGET) -> list[tuple[int, int]]:
-    """Links that connect each group of values within the budget, one fewer than its members: breadth-first search."""
+def chain_holds(diff: np.ndarray, start) -> np.ndarray:
+    """Whether the first l segments of the ring from ``start`` differ in l/2 bits at most, for every l short of all."""
+    turn = (np.asarray(start, np.uint64) * np.uint64(WIDTH)) & np.uint64(63)
+    ring = (diff >> turn) | (diff << ((np.uint64(64) - turn) & np.uint64(63)))
+    total, holds = np.zeros(len(diff), np.int64), np.ones(len(diff), bool)
+    for at in range(SEGMENTS - 1):
+        total += np.bitwise_count((ring >> np.uint64(WIDTH * at)) & np.uint64((1 << WIDTH) - 1))
+        holds &= total <= (at + 1) * BUDGET // SEGMENTS
+    return holds
+
+
+def linked(diff: np.ndarray, start) -> np.ndarray:
+    """The pigeonring filter prunes first; the full Hamming distance decides on what it leaves."""
+    out = chain_holds(diff, start)
+    out[out] = np.bitwise_count(diff[out]) <= BUDGET
+    return out
+
+
+def spanning_links(values: np.ndarray, start: int) -> list[tuple[int, int]]:
+    """Links that connect each group of values that chains from ``start`` link: a breadth-first search's tree."""
     left = np.sort(values)
     out: list[tuple[int, int]] = []
     while len(left) > 1:
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            near = np.bitwise_count(left ^ x) <= budget
+            near = linked(left ^ x, start)
             if near.any():
                 found = left[near]
                 out += [(int(x), int(y)) for y in found]
@@ -98,50 +116,51 @@ def spanning_links(values: np.ndarray, budget: int = BUDGET) -> list[tuple[int,
     return out
 
 
-def _compare(budget: int):
+def _compare(patterns_per_start: int, exact: int):
+    """Compare the fingerprints of each unit (key, i, j); rows come sorted by unit."""
+
+    def changes(whole) -> np.ndarray:
+        key, i, j = (whole.column(c).to_numpy() for c in range(3))
+        return np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+
     def run(batches):
-        """Rows come sorted by unit; a unit's values are compared, those of one side only with the other side's."""
-        held: list[pa.Table] = []
+        held: list = []
         for batch in batches:
             held.append(batch)
-            unit = batch.column(0).to_numpy(zero_copy_only=False)
-            last = np.flatnonzero(unit[1:] != unit[:-1])
-            if len(last) or unit[0] != held[0].column(0)[0].as_py():
-                whole = pa.Table.from_batches(held)
-                u = whole.column(0).to_numpy()
-                cut_at = int(np.searchsorted(u, u[-1]))
-                yield from emit(u[:cut_at], whole.column(1).to_numpy()[:cut_at])
-                held = whole.slice(cut_at).combine_chunks().to_batches()
+            whole = pa.Table.from_batches(held)
+            cuts = changes(whole)
+            if len(cuts):
+                yield from emit(whole.slice(0, int(cuts[-1])), cuts[:-1])
+                held = whole.slice(int(cuts[-1])).combine_chunks().to_batches()
         if held:
             whole = pa.Table.from_batches(held)
-            yield from emit(whole.column(0).to_numpy(), whole.column(1).to_numpy())
+            yield from emit(whole, changes(whole))
 
-    def emit(unit, fps):
-        if not len(unit):
+    def emit(whole, cuts):
+        if not whole.num_rows:
             return
-        fps = fps.view(np.uint64) if fps.dtype == np.int64 else fps.astype(np.int64).view(np.uint64)
-        starts = np.concatenate(([0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]))
-        sizes = np.diff(starts)
-        pairs = starts[:-1][sizes == 2]
-        near = np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= budget
-        links = list(zip(fps[pairs[near]].tolist(), fps[pairs[near] + 1].tolist()))
-        for a, n in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            links += spanning_links(fps[a : a + n], budget)
-        if links:
-            both = np.array(links, np.uint64).view(np.int64)
+        fps = whole.column(3).to_numpy().astype(np.int64).view(np.uint64)
+        starts = (whole.column(0).to_numpy() >> (WIDTH * exact)) // patterns_per_start
+        edges = np.concatenate(([0], cuts, [whole.num_rows]))
+        sizes, first = np.diff(edges), edges[:-1]
+        pairs = first[sizes == 2]
+        pairs = pairs[linked(fps[pairs] ^ fps[pairs + 1], starts[pairs])]
+        found = list(zip(fps[pairs].tolist(), fps[pairs + 1].tolist()))
+        for a, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            found += spanning_links(fps[a : a + n], int(starts[a]))
+        if found:
+            both = np.array(found, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return run
 
 
-def links(fps: DataFrame, exact: int | None = None, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect just the fingerprints that chains of links at ``budget`` bits connect.
+def links(fps: DataFrame, exact: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect just the fingerprints that chains of links of BUDGET bits connect.
 
     ``fps`` has one column fp of distinct values. Of each group that shares a key, the links of a spanning forest are
     returned, never all pairs. A group over ``block`` values is compared block against block, which is exact too.
     """
-    if budget != BUDGET:
-        raise ValueError("the chains of the pigeonring filter are those of a budget of 4 bits over 8 segments")
     exact = exact or (3 if fps.count() <= 1 << 24 else 4)
     keyed = fps.select("fp", F.explode(_keys(F.col("fp"), exact)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -150,8 +169,8 @@ def links(fps: DataFrame, exact: int | None = None, budget: int = BUDGET, block:
     mine = F.pmod(F.xxhash64("fp"), n_blocks).cast("int")
     others = F.when(n_blocks > 1, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j"))))
     dealt = shared.select("fp", "key", F.explode(F.coalesce(others, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))).alias("p"))
-    units = dealt.select(F.xxhash64("key", "p.i", "p.j").alias("unit"), "fp")
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare(budget), "a long, b long")
+    units = dealt.select("key", "p.i", "p.j", "fp").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return units.mapInArrow(_compare(len(chains(exact)) // SEGMENTS, exact), "a long, b long")
 
 
 def classes(marked: DataFrame, key: str = "doc_id") -> DataFrame:
