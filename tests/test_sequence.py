@@ -178,3 +178,18 @@ def test_capture_and_run(spark, tmp_path):
 def _made(folder):
     os.makedirs(folder, exist_ok=True)
     return folder
+
+
+def test_registry_and_report(spark, tmp_path):
+    kinds = "session string, fingerprint string, role string"
+    registry = spark.createDataFrame([("a", "f1", "replication"), ("x", "f9", "exploratory")], kinds)
+    new = spark.createDataFrame([("b", "f1", "replication"), ("c", "f2", "replication"), ("d", "f2", "replication")], kinds)
+    assert [r.fingerprint for r in c.register(registry, new).collect()] == ["f2"]
+    results = spark.createDataFrame([("z",)], "session string")
+    assert c.final_test_allowed(registry, results, "a") and not c.final_test_allowed(registry, results, "x") and not c.final_test_allowed(registry, results.unionByName(registry.select("session")), "a")
+    assert not c.final_test_allowed(registry, results, "a", barred=("a",))
+    gains = spark.createDataFrame([("M1", 0.1, 0.05, 0.2)], "model string, estimate double, low double, high double")
+    text = c.report(inference.verdicts(gains), spark.createDataFrame([("shift", 0.0, None, 1)], "control string, mean double, sd double, runs int"))
+    assert "| M1 | 0.1000 | 0.0500 | 0.2000 | supported |" in text and "| shift | 0.0000 | 0.0000 | 1 |" in text
+    path = str(tmp_path / "cached")
+    assert c.cached(spark, path, lambda: results).count() == 1 and c.cached(spark, path, lambda: 1 / 0).count() == 1
