@@ -209,7 +209,7 @@ def residual_diagnostics(spark, sf_dir):
 
 @query(
     f"{_SCALES}, grid AS (SELECT l AS scale, beta, m, e FROM scales, (SELECT unnest(range(0, {K})) AS m), (SELECT unnest(range(0, {J})) AS e))"
-    + " SELECT scale, m, e, round(ln(2) / beta, 6) AS half_life, round(0.001 / (1 + scale) * CASE WHEN e % 2 = m THEN 2 ELSE 1 END * (1 + e // 6) / beta, 9) AS branching FROM grid"
+    + " SELECT scale, m::INT AS m, e::INT AS e, round(ln(2) / beta, 6) AS half_life, round(0.001 / (1 + scale) * CASE WHEN e % 2 = m THEN 2 ELSE 1 END * (1 + e // 6) / beta, 9) AS branching FROM grid"
 )
 def branching_matrix(spark, sf_dir):
     """Branching by scale of the query model, and half-lives."""
