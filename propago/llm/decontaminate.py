@@ -233,9 +233,10 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[kept:]])
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_words: int = 0, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_words: int = WINDOW - 1, max_coverage: float = 0.5) -> DataFrame:
     """Remove matched spans of over ``max_words`` words; drop documents of which more than ``max_coverage`` is hit.
 
+    So by default an item shorter than a window, such as one common word, is cut from no longer text that it occurs in.
     Other documents keep their exact text. Columns as in ``df``; ``n_chars``, where there, is that of the new text.
     """
     columns = df.columns

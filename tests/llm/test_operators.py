@@ -303,7 +303,7 @@ def test_decontamination_brute_force(spark, window):
 def test_decontamination_removes_spans(spark):
     item = prose(8, 14)
     clean, holder = prose(9, 40), prose(10, 30) + ".\n" + item.upper() + "! " + prose(11, 30)
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, clean.split()[3])], "item_id long, text string")
     out = {r.doc_id: r for r in decontaminate.decontaminate(docs(spark, [clean, holder, item, None]), bench).collect()}
     assert out[0].text == clean and 2 not in out and out[3].text is None
     assert out[1].text == prose(10, 30) + ".\n" + "! " + prose(11, 30) and out[1].n_chars == len(out[1].text)
