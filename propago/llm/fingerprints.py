@@ -92,8 +92,9 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text_col: str = "text", sam
 
     A row's edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     row's, by ascending key, then text; after the last comes the first. Null texts are empty; null keys come last; a
-    lone row is its own next. An empty table gives no rows. Rows are dealt to blocks of contiguous keys, each of which
-    also gets the first row of the next block, so no window spans the table.
+    lone row is its own next. An empty table gives no rows. Keys are integers below 2**63 - 1. Rows are dealt to blocks
+    of contiguous keys, each of which also gets the first row of the next block, so no window spans the table; rows of
+    one key share a block, and one task sorts a block, on disk if need be.
     """
     n, size, low = df.select(F.count(F.lit(1)), F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))), F.min(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULLS_LAST)))).first()
     if low is None:
@@ -101,13 +102,14 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text_col: str = "text", sam
     block, n_blocks, cuts = range_block(df, key, max(BLOCK_DOCS, -(-n // QUANTILES)))
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // PART_BYTES)
     k = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULLS_LAST))
-    docs = df.select(F.col(f"`{key}`").alias("doc"), k.alias("k"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"), block.cast("int").alias("block"))
+    docs = df.select(k.alias("k"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"), block.cast("int").alias("block"))
     heads = docs.filter(F.col("k").isin([low, *cuts]))
     heads = heads.groupBy("k", "block").agg(F.min("t").alias("t"))
-    heads = heads.select(F.lit(None).cast("long").alias("doc"), "k", "t", F.pmod(F.col("block") - 1, F.lit(n_blocks)).alias("block"), F.lit(1).alias("ghost"))
+    heads = heads.select("k", "t", F.pmod(F.col("block") - 1, F.lit(n_blocks)).alias("block"), F.lit(1).alias("ghost"))
     dealt = docs.withColumn("ghost", F.lit(0)).unionByName(heads).repartition(parts, "block")
     w = Window.partitionBy("block").orderBy("ghost", "k", "t")
-    placed = dealt.select("doc", "block", "ghost", "t", F.row_number().over(w).alias("rn"), F.lead("t").over(w).alias("next"))
+    # Both uses below read the same columns, so that Spark makes one shuffle of the texts.
+    placed = dealt.select("k", "block", "ghost", "t", F.row_number().over(w).alias("rn"), F.lead("t").over(w).alias("next"))
     length = F.length("t")
     cut_at = F.floor(length / 4).cast("int")
     edited = F.when(F.col("ghost") == 0, F.concat(F.substring("t", F.lit(1), length - cut_at), F.substring("next", F.lit(1), cut_at)))
@@ -117,10 +119,10 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text_col: str = "text", sam
     signed = signatures(both, ["block", "rn", "which"], "text", samples)
     of = lambda i: F.max(F.when(F.col("which") == i, F.col("fingerprint")))
     signed = signed.groupBy("block", "rn").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
-    about = placed.select("block", "rn", "ghost", "doc", length.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    about = placed.select("block", "rn", "ghost", "k", length.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     known = about.join(signed, ["block", "rn"])
     known = known.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("block").orderBy("rn"))).filter("ghost = 0")
     near = lambda other: likeness(F.col("fingerprint"), F.col(other), samples)
     return known.select(
-        F.col("doc").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next")
+        F.when(F.col("k") < NULLS_LAST, F.col("k")).alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next")
     )
