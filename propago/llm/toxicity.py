@@ -27,11 +27,15 @@ _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n\r]+")
 
 #: Matched clauses of each kind, counted to CAP a document; the features of a score.
-KINDS = ("insult", "insult at target", "insult negated", "insult reported", "threat at target", "threat negated", "threat reported")
+KINDS = ("insult", "insult at target", "insult negated", "insult reported", "threat at target", "threat negated", "threat reported", "slur once", "slurs")
 CAP = 3
 #: What the grammar expects of a kind before it has seen labels: the centre of the weights' prior.
-PRIOR = (3.0, 3.5, 0.0, -0.5, 3.5, 0.0, -0.5)
+PRIOR = (3.0, 3.5, 0.0, -0.5, 3.5, 0.0, -0.5, 0.0, 4.0)
 PRIOR_BIAS = -3.0
+#: A word is learned as a slur from so many distinct toxic documents at least, and from this ratio of its rates.
+SLUR_DOCUMENTS, SLUR_RATIO = 5, 12.0
+#: Learned slurs at most, those of the highest ratio; the lexicon is shipped to every task.
+SLURS = 1_000
 
 
 @dataclass(frozen=True)
@@ -92,27 +96,53 @@ def grammar() -> list[list[Transducer]]:
     return [either("insult", insult), either("threat", threat)]
 
 
-def matched_clauses(text: str, rules: list[list[Transducer]]) -> list[int]:
-    """How many clauses each kind wins, by the greatest weight, capped."""
+def matched_clauses(text: str, rules: list[list[Transducer]], slurs: frozenset[str] = frozenset()) -> list[int]:
+    """How many clauses each kind wins, by the greatest weight, capped; of slurs whether one clause has some, or more."""
     counts = dict.fromkeys(KINDS, 0)
     lowered = text.lower()
-    if _SIGNS.isdisjoint(_WORD.findall(lowered)):
+    if not (found := set(_WORD.findall(lowered))) or (_SIGNS.isdisjoint(found) and slurs.isdisjoint(found)):
         return [0] * len(KINDS)
+    with_slurs = 0
     for clause in _CLAUSE.split(lowered):
-        tags = [TAGS.get(w) for w in _WORD.findall(clause)]
+        words = _WORD.findall(clause)
+        with_slurs += not slurs.isdisjoint(words)
+        tags = [TAGS.get(w) for w in words]
         for options in rules:
-            found = [m for t in options if (m := t.best(tags))]
-            if found:
-                counts[max(found, key=lambda m: m[1])[0]] += 1
+            matches = [m for t in options if (m := t.best(tags))]
+            if matches:
+                counts[max(matches, key=lambda m: m[1])[0]] += 1
+    counts["slur once"], counts["slurs"] = int(with_slurs == 1), int(with_slurs > 1)
     return [min(CAP, counts[k]) for k in KINDS]
 
 
-def with_clauses(df: DataFrame, text_col: str = "text") -> DataFrame:
+def learn_slurs(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> frozenset[str]:
+    """Words that mark the learned rows' toxic labels, beside the fixed lexicons: insults of any language.
+
+    Counted by Spark over all labelled rows that are not held out. Documents with the same least word hash, as near
+    copies mostly have, count once, so that a group of copies makes no lexicon. No labels: no words.
+    """
+    known = labels.filter("toxic IS NOT NULL").select(F.col(f"`{key}`").alias("__key"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    rows = df.select(F.col(f"`{key}`").alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("t")).filter(~held_out("__doc"))
+    rows = rows.join(known, F.col("__doc") == F.col("__key")).select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"))).alias("words"))
+    rows = rows.select("toxic", "words", F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("sketch")).filter("sketch IS NOT NULL")
+    # The empty word stands in every document: its counts are the totals.
+    once = rows.select("sketch", "toxic", F.explode(F.array_append("words", F.lit(""))).alias("w")).groupBy("w", "sketch").agg(F.max("toxic").alias("toxic"))
+    counts = once.groupBy("w").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
+    counts = cut(counts.filter((F.col("pos") >= SLUR_DOCUMENTS) | (F.col("w") == "")))
+    total = counts.filter("w = ''").first()
+    if total is None:
+        return frozenset()
+    ratio = ((F.col("pos") + 0.5) / (total.pos + 1)) / ((F.col("n") - F.col("pos") + 0.5) / (total.n - total.pos + 1))
+    found = counts.filter("w <> ''").withColumn("ratio", ratio).filter(F.col("ratio") >= SLUR_RATIO).orderBy(F.desc("ratio"), "w").limit(SLURS)
+    return frozenset(r.w for r in found.collect() if r.w not in TAGS)
+
+
+def with_clauses(df: DataFrame, text_col: str = "text", slurs: frozenset[str] = frozenset()) -> DataFrame:
     """Append ``clauses`` (array<int>): counts of matched clauses by kind. Null and empty texts match none."""
 
     def make():
         rules = grammar()
-        return lambda texts: (pa.array([matched_clauses(t, rules) if t else [0] * len(KINDS) for t in texts], pa.list_(pa.int32())),)
+        return lambda texts: (pa.array([matched_clauses(t, rules, slurs) if t else [0] * len(KINDS) for t in texts], pa.list_(pa.int32())),)
 
     return append_columns(df, {text_col: "string"}, [StructField("clauses", ArrayType(IntegerType()))], make)
 
@@ -164,7 +194,8 @@ def score_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_
     Weights are learned from the labels of the rows that are not held out; a score comes from the text alone. Repeated
     labels count each; rows without a label are scored like any; null keys have no label.
     """
-    matched = cut(with_clauses(df.select(F.col(f"`{key}`"), F.col(f"`{text_col}`").alias("__t")), "__t").drop("__t"))
+    slurs = learn_slurs(df, labels, key, text_col)
+    matched = cut(with_clauses(df.select(F.col(f"`{key}`"), F.col(f"`{text_col}`").alias("__t")), "__t", slurs).drop("__t"))
     known = labels.select(F.col(f"`{key}`").alias("__key"), "toxic")
     weights = fit(matched.filter(~held_out(key)).join(known, F.col(f"`{key}`") == F.col("__key")))
     scored = matched.withColumn("score", score(F.col("clauses"), weights))
@@ -174,8 +205,9 @@ def score_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_
 def drop_toxic(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with a score under one half, columns as they are."""
     columns = df.columns
-    matched = with_clauses(df, text_col)
+    slurs = learn_slurs(df, labels, key, text_col)
+    matched = with_clauses(df, text_col, slurs)
     known = labels.select(F.col(f"`{key}`").alias("__key"), "toxic")
-    learn = with_clauses(df.select(F.col(f"`{key}`"), F.col(f"`{text_col}`").alias("__t")), "__t").select(F.col(f"`{key}`"), "clauses")
-    weights = fit(learn.filter(~held_out(key)).join(known, F.col(f"`{key}`") == F.col("__key")))
+    slim = with_clauses(df.select(F.col(f"`{key}`"), F.col(f"`{text_col}`").alias("__t")), "__t", slurs).select(F.col(f"`{key}`"), "clauses")
+    weights = fit(slim.filter(~held_out(key)).join(known, F.col(f"`{key}`") == F.col("__key")))
     return matched.filter(score(F.col("clauses"), weights) < 0.5).select(*(F.col(f"`{c}`") for c in columns))
