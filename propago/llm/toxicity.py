@@ -123,8 +123,11 @@ def learn_slurs(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col:
     """
     known = labels.filter("toxic IS NOT NULL").select(F.col(f"`{key}`").alias("__key"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     rows = df.select(F.col(f"`{key}`").alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("t")).filter(~held_out("__doc"))
-    rows = rows.join(known, F.col("__doc") == F.col("__key")).select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"))).alias("words"))
-    rows = rows.select("toxic", "words", F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("sketch")).filter("sketch IS NOT NULL")
+    # Distinct words are joined, not texts; the hint keeps the plan, and what it shuffles, alike at every size.
+    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)")))
+    rows = rows.select("__doc", F.concat_ws(" ", words).alias("words")).filter("words <> ''")
+    rows = rows.join(known.hint("merge"), F.col("__doc") == F.col("__key")).select("toxic", F.split("words", " ").alias("words"))
+    rows = rows.select("toxic", "words", F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("sketch"))
     # The empty word stands in every document: its counts are the totals.
     once = rows.select("sketch", "toxic", F.explode(F.array_append("words", F.lit(""))).alias("w")).groupBy("w", "sketch").agg(F.max("toxic").alias("toxic"))
     counts = once.groupBy("w").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
