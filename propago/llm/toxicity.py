@@ -34,8 +34,10 @@ PRIOR = (3.0, 3.5, 0.0, -0.5, 3.5, 0.0, -0.5, 0.0, 4.0)
 PRIOR_BIAS = -3.0
 #: A word is learned as a slur from so many distinct toxic documents at least, and from this ratio of its rates.
 SLUR_DOCUMENTS, SLUR_RATIO = 5, 12.0
-#: Learned slurs at most, those of the highest ratio; the lexicon is shipped to every task.
-SLURS = 1_000
+#: Independent least word hashes in a document's signature; two of a likeness J share one with the chance J ** SKETCH.
+SKETCH = 8
+#: Learned slurs of so many bytes at most are shipped to every task; a larger lexicon is joined with the documents' words.
+LEXICON_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -115,19 +117,24 @@ def matched_clauses(text: str, rules: list[list[Transducer]], slurs: frozenset[s
     return [min(CAP, counts[k]) for k in KINDS]
 
 
-def learn_slurs(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> frozenset[str]:
+def _distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)")))
+
+
+def learn_slurs(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> frozenset[str] | DataFrame:
     """Words that mark the learned rows' toxic labels, beside the fixed lexicons: insults of any language.
 
-    Counted by Spark over all labelled rows that are not held out. Documents with the same least word hash, as near
-    copies mostly have, count once, so that a group of copies makes no lexicon. No labels: no words.
+    Counted by Spark over all labelled rows that are not held out. Copies, which have all of SKETCH independent least
+    word hashes in common, as near copies mostly have, count once, so that a group of copies makes no lexicon. Every
+    word that passes counts; over LEXICON_BYTES they stay a DataFrame with the column w. No labels: no words.
     """
     known = labels.filter("toxic IS NOT NULL").select(F.col(f"`{key}`").alias("__key"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     rows = df.select(F.col(f"`{key}`").alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("t")).filter(~held_out("__doc"))
     # Distinct words are joined, not texts; the hint keeps the plan, and what it shuffles, alike at every size.
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)")))
-    rows = rows.select("__doc", F.concat_ws(" ", words).alias("words")).filter("words <> ''")
+    rows = rows.select("__doc", F.concat_ws(" ", _distinct_words(F.col("t"))).alias("words")).filter("words <> ''")
     rows = rows.join(known.hint("merge"), F.col("__doc") == F.col("__key")).select("toxic", F.split("words", " ").alias("words"))
-    rows = rows.select("toxic", "words", F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("sketch"))
+    least = [F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in range(SKETCH)]
+    rows = rows.select("toxic", "words", F.xxhash64(*least).alias("sketch"))
     # The empty word stands in every document: its counts are the totals.
     once = rows.select("sketch", "toxic", F.explode(F.array_append("words", F.lit(""))).alias("w")).groupBy("w", "sketch").agg(F.max("toxic").alias("toxic"))
     counts = once.groupBy("w").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
@@ -136,18 +143,36 @@ def learn_slurs(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col:
     if total is None:
         return frozenset()
     ratio = ((F.col("pos") + 0.5) / (total.pos + 1)) / ((F.col("n") - F.col("pos") + 0.5) / (total.n - total.pos + 1))
-    found = counts.filter("w <> ''").withColumn("ratio", ratio).filter(F.col("ratio") >= SLUR_RATIO).orderBy(F.desc("ratio"), "w").limit(SLURS)
-    return frozenset(r.w for r in found.collect() if r.w not in TAGS)
+    found = counts.filter("w <> ''").filter(ratio >= SLUR_RATIO).filter(~F.col("w").isin(list(TAGS))).select("w")
+    size = found.agg(F.sum(F.octet_length("w"))).first()[0] or 0
+    return frozenset(r.w for r in found.collect()) if size <= LEXICON_BYTES else found
+
 
+def _own_slurs(df: DataFrame, text_col: str, slurs: DataFrame) -> DataFrame:
+    """Append ``__slurs``: the words of a text that are in the lexicon, null for none. Copies of a text are joined once."""
+    text = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    words = df.select(text.alias("__hash"), F.explode(_distinct_words(F.col(f"`{text_col}`").cast("string"))).alias("w")).distinct()
+    own = words.join(slurs, "w").groupBy("__hash").agg(F.collect_list("w").alias("__slurs"))
+    return df.withColumn("__hash", text).join(own, "__hash", "left").drop("__hash")
 
-def with_clauses(df: DataFrame, text_col: str = "text", slurs: frozenset[str] = frozenset()) -> DataFrame:
+
+def with_clauses(df: DataFrame, text_col: str = "text", slurs: frozenset[str] | DataFrame = frozenset()) -> DataFrame:
     """Append ``clauses`` (array<int>): counts of matched clauses by kind. Null and empty texts match none."""
+    none = [0] * len(KINDS)
+    fields = [StructField("clauses", ArrayType(IntegerType()))]
+    if isinstance(slurs, DataFrame):
+
+        def make_joined():
+            rules = grammar()
+            return lambda texts, own: (pa.array([matched_clauses(t, rules, frozenset(s or ())) if t else none for t, s in zip(texts, own)], pa.list_(pa.int32())),)
+
+        return append_columns(_own_slurs(df, text_col, slurs), {text_col: "string", "__slurs": "array<string>"}, fields, make_joined).drop("__slurs")
 
     def make():
         rules = grammar()
-        return lambda texts: (pa.array([matched_clauses(t, rules, slurs) if t else [0] * len(KINDS) for t in texts], pa.list_(pa.int32())),)
+        return lambda texts: (pa.array([matched_clauses(t, rules, slurs) if t else none for t in texts], pa.list_(pa.int32())),)
 
-    return append_columns(df, {text_col: "string"}, [StructField("clauses", ArrayType(IntegerType()))], make)
+    return append_columns(df, {text_col: "string"}, fields, make)
 
 
 def fit(labelled: DataFrame, strength: float = 1.0, rounds: int = 60) -> list[float]:
