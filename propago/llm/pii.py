@@ -81,6 +81,9 @@ _QUAD = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])")
 _AT = r" ?(?:[\[({] ?at ?[\])}]|(?<= )at(?= )|@) ?"
 _DOT = r" ?(?:[\[({] ?dot ?[\])}]|(?<= )dot(?= )|\.) ?"
 _SPELT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,63}}){{1,4}}", re.I)
+#: What every match of _SPELT has from its at on; without it the whole pattern need not be tried.
+_SPELT_REST = re.compile(rf"{_AT[2:]}[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z0-9-]{{2}}", re.I)
+_SAID = re.compile(r"[\[({] ?(?:at|dot) ?[\])}]| dot ", re.I)
 _SECRET = re.compile(r"""\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd|key)["']? ?[=:] ?["']?([A-Za-z0-9/+_=-]{8,128})""", re.I)
 _HEX = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{24,128}(?![A-Za-z0-9])")
 
@@ -102,7 +105,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "phone") for m in _DIAL.finditer(text)]
         out += [(m.start(), m.end(), "ip") for m in _QUAD.finditer(text)]
         out += [(m.start(), m.end(), "secret") for m in _HEX.finditer(text)]
-    if "@" in text or "dot" in text or "DOT" in text:
+    if _SPELT_REST.search(text):
         out += [(m.start(), m.end(), "email") for m in _SPELT.finditer(text)]
     if "=" in text or ":" in text:
         out += [(*m.span(1), "secret") for m in _SECRET.finditer(text)]
@@ -151,6 +154,8 @@ def _weak_label(text: str, base: list[tuple[int, int, str]], span: tuple[int, in
         return 1.0
     if any(s[0] < end and start < s[1] for s in base):
         return None
+    if kind == "email" and _SAID.search(text[start:end]):
+        return None
     digits = _digits(text[start:end])
     if kind == "card":
         return None if luhn(digits) else 0.0
@@ -175,7 +180,7 @@ def invented_rows(n: int = 400, seed: int = 7) -> list[tuple[list[float], float]
         octets = [draw.randint(0, 255) for _ in range(4)]
         lines = [
             ("card", card, 1), ("card", wrong, 0), ("card", " ".join(card[i : i + 4] for i in range(0, 16, 4)), 1), ("card", number(draw.randint(12, 14)), 0),
-            ("email", f"{a}@{b}.{c}", 1), ("email", f"{a} (at) {b} (dot) {c}", 1), ("email", f"{a} at {b} dot {c}", 1), ("email", f"{a} at {b}. {name()}", 0),
+            ("email", f"{a}@{b}.{c}", 1), ("email", f"{a} (at) {b} (dot) {c}", 1), ("email", f"{a} (at) {b}.{c}", 1), ("email", f"{a} [at] {b} [Dot] {c}", 1), ("email", f"{a} at {b} dot {c}", 1), ("email", f"{a} at {b}. {name()}", 0),
             ("ip", ".".join(map(str, octets)), 1), ("ip", ".".join(map(str, [draw.randint(256, 999), *octets[1:]])), 0),
             ("phone", f"+{draw.randint(1, 99)} ({number(3)}) {number(3)}-{number(4)}", 1), ("phone", f"00{draw.randint(1, 99)} {number(3)} {number(3)} {number(4)}", 1), ("phone", f"{number(3)} {number(3)} {number(4)}", 0),
             ("secret", "".join(draw.choice("0123456789abcdef") for _ in range(40)), 1), ("secret", name() + name(), 0),

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from propago.llm import toxicity
+from propago.llm import pii, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -40,3 +40,15 @@ def test_slurs_have_no_fixed_number(spark):
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(800)], "doc_id long, toxic int")
     assert set(slurs) <= toxicity.learn_slurs(df, labels)
+
+
+def test_spelt_addresses_need_no_other_sign(spark):
+    texts = ["write to jane (at) example.com today", "write to jane [at] example [Dot] com today", "ask jane at example Dot com today", "we met at home. Then we left"]
+    spans = [[t[a:b] for a, b, kind in pii.candidates(t) if kind == "email"] for t in texts]
+    assert spans[0] == ["jane (at) example.com"] and spans[1][0].startswith("jane [at] example [Dot] com") and spans[2][0].startswith("jane at example Dot com")
+    for t in texts:
+        there = pii._SPELT.search(t)
+        assert not there or pii._SPELT_REST.search(t)
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    out = {r.doc_id: r.text for r in pii.redact(df, pii.fit(df)).collect()}
+    assert "jane" not in out[0] and "jane" not in out[1] and out[3] == texts[3]
