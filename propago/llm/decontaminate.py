@@ -14,6 +14,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from propago.llm.arrow import append_columns
 
 WINDOW = 10
+#: The pipeline cuts items of so many words at most from no longer text.
+EXEMPT = 3
 #: Bytes of item text in one automaton; more items are dealt to several automata, each streamed over all documents.
 SHARD_BYTES = 16 << 20
 #: Bytes of item text at most: the automata of all shards are broadcast.
@@ -110,13 +112,14 @@ class Automaton:
         long_enough = stops - starts >= self.least
         return zip(starts[long_enough].tolist(), stops[long_enough].tolist())
 
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int], int]:
-        """Which words windows cover, the numbers of items with occurring windows, and the longest match in words."""
-        hit = np.zeros(len(words) + 1, np.int32)
+    def scan(self, words: list[bytes], floor: int = 1) -> tuple[np.ndarray, set[int], int, np.ndarray]:
+        """Which words windows cover, the numbers of items with occurring windows, the longest match in words, and which
+        words windows of ``floor`` words or more cover."""
+        hit, short = np.zeros(len(words) + 1, np.int32), np.zeros(len(words) + 1, np.int32)
         found: set[int] = set()
         longest = 0
         if not self.items or len(words) < self.least:
-            return hit[:-1] > 0, found, longest
+            return hit[:-1] > 0, found, longest, hit[:-1] > 0
         codes = np.fromiter(map(self.vocabulary.get, words, [-1] * len(words)), np.int64, len(words))
         step, link, reach, window = self.step, self.link, self.longest, self.window
         for start, stop in self._stretches(codes):
@@ -134,10 +137,12 @@ class Automaton:
                     found.update(self.full[state])
                 for size, number in self.short[state]:
                     if size <= length:
-                        hit[at + 1 - size] += 1
-                        hit[at + 1] -= 1
+                        into = hit if size >= floor else short
+                        into[at + 1 - size] += 1
+                        into[at + 1] -= 1
                         found.add(number)
-        return np.cumsum(hit[:-1]) > 0, found, longest
+        core = np.cumsum(hit[:-1]) > 0
+        return core | (np.cumsum(short[:-1]) > 0), found, longest, core
 
 
 @lru_cache(maxsize=2)
@@ -166,11 +171,12 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> list[tuple[tu
 _SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))
 
 
-def match(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def match(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, item_col: str = "item_id", item_text: str = "text", floor: int = 1) -> DataFrame:
     """Append n_words, n_hit, longest (words of the longest match), items (array of item ids as strings, sorted), spans.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. A word
-    inside any occurrence of a window is hit; ``spans`` are the maximal runs of hit words. Null texts have no words; null
+    inside any occurrence of a window is hit; ``spans`` are the maximal runs of words hit by windows of ``floor`` words
+    or more. Null texts have no words; null
     items or item ids are left out; repeated items count by their id. Other columns pass through; input columns named
     like an output are replaced. Items beyond SHARD_BYTES are matched in further passes and their hits united.
     """
@@ -184,13 +190,14 @@ def match(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: i
             n_words, n_hit, longest, items, spans = [], [], [], [], []
             for t in texts:
                 words = words_of(t or b"")
-                mask, names, most = np.zeros(len(words), bool), set(), 0
+                mask, core, names, most = np.zeros(len(words), bool), np.zeros(len(words), bool), set(), 0
                 for a in automata:
-                    hit, found, m = a.scan(words)
+                    hit, found, m, whole = a.scan(words, floor)
                     mask |= hit
+                    core |= whole
                     names |= {a.items[k][0] for k in found}
                     most = max(most, m)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], core.view(np.int8), [0])))).tolist()
                 n_words.append(len(words))
                 n_hit.append(int(mask.sum()))
                 longest.append(most)
@@ -233,16 +240,16 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[kept:]])
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_words: int = WINDOW - 1, max_coverage: float = 0.5) -> DataFrame:
-    """Remove matched spans of over ``max_words`` words; drop documents of which more than ``max_coverage`` is hit.
+def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_words: int = EXEMPT, max_coverage: float = 0.5) -> DataFrame:
+    """Remove what windows of over ``max_words`` words match; drop documents of which more than ``max_coverage`` is hit.
 
-    So by default an item shorter than a window, such as one common word, is cut from no longer text that it occurs in.
+    A shorter item is one window, so it is removed wherever it is quoted whole. Only items of ``max_words`` words at
+    most, such as one common word, are cut from no longer text that they occur in, not even side by side.
     Other documents keep their exact text. Columns as in ``df``; ``n_chars``, where there, is that of the new text.
     """
     columns = df.columns
-    marked = match(df, benchmark, text_col, window).withColumn("__cover", F.when(F.col("n_words") > 0, F.col("n_hit") / F.col("n_words")).otherwise(F.lit(0.0)))
+    marked = match(df, benchmark, text_col, window, floor=max_words + 1).withColumn("__cover", F.when(F.col("n_words") > 0, F.col("n_hit") / F.col("n_words")).otherwise(F.lit(0.0)))
     kept = marked.filter(F.col("__cover") <= max_coverage).withColumn("__bytes", F.col(f"`{text_col}`").cast("string"))
-    long_spans = F.filter("spans", lambda s: s["stop"] - s["start"] > max_words)
 
     def make():
         def fn(texts, spans):
@@ -251,7 +258,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", w
 
         return fn
 
-    cut = append_columns(kept.withColumn("__spans", long_spans), {"__bytes": "binary", "__spans": "array<struct<start:int,stop:int>>"}, [StructField("__new", StringType())], make)
+    cut = append_columns(kept.withColumn("__spans", F.col("spans")), {"__bytes": "binary", "__spans": "array<struct<start:int,stop:int>>"}, [StructField("__new", StringType())], make)
     changed = F.size("__spans") > 0
     swap = {text_col: F.when(changed, F.col("__new")).otherwise(F.col(f"`{text_col}`"))}
     if "n_chars" in columns:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from propago.llm import pii, toxicity
+from propago.llm import decontaminate, pii, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -42,6 +42,16 @@ def test_slurs_have_no_fixed_number(spark):
     assert set(slurs) <= toxicity.learn_slurs(df, labels)
 
 
+def test_short_items_quoted_in_longer_text_are_removed(spark):
+    item, three = prose(4, 6), prose(5, 3)
+    single = prose(6, 4)
+    before, after = prose(7, 40), prose(8, 40)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(three)), *((10 + k, w) for k, w in enumerate(single))], "item_id long, text string")
+    texts = [" ".join(before + x + after) for x in (item, three, single, item + three)]
+    got = {r.doc_id: r.text.split() for r in decontaminate.decontaminate(spark.createDataFrame(list(enumerate(texts)), DOCS), bench).collect()}
+    assert got == {0: before + after, 1: texts[1].split(), 2: texts[2].split(), 3: before + three + after}
+
+
 def test_spelt_addresses_need_no_other_sign(spark):
     texts = ["write to jane (at) example.com today", "write to jane [at] example [Dot] com today", "ask jane at example Dot com today", "we met at home. Then we left"]
     spans = [[t[a:b] for a, b, kind in pii.candidates(t) if kind == "email"] for t in texts]
