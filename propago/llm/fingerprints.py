@@ -2,38 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propago.llm.blocks import NULLS_LAST, QUANTILES, range_block
 
 #: Samples of a signature; the likeness of two has a standard error of sqrt(J * (1 - J) / SAMPLES).
 SAMPLES = 64
-#: Terms are hashed to so many features; the table of their random variables has this many rows whatever the corpus.
-FEATURES = 1 << 14
-#: Samples that one row of the table has; more in a row would make generated code too long to be compiled.
-PER = 16
+#: Samples that one row of a term has; more in a row would make generated code too long to be compiled.
+PER = 8
 BLOCK_DOCS = 512
 #: Text bytes in a partition, about: a hash table of one has a few hundred thousand terms.
 PART_BYTES = 4 << 20
 _CODE = 4
 
 
-def _uniform(feature: Column, sample: Column, salt: int) -> Column:
-    """A number in (0, 1) that depends on the feature, the sample and the salt only."""
-    bits = F.shiftrightunsigned(F.xxhash64(feature, sample, F.lit(salt)), 11)
-    return (bits.cast("double") + 0.5) / float(1 << 53)
-
-
-def sample_table(spark: SparkSession, samples: int = SAMPLES, features: int = FEATURES) -> DataFrame:
-    """For each feature (-1: no terms) and group g of PER samples: r and ln c of two Gamma(2, 1) variables, a uniform b."""
-    f = F.col("id") - 1
-    sample = F.col("g") * PER
-    gamma = lambda k, salt: -F.log(_uniform(f, sample + k, salt) * _uniform(f, sample + k, salt + 1))
-    known = lambda c: F.coalesce(c, F.lit(0.0))
-    base = spark.range(features + 1).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(samples // PER - 1))))
-    base = base.select(f.cast("int").alias("feature"), "g", *(known(gamma(k, 0)).alias(f"r{k}") for k in range(PER)), *(known(F.log(gamma(k, 2))).alias(f"c{k}") for k in range(PER)), *(known(_uniform(f, sample + k, 4)).alias(f"b{k}") for k in range(PER)))
-    return base.withColumns({f"i{k}": known(1.0 / F.col(f"r{k}")) for k in range(PER)})
+def _halves(term: Column, sample: Column, salt: int) -> tuple[Column, Column]:
+    """Two numbers in (0, 1) that depend on the term, the sample and the salt only."""
+    bits = F.xxhash64(term, sample, F.lit(salt))
+    unit = lambda x: (x.cast("double") + 0.5) / float(1 << 32)
+    return unit(F.shiftrightunsigned(bits, 32)), unit(bits.bitwiseAND(F.lit((1 << 32) - 1)))
 
 
 def words(text: Column) -> Column:
@@ -43,27 +31,33 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def terms(words: Column, features: int = FEATURES) -> Column:
-    """The features of the terms, repeats included: pairs of consecutive words, or the only word."""
-    code = lambda *w: F.pmod(F.xxhash64(*w), F.lit(features)).cast("int")
+def terms(words: Column) -> Column:
+    """The 64-bit hashes of the terms, repeats included: pairs of consecutive words, or the only word."""
+    code = F.xxhash64
     pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: code(a, b))
     return F.when(F.size(words) > 1, pairs).otherwise(F.transform(words, lambda w: code(w)))
 
 
-def signatures(rows: DataFrame, group: list[str], text: str, samples: int = SAMPLES, features: int = FEATURES) -> DataFrame:
+def signatures(rows: DataFrame, group: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
     """(group, fingerprint) of each row: by Ioffe's consistent weighted sampling with term counts as weights.
 
     A term of weight w gives t = floor(ln w / r + b), y = exp(r * (t - b)) and a = c / (y * exp(r)); a sample keeps the
     term with the least a. Two texts keep the same (term, t) with the chance of their generalised Jaccard similarity; as
-    a depends on (term, t) alone, its bits stand for them. A text without terms has the fingerprint of no terms.
+    a depends on (term, t) alone, its bits stand for them. r and c (Gamma(2, 1)) and the uniform b are hashes of the whole
+    term and the sample. A text without terms has the fingerprint of no terms.
     """
     # Two steps: the words of a text are found once, however often the terms' expression names them.
-    each = rows.select(*group, words(F.col(text)).alias("words")).select(*group, F.explode_outer(terms(F.col("words"), features)).alias("feature"))
+    each = rows.select(*group, words(F.col(text)).alias("words")).select(*group, F.explode_outer(terms(F.col("words"))).alias("feature"))
     each = each.select(*group, F.coalesce("feature", F.lit(-1)).alias("feature"))
     weighed = each.groupBy(*group, "feature").agg(F.coalesce(F.log(F.count(F.lit(1)).cast("double")), F.lit(0.0)).alias("lnw"))
-    joined = weighed.join(F.broadcast(sample_table(rows.sparkSession, samples, features)), "feature")
+    drawn = weighed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(samples // PER - 1))))
+    sample = lambda k: F.col("g") * PER + k
+    gamma = lambda k, salt: -F.log(F.col(f"u{salt}_{k}") * F.col(f"v{salt}_{k}"))
+    uniforms = [x.alias(f"{n}{salt}_{k}") for k in range(PER) for salt in (0, 1, 2) for n, x in zip("uv", _halves(F.col("feature"), sample(k), salt)) if salt < 2 or n == "u"]
+    joined = drawn.select(*group, "g", "lnw", *uniforms)
+    joined = joined.select(*group, "g", "lnw", *(gamma(k, 0).alias(f"r{k}") for k in range(PER)), *(F.log(gamma(k, 1)).alias(f"c{k}") for k in range(PER)), *(F.col(f"u2_{k}").alias(f"b{k}") for k in range(PER)))
     of = lambda c, k: F.col(f"{c}{k}")
-    least = [F.min(of("c", k) - of("r", k) * (F.floor(F.col("lnw") * of("i", k) + of("b", k)) + 1 - of("b", k))).alias(f"a{k}") for k in range(PER)]
+    least = [F.min(of("c", k) - of("r", k) * (F.floor(F.col("lnw") / of("r", k) + of("b", k)) + 1 - of("b", k))).alias(f"a{k}") for k in range(PER)]
     code = lambda k: F.lower(F.right(F.concat(F.lit("000"), F.hex(F.xxhash64(f"a{k}"))), F.lit(_CODE)))
     pieces = joined.groupBy(*group, "g").agg(*least).select(*group, "g", F.concat(*(code(k) for k in range(PER))).alias("piece"))
     whole = [F.max(F.when(F.col("g") == g, F.col("piece"))) for g in range(samples // PER)]

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from propago.llm import decontaminate, pii, toxicity
+from propago.llm import decontaminate, fingerprints, pii, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -62,3 +62,9 @@ def test_spelt_addresses_need_no_other_sign(spark):
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
     out = {r.doc_id: r.text for r in pii.redact(df, pii.fit(df)).collect()}
     assert "jane" not in out[0] and "jane" not in out[1] and out[3] == texts[3]
+
+
+def test_long_unrelated_texts_look_unrelated(spark):
+    texts = [" ".join(f"{tag}{k}" for k in range(30_000)) for tag in "ab"]
+    got = fingerprints.edited_pairs(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    assert all(r.near_next <= 0.05 for r in got) and all(abs(r.near_edited - 0.6) < 0.25 for r in got)
