@@ -145,15 +145,49 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     return {"head": head, "payload": payload}, end + len(END)
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The plain bytes of the member at ``at``, where what was read ends, and what is wrong with it; then all bytes before the damage."""
     z = zlib.decompressobj(31)
     try:
         out = z.decompress(memoryview(data)[at:])
+        return out, len(data) - len(z.unused_data), None if z.eof else "gzip member is cut off"
     except zlib.error as e:
-        raise ValueError(f"bad gzip member: {e}") from None
-    if not z.eof:
-        raise ValueError("gzip member is cut off")
-    return out, len(data) - len(z.unused_data)
+        why = f"bad gzip member: {e}"
+    z, out = zlib.decompressobj(31), []
+    for step in (1 << 14, 1):  # a failed call gives nothing, so the bytes of its piece are read again one by one
+        while at < len(data) and not z.eof:
+            before = z.copy()
+            try:
+                out.append(z.decompress(data[at : at + step]))
+            except zlib.error:
+                z = before
+                break
+            at += step
+    return b"".join(out), min(at, len(data)), why
+
+
+def _within(plain: bytes) -> Iterator[dict]:
+    """The valid records of a member's plain bytes and, as {"error"}, the gaps between them."""
+    at, bad, why = 0, None, ""
+    gap = lambda end: {"error": f"{why} (plain bytes {bad} to {end} of the member)", "why": why}
+    while at < len(plain):
+        if bad is None and plain.startswith(b"\r\n", at):
+            at += 2
+            continue
+        try:
+            record, end = _parse(plain, at)
+        except ValueError as e:
+            if bad is None:
+                bad, why = at, str(e)
+            at = plain.find(b"\n" + VERSION, at) + 1 or len(plain)
+            continue
+        if bad is not None:
+            yield gap(at)
+            bad = None
+        yield {"record": record}
+        at = end
+    if bad is not None:
+        yield gap(len(plain))
 
 
 def _next(data: bytes, at: int) -> int:
@@ -168,23 +202,28 @@ def salvage(data: bytes) -> Iterator[dict]:
 
     Yields {"start", "end", "record"} or, for quarantined bytes, {"start", "end", "error"} in order of the bytes. After
     a failed check the search goes on one byte later for the next gzip member or version line that holds a valid record.
-    Gaps that touch are one. Plain and gzipped records may be mixed; blank lines and empty members are no gaps.
+    Gaps that touch are one. Plain and gzipped records may be mixed; blank lines and empty members are no gaps. A member
+    may hold several records: valid ones are yielded, and gaps between them, with the bytes of the member, also of what
+    was inflated before damage; the bytes of a damaged member are a gap too.
     """
-    at, bad, why = 0, None, ""
+    at, bad, why, read = 0, None, "", 0
     while at < len(data):
         try:
             if data.startswith(GZIP, at):
-                plain, end = _inflate(data, at)
-                found, inner = [], 0
-                while inner < len(plain):
-                    record, inner = _parse(plain, inner)
-                    found.append(record)
+                plain, end, damage = _inflate(data, at)
+                found = list(_within(plain))
+                if not any("record" in x for x in found) and (found or damage):
+                    raise ValueError(damage or found[0]["why"])
+                if damage and found[-1:] and "record" not in found[-1]:
+                    found.pop()  # the damage itself
             elif data[at : at + 2] == b"\r\n" and bad is None:
                 at += 2
                 continue
             else:
                 record, end = _parse(data, at)
-                found = [record]
+                if at < read:
+                    raise ValueError("inside a damaged member")
+                found, damage = [{"record": record}], None
         except ValueError as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -193,9 +232,13 @@ def salvage(data: bytes) -> Iterator[dict]:
         if bad is not None and found:
             yield {"start": bad, "end": at, "error": why}
             bad = None
-        for record in found:
-            yield {"start": at, "end": end, "record": record}
-        at = end
+        for x in found:
+            yield {"start": at, "end": end} | ({"record": x["record"]} if "record" in x else {"error": x["error"]})
+        if damage:
+            bad, why, read = at, damage, end
+            at = _next(data, at + 1)
+        else:
+            at = end
     if bad is not None:
         yield {"start": bad, "end": len(data), "error": why}
 

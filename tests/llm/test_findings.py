@@ -1,10 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
+import gzip
 import random
 
 from pyspark.sql import functions as F
 
-from propago.llm import decontaminate, fingerprints, pii, toxicity
+from propago.llm import decontaminate, fingerprints, pii, toxicity, warc
 
 DOCS = "doc_id long, text string"
 
@@ -68,3 +69,18 @@ def test_long_unrelated_texts_look_unrelated(spark):
     texts = [" ".join(f"{tag}{k}" for k in range(30_000)) for tag in "ab"]
     got = fingerprints.edited_pairs(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
     assert all(r.near_next <= 0.05 for r in got) and all(abs(r.near_edited - 0.6) < 0.25 for r in got)
+
+
+def test_salvage_within_members():
+    records = [warc._record("response", k, "u", warc.digest32(p), len(p), warc._response(p)) for k, p in enumerate([b"one", b"two", b"three" * 2000, b"four"])]
+    payloads = lambda found: [x["record"]["payload"] if "record" in x else "gap" for x in found]
+    bad = bytearray(records[1])
+    bad[-6] ^= 1
+    after = gzip.compress(records[0])
+    assert payloads(warc.salvage(gzip.compress(records[0] + bytes(bad) + records[3]) + after)) == [b"one", "gap", b"four", b"one"]
+    for level in (0, 6):
+        whole = gzip.compress(b"".join(records), level)
+        assert payloads(warc.salvage(whole)) == [b"one", b"two", b"three" * 2000, b"four"]
+        assert payloads(warc.salvage(whole[:-12])) in ([b"one", b"two", b"three" * 2000, "gap"], [b"one", b"two", b"three" * 2000, b"four", "gap"])
+        wrong = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+        assert payloads(warc.salvage(wrong + after)) == [b"one", b"two", b"three" * 2000, b"four", "gap", b"one"]
