@@ -147,10 +147,12 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
     """The plain bytes of the member at ``at``, where what was read ends, and what is wrong with it; then all bytes before the damage."""
-    z = zlib.decompressobj(31)
+    z, out, end = zlib.decompressobj(31), [], at
     try:
-        out = z.decompress(memoryview(data)[at:])
-        return out, len(data) - len(z.unused_data), None if z.eof else "gzip member is cut off"
+        while end < len(data) and not z.eof:  # by pieces: zlib copies what follows the member in the last one
+            out.append(z.decompress(data[end : end + (1 << 14)]))
+            end = min(end + (1 << 14), len(data))
+        return b"".join(out), end - len(z.unused_data), None if z.eof else "gzip member is cut off"
     except zlib.error as e:
         why = f"bad gzip member: {e}"
     z, out = zlib.decompressobj(31), []
