@@ -23,14 +23,21 @@ REPORT = "said says say told called quoted wrote reported claims claimed sagte s
 
 TAGS = {w: tag for tag, words in (("report", REPORT), ("negation", NEGATION), ("target", TARGET), ("threat", THREAT), ("insult", INSULT)) for w in words.split()}
 _SIGNS = frozenset((INSULT + " " + THREAT).split())
+#: Words and commas; a comma is a pause, which only reported speech spans.
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|,")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;:\n\r]+")
-
-#: Matched clauses of each kind, counted to CAP a document; the features of a score.
-KINDS = ("insult", "insult at target", "insult negated", "insult reported", "threat at target", "threat negated", "threat reported", "slur once", "slurs")
+#: Sentences. Colons and quotation marks stay inside, so that what is quoted is with who said it.
+_CLAUSE = re.compile(r"[.!?;\n\r]+")
+PAUSE = "pause"
+
+#: What a clause can be; each clause that matches counts for the kind of its heaviest path, to CAP a document.
+KINDS = (
+    "insult", "insult at target", "insult negated", "insult reported", "slur", "slurs", "slur at target", "slur negated", "slur reported",
+    "threat at target", "threat negated", "threat reported",
+)
 CAP = 3
-#: What the grammar expects of a kind before it has seen labels: the centre of the weights' prior.
-PRIOR = (3.0, 3.5, 0.0, -0.5, 3.5, 0.0, -0.5, 0.0, 4.0)
+#: What the grammar expects of a document's first clause of a kind, and of each further one, before it has seen labels.
+PRIOR = {"insult": (2.5, 1.5), "insult at target": (3.5, 1.0), "threat at target": (3.5, 1.0), "slur": (0.5, 1.5), "slurs": (2.0, 1.0), "slur at target": (1.5, 1.5)}
 PRIOR_BIAS = -3.0
 #: A word is learned as a slur from so many distinct toxic documents at least, and from this ratio of its rates.
 SLUR_DOCUMENTS, SLUR_RATIO = 5, 12.0
@@ -38,6 +45,8 @@ SLUR_DOCUMENTS, SLUR_RATIO = 5, 12.0
 SKETCH = 8
 #: Learned slurs of so many bytes at most are shipped to every task; a larger lexicon is joined with the documents' words.
 LEXICON_BYTES = 1 << 20
+#: Bits of the map of labelled keys, a superset of them, that spares other documents the join; its size is fixed.
+MAP_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -45,75 +54,93 @@ class Transducer:
     """A weighted finite-state transducer over clause tags.
 
     ``arcs`` maps (state, tag) to (state, weight); other words stay in a state for ``gap`` words at most, at ``cost``
-    each, and then fall back to the start. ``ends`` maps a state to what is written there.
+    each. A pause ends a path unless its state is in ``bridges``. ``ends`` maps a state to what is written there.
     """
 
     arcs: dict[tuple[int, str], tuple[int, float]]
     ends: dict[int, str]
     gap: int = 4
     cost: float = 0.05
+    bridges: frozenset[int] = frozenset()
     start: int = field(default=0)
 
     def best(self, tags: list[str | None]) -> tuple[str, float] | None:
         """The output with the greatest weight over the paths that start at any word."""
         found: tuple[str, float] | None = None
-        live: dict[int, tuple[float, int]] = {}
+        live: dict[tuple[int, int], float] = {}
         for tag in tags:
-            live[self.start] = (0.0, 0)
-            after: dict[int, tuple[float, int]] = {}
-            for state, (weight, idle) in live.items():
-                if state != self.start and idle < self.gap and (state not in after or after[state][0] < weight - self.cost):
-                    after[state] = (weight - self.cost, idle + 1)
+            live[(self.start, 0)] = 0.0
+            after: dict[tuple[int, int], float] = {}
+            for (state, idle), weight in live.items():
+                if state != self.start and idle < self.gap and (tag != PAUSE or state in self.bridges):
+                    spot = (state, idle + 1)
+                    after[spot] = max(after.get(spot, -1e9), weight - self.cost)
                 step = self.arcs.get((state, tag)) if tag else None
                 if step:
-                    to, gain = step[0], weight + step[1]
-                    if to not in after or after[to][0] < gain:
-                        after[to] = (gain, 0)
-                    if to in self.ends and (found is None or found[1] < gain):
-                        found = (self.ends[to], gain)
+                    spot, gain = (step[0], 0), weight + step[1]
+                    after[spot] = max(after.get(spot, -1e9), gain)
+                    if step[0] in self.ends and (found is None or found[1] < gain):
+                        found = (self.ends[step[0]], gain)
             live = after
         return found
 
 
-def act(sign: str, alone: float | None) -> Transducer:
-    """A sign (insult or threat), alone if ``alone`` is a weight, or next to its target on either side."""
-    arcs = {(0, sign): (1, alone or 0.0), (0, "target"): (2, 0.2), (1, "target"): (3, 0.8), (2, sign): (3, 1.0 + (alone or 0.0))}
-    ends = {3: f"{sign} at target"} | ({1: sign} if alone is not None else {})
+def act(sign: str, alone: float | None, several: str | None = None) -> Transducer:
+    """A sign, alone if ``alone`` is a weight, or next to its target: before it on either side, or, if it cannot stand
+    alone, with the target as its object. ``several`` is written where it comes twice."""
+    if alone is None:
+        return Transducer({(0, sign): (1, 0.0), (1, "target"): (2, 1.0)}, {2: f"{sign} at target"}, gap=2)
+    arcs = {(0, sign): (1, alone), (0, "target"): (2, 0.2), (1, "target"): (3, 0.8), (2, sign): (3, 1.0 + alone)}
+    ends = {1: sign, 3: f"{sign} at target"}
+    if several:
+        arcs[(1, sign)], ends[4] = (4, 0.9), several
     return Transducer(arcs, ends)
 
 
-def compose(operator: str, inner: Transducer, written: str) -> Transducer:
-    """The operator's word, then a match of ``inner``; what is written then is ``written`` alone."""
-    shift = max(s for s, _ in inner.arcs) + 4
+def after(operator: str, inner: Transducer, written: str, spans_pauses: bool = False) -> Transducer:
+    """Composition: the operator's word, then a match of ``inner``; what is written then is ``written`` alone."""
+    shift = max(to for to, _ in inner.arcs.values()) + 1
     arcs = {(0, operator): (shift, 1.5)}
-    for (state, tag), (to, weight) in inner.arcs.items():
-        arcs[(shift + state, tag)] = (shift + to, weight)
-    return Transducer(arcs, {shift + s: written for s in inner.ends}, inner.gap, inner.cost)
+    arcs |= {(shift + state, tag): (shift + to, weight) for (state, tag), (to, weight) in inner.arcs.items()}
+    bridges = {shift + s for s in inner.bridges} | ({shift} if spans_pauses else set())
+    return Transducer(arcs, {shift + s: written for s in inner.ends}, inner.gap, inner.cost, frozenset(bridges))
+
+
+def then(inner: Transducer, operator: str, written: str) -> Transducer:
+    """Composition: a match of ``inner``, then the operator's word, also over pauses; only that writes, ``written``."""
+    last = max(to for to, _ in inner.arcs.values()) + 1
+    return Transducer(inner.arcs | {(s, operator): (last, 1.5) for s in inner.ends}, {last: written}, inner.gap, inner.cost, inner.bridges | frozenset(inner.ends))
 
 
 def grammar() -> list[list[Transducer]]:
-    """For each sign the plain transducer and its compositions with negation and reported speech."""
-    insult, threat = act("insult", 1.0), act("threat", None)
-    either = lambda sign, t: [t, compose("negation", t, f"{sign} negated"), compose("report", t, f"{sign} reported")]
-    return [either("insult", insult), either("threat", threat)]
+    """For each sign the plain transducer and its compositions with negation and with reported speech, before or after."""
+
+    def options(sign, plain):
+        negated, reported = f"{sign} negated", f"{sign} reported"
+        denied = after("negation", plain, negated)
+        return [plain, denied, after("report", plain, reported, True), then(plain, "report", reported), after("report", denied, negated, True), then(denied, "report", negated)]
+
+    return [options("insult", act("insult", 1.0)), options("slur", act("slur", 1.0, "slurs")), options("threat", act("threat", None))]
+
+
+def tags_of(clause: str, slurs: frozenset[str]) -> list[str | None]:
+    """The tag of each word and comma of a lower-cased clause; learned words are slurs unless the fixed lexicon has them."""
+    return [PAUSE if w == "," else TAGS.get(w) or ("slur" if w in slurs else None) for w in _TOKEN.findall(clause)]
 
 
 def matched_clauses(text: str, rules: list[list[Transducer]], slurs: frozenset[str] = frozenset()) -> list[int]:
-    """How many clauses each kind wins, by the greatest weight, capped; of slurs whether one clause has some, or more."""
+    """How many clauses each kind wins, by the greatest weight among the transducers of a sign, capped."""
     counts = dict.fromkeys(KINDS, 0)
     lowered = text.lower()
     if not (found := set(_WORD.findall(lowered))) or (_SIGNS.isdisjoint(found) and slurs.isdisjoint(found)):
         return [0] * len(KINDS)
-    with_slurs = 0
     for clause in _CLAUSE.split(lowered):
-        words = _WORD.findall(clause)
-        with_slurs += not slurs.isdisjoint(words)
-        tags = [TAGS.get(w) for w in words]
-        for options in rules:
-            matches = [m for t in options if (m := t.best(tags))]
+        tags = tags_of(clause, slurs)
+        there = set(tags)
+        for options, sign in zip(rules, ("insult", "slur", "threat")):
+            matches = [m for t in options if (m := t.best(tags))] if sign in there else []
             if matches:
                 counts[max(matches, key=lambda m: m[1])[0]] += 1
-    counts["slur once"], counts["slurs"] = int(with_slurs == 1), int(with_slurs > 1)
     return [min(CAP, counts[k]) for k in KINDS]
 
 
@@ -121,6 +148,17 @@ def _distinct_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)")))
 
 
+def _labelled(df: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``df`` (__doc) whose key may be in ``known`` (__key): a map of bits of fixed size, joined by slot."""
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST({c} & 63 AS INT))")
+    # 2 ** (MAP_BITS - 6) rows at most, whatever the number of labels.
+    bits = known.select(slot("__key").alias("at")).select(F.shiftright("at", 6).alias("__word"), bit("at").alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+    placed = df.withColumn("__at", slot("__doc")).withColumn("__word", F.shiftright("__at", 6))
+    found = placed.join(F.broadcast(bits), "__word").filter(F.col("__bits").bitwiseAND(bit("__at")) != 0)
+    return found.drop("__at", "__word", "__bits")
+
+
 def learn_slurs(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> frozenset[str] | DataFrame:
     """Words that mark the learned rows' toxic labels, beside the fixed lexicons: insults of any language.
 
@@ -130,9 +168,10 @@ def learn_slurs(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col:
     """
     known = labels.filter("toxic IS NOT NULL").select(F.col(f"`{key}`").alias("__key"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     rows = df.select(F.col(f"`{key}`").alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("t")).filter(~held_out("__doc"))
-    # Distinct words are joined, not texts; the hint keeps the plan, and what it shuffles, alike at every size.
+    rows = _labelled(rows, known.filter(~held_out("__key")))
     rows = rows.select("__doc", F.concat_ws(" ", _distinct_words(F.col("t"))).alias("words")).filter("words <> ''")
-    rows = rows.join(known.hint("merge"), F.col("__doc") == F.col("__key")).select("toxic", F.split("words", " ").alias("words"))
+    # Labels grow with the documents, so they have no bound that would allow a broadcast: both sides are dealt by key.
+    rows = rows.join(known.hint("shuffle_merge"), F.col("__doc") == F.col("__key")).select("toxic", F.split("words", " ").alias("words"))
     least = [F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in range(SKETCH)]
     rows = rows.select("toxic", "words", F.xxhash64(*least).alias("sketch"))
     # The empty word stands in every document: its counts are the totals.
@@ -182,10 +221,10 @@ def fit(labelled: DataFrame, strength: float = 1.0, rounds: int = 60) -> list[fl
     all labels count and the driver holds the patterns only. Null labels are left out; without labels the prior holds.
     """
     rows = labelled.filter("toxic IS NOT NULL").groupBy("clauses", F.col("toxic").cast("int").alias("toxic")).count().collect()
-    centre = np.array([PRIOR_BIAS, *PRIOR])
+    centre = np.array([PRIOR_BIAS, *(PRIOR.get(k, (0.0, 0.0))[n > 1] for k in KINDS for n in range(1, CAP + 1))])
     if not rows:
         return centre.tolist()
-    x = np.array([[1.0, *_signal(r["clauses"])] for r in rows])
+    x = np.array([[1.0, *(float(c >= n) for c in r["clauses"] for n in range(1, CAP + 1))] for r in rows])
     y, n = np.array([float(r["toxic"] > 0) for r in rows]), np.array([float(r["count"]) for r in rows])
     w = centre.copy()
     for _ in range(rounds):
@@ -197,17 +236,11 @@ def fit(labelled: DataFrame, strength: float = 1.0, rounds: int = 60) -> list[fl
     return w.tolist()
 
 
-def _signal(clauses: list[int]) -> list[float]:
-    """Half of a kind's signal comes with its first clause."""
-    return [0.5 * (c > 0) + 0.5 * c / CAP for c in clauses]
-
-
 def score(clauses: Column, weights: list[float]) -> Column:
-    """The chance of toxicity, computed in the JVM."""
+    """The chance of toxicity, computed in the JVM: a kind's first clause and each further one have their own weight."""
     total = F.lit(weights[0])
-    for k, w in enumerate(weights[1:]):
-        c = F.get(clauses, k)
-        total = total + F.lit(w) * (F.when(c > 0, F.lit(0.5)).otherwise(F.lit(0.0)) + c * F.lit(0.5 / CAP))
+    for i, w in enumerate(weights[1:]):
+        total = total + F.when(F.get(clauses, i // CAP) > i % CAP, F.lit(w)).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-total))
 
 
@@ -231,11 +264,10 @@ def score_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with a score under one half, columns as they are."""
-    columns = df.columns
-    slurs = learn_slurs(df, labels, key, text_col)
-    matched = with_clauses(df, text_col, slurs)
+    """The rows of ``df`` with a score under one half, columns as they are. The grammar runs once over each text."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    matched = cut(with_clauses(df.select(whole, F.col(f"`{text_col}`").alias("__t")), "__t", learn_slurs(df, labels, key, text_col)).drop("__t"))
     known = labels.select(F.col(f"`{key}`").alias("__key"), "toxic")
-    slim = with_clauses(df.select(F.col(f"`{key}`"), F.col(f"`{text_col}`").alias("__t")), "__t", slurs).select(F.col(f"`{key}`"), "clauses")
-    weights = fit(slim.filter(~held_out(key)).join(known, F.col(f"`{key}`") == F.col("__key")))
-    return matched.filter(score(F.col("clauses"), weights) < 0.5).select(*(F.col(f"`{c}`") for c in columns))
+    slim = matched.select(F.col(f"row.`{key}`").alias("__doc"), "clauses")
+    weights = fit(slim.filter(~held_out("__doc")).join(known, F.col("__doc") == F.col("__key")))
+    return matched.filter(score(F.col("clauses"), weights) < 0.5).select("row.*").select(*(F.col(f"`{c}`") for c in df.columns))
