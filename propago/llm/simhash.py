@@ -178,7 +178,8 @@ def classes(marked: DataFrame, key: str = "doc_id") -> DataFrame:
     least = cut(marked.groupBy("fp").agg(F.min(F.col(f"`{key}`").cast("long")).alias("least")))
     found = components(links(least.select("fp")))
     grouped = least.join(found, least.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that no aggregate shares the stage of the join: Spark can then split a root that very many have.
+    names = cut(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     return grouped.select("fp", "root").join(names, "root").select("fp", "root", "component_id")
 
 
