@@ -101,27 +101,45 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: i
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The divisor of the logits with the least negative log-likelihood on rows not learned from."""
-    best = (np.inf, 1.0)
-    for t in np.geomspace(0.05, 20, 121):
+    """The divisor of the logits with the least negative log-likelihood on rows not learned from.
+
+    Targets are smoothed as if each other language had been seen once more, so that rows that are all right have a
+    finite optimum. Raises if the optimum is at an end of the search. One language alone, or no row, gives 1.
+    """
+    n, k = logits.shape if logits.ndim == 2 else (0, 0)
+    if n == 0 or k < 2:
+        return 1.0
+    target = np.full((n, k), 1 / (n + k))
+    target[np.arange(n), y] = (n + 1) / (n + k)
+    steps = np.geomspace(0.01, 100, 241)
+    losses = []
+    for t in steps:
         s = logits / t
         s = s - s.max(axis=1, keepdims=True)
-        loss = float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
-        best = min(best, (loss, float(t)))
-    return best[1]
+        losses.append(float((np.log(np.exp(s).sum(axis=1)) - (target * s).sum(axis=1)).mean()))
+    best = int(np.argmin(losses))
+    if best in (0, len(steps) - 1) and np.ptp(logits) > 0:
+        raise ValueError(f"calibration ends at the edge of its search: {steps[best]}")
+    return float(steps[best])
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict:
     """Document frequencies over all rows of ``df`` with a language; weights and temperature from about ``sample_docs``.
 
-    The sample is drawn by a hash of the text, copies once, so a drawn text with many copies stays one row; a tenth of it sets the temperature only. Rows without language or letter
-    are left out. Without any row the model knows no language.
+    The sample is drawn by a hash of the text, copies once, so a drawn text with many copies stays one row. It is in
+    proportion to the languages, but a rare one gets a quarter of an even share, or all it has. A tenth of the
+    sample sets the temperature only. Rows without language or letter are left out. Without any row the model knows no
+    language.
     """
     rows = df.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("lang IS NOT NULL AND t IS NOT NULL")
     df_counts, total = document_frequencies(rows.select("t"))
     idf = np.log((1 + total) / (1 + df_counts)) + 1
-    share = min(1.0, sample_docs / max(1, total))
-    drawn = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["t", "lang"])
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    kinds = max(1, sizes.count())
+    share = F.greatest(F.lit(sample_docs / max(1, total)), F.lit(sample_docs / (4 * kinds)) / F.col("n"))
+    shares = sizes.select("lang", F.least(F.lit(1.0), share).alias("share"))
+    # As many rows as the model has classes, which every task holds anyway.
+    drawn = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < (F.col("share") * (1 << 30)).cast("long")).select("t", "lang").dropDuplicates(["t", "lang"])
 
     def run(batches):
         for batch in batches:
