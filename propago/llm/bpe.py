@@ -73,9 +73,9 @@ def pieces(text: str, chunk: int = CHUNK) -> list[tuple[str, bool]]:
     return out
 
 
-def encode_text(encoding: tiktoken.Encoding, whole: tiktoken.Encoding, text: str, chunk: int = CHUNK) -> np.ndarray:
-    """The ids of a text; ``whole`` encodes what is one match."""
-    parts = [(whole if one else encoding).encode_to_numpy(p, disallowed_special=()) for p, one in pieces(text, chunk)]
+def encode_text(encoding: tiktoken.Encoding, text: str, chunk: int = CHUNK, whole: tiktoken.Encoding | None = None) -> np.ndarray:
+    """The ids of a text; ``whole`` encodes long runs of white space, each as one match."""
+    parts = [((whole or encoding) if one else encoding).encode_to_numpy(p, disallowed_special=()) for p, one in pieces(text, chunk)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
@@ -92,7 +92,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
         encoding, whole = _encoding(data.value, pattern), _whole(data.value)
 
         def fn(texts):
-            ids = [encode_text(encoding, whole, t or "", chunk) for t in texts]
+            ids = [encode_text(encoding, t or "", chunk, whole) for t in texts]
             digests = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
             return list_of([x.astype(np.int32) for x in ids], pa.int32()), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string())
 
