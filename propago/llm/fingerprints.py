@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +17,15 @@ BLOCK_DOCS = 512
 #: Text bytes in a partition, about: a hash table of one has a few hundred thousand terms.
 PART_BYTES = 4 << 20
 _CODE = 4
+#: Bits of a uniform number: three come from one 64-bit hash.
+_BITS = 21
 
 
-def _halves(term: Column, sample: Column, salt: int) -> tuple[Column, Column]:
-    """Two numbers in (0, 1) that depend on the term, the sample and the salt only."""
-    bits = F.xxhash64(term, sample, F.lit(salt))
-    unit = lambda x: (x.cast("double") + 0.5) / float(1 << 32)
-    return unit(F.shiftrightunsigned(bits, 32)), unit(bits.bitwiseAND(F.lit((1 << 32) - 1)))
+def _uniforms(seed: Column, number: int) -> list[Column]:
+    """Three numbers in (0, 2 ** _BITS) that depend on the seed and the number only."""
+    bits = F.xxhash64(seed.bitwiseXOR(F.lit(number)))
+    part = lambda at: F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("double") + F.lit(0.5)
+    return [part(_BITS * i) for i in range(3)]
 
 
 def words(text: Column) -> Column:
@@ -38,30 +42,46 @@ def terms(words: Column) -> Column:
     return F.when(F.size(words) > 1, pairs).otherwise(F.transform(words, lambda w: code(w)))
 
 
-def signatures(rows: DataFrame, group: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """(group, fingerprint) of each row: by Ioffe's consistent weighted sampling with term counts as weights.
+def weights(rows: DataFrame, group: list[str], text: str, which: Column, texts: int) -> DataFrame:
+    """(group, feature, lnw0, lnw1, ...): the terms of each group and the log of their count in each of its texts.
+
+    ``which`` numbers a row's text from 0. A term that a text lacks has a null there; a text without terms has the term -1.
+    """
+    # Two steps: the words of a text are found once, however often the terms' expression names them.
+    each = rows.select(*group, which.alias("which"), words(F.col(text)).alias("words"))
+    each = each.select(*group, "which", F.explode_outer(terms(F.col("words"))).alias("feature"))
+    count = lambda k: F.nullif(F.sum((F.col("which") == k).cast("long")), F.lit(0))
+    each = each.select(*group, "which", F.coalesce("feature", F.lit(-1)).alias("feature"))
+    return each.groupBy(*group, "feature").agg(*(F.log(count(k).cast("double")).alias(f"lnw{k}") for k in range(texts)))
+
+
+def signatures(weighed: DataFrame, group: list[str], texts: int = 1, samples: int = SAMPLES) -> DataFrame:
+    """(group, fingerprint0, fingerprint1, ...) by Ioffe's consistent weighted sampling, with term counts as weights.
 
     A term of weight w gives t = floor(ln w / r + b), y = exp(r * (t - b)) and a = c / (y * exp(r)); a sample keeps the
     term with the least a. Two texts keep the same (term, t) with the chance of their generalised Jaccard similarity; as
     a depends on (term, t) alone, its bits stand for them. r and c (Gamma(2, 1)) and the uniform b are hashes of the whole
-    term and the sample. A text without terms has the fingerprint of no terms.
+    term and the sample, made once for all texts of a group. A text without terms has the fingerprint of no terms.
     """
-    # Two steps: the words of a text are found once, however often the terms' expression names them.
-    each = rows.select(*group, words(F.col(text)).alias("words")).select(*group, F.explode_outer(terms(F.col("words"))).alias("feature"))
-    each = each.select(*group, F.coalesce("feature", F.lit(-1)).alias("feature"))
-    weighed = each.groupBy(*group, "feature").agg(F.coalesce(F.log(F.count(F.lit(1)).cast("double")), F.lit(0.0)).alias("lnw"))
-    drawn = weighed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(samples // PER - 1))))
-    sample = lambda k: F.col("g") * PER + k
-    gamma = lambda k, salt: -F.log(F.col(f"u{salt}_{k}") * F.col(f"v{salt}_{k}"))
-    uniforms = [x.alias(f"{n}{salt}_{k}") for k in range(PER) for salt in (0, 1, 2) for n, x in zip("uv", _halves(F.col("feature"), sample(k), salt)) if salt < 2 or n == "u"]
-    joined = drawn.select(*group, "g", "lnw", *uniforms)
-    joined = joined.select(*group, "g", "lnw", *(gamma(k, 0).alias(f"r{k}") for k in range(PER)), *(F.log(gamma(k, 1)).alias(f"c{k}") for k in range(PER)), *(F.col(f"u2_{k}").alias(f"b{k}") for k in range(PER)))
+    unit = 2 * _BITS * math.log(2)
+    drawn = weighed.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // PER - 1))).alias("g"))
+    seeded = drawn.select("*", F.xxhash64("feature", "g").alias("seed"))
+    lnws = [f"lnw{j}" for j in range(texts)]
+    named = []
+    for k in range(PER):
+        (p, q, b), (x, y, _) = _uniforms(F.col("seed"), 2 * k + 1), _uniforms(F.col("seed"), 2 * k + 2)
+        named += [(F.lit(unit) - F.log(p * q)).alias(f"r{k}"), F.log(F.lit(unit) - F.log(x * y)).alias(f"c{k}"), (b * F.lit(2.0**-_BITS)).alias(f"b{k}")]
+    joined = seeded.select(*group, "g", *lnws, *named)
     of = lambda c, k: F.col(f"{c}{k}")
-    least = [F.min(of("c", k) - of("r", k) * (F.floor(F.col("lnw") / of("r", k) + of("b", k)) + 1 - of("b", k))).alias(f"a{k}") for k in range(PER)]
-    code = lambda k: F.lower(F.right(F.concat(F.lit("000"), F.hex(F.xxhash64(f"a{k}"))), F.lit(_CODE)))
-    pieces = joined.groupBy(*group, "g").agg(*least).select(*group, "g", F.concat(*(code(k) for k in range(PER))).alias("piece"))
-    whole = [F.max(F.when(F.col("g") == g, F.col("piece"))) for g in range(samples // PER)]
-    return pieces.groupBy(*group).agg(F.concat(*whole).alias("fingerprint"))
+    # ln a at weight 1, where t is 0; each further step of t takes r from it.
+    joined = joined.select(*group, "g", *lnws, *(x for k in range(PER) for x in (of("r", k), of("b", k), (of("c", k) - of("r", k) * (1 - of("b", k))).alias(f"f{k}"))))
+    lna = lambda j, k: F.when(of("lnw", j) == 0, of("f", k)).when(of("lnw", j) > 0, of("f", k) - of("r", k) * F.floor(of("lnw", j) / of("r", k) + of("b", k)))
+    least = [F.min(lna(j, k)).alias(f"a{j}_{k}") for j in range(texts) for k in range(PER)]
+    code = lambda j, k: F.lower(F.right(F.concat(F.lit("000"), F.hex(F.xxhash64(f"a{j}_{k}"))), F.lit(_CODE)))
+    pieces = joined.groupBy(*group, "g").agg(*least)
+    pieces = pieces.select(*group, "g", *(F.when(F.col(f"a{j}_0").isNotNull(), F.concat(*(code(j, k) for k in range(PER)))).alias(f"piece{j}") for j in range(texts)))
+    whole = lambda j: F.concat(*(F.max(F.when(F.col("g") == g, F.col(f"piece{j}"))) for g in range(samples // PER)))
+    return pieces.groupBy(*group).agg(*(whole(j).alias(f"fingerprint{j}") for j in range(texts)))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -78,7 +98,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text_col: str = "text", sam
     size = df.select(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     parts = max(1, size // PART_BYTES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"), F.monotonically_increasing_id().alias("__row")).repartition(parts, "__row")
-    return signatures(rows, ["__row", "__key"], "__text", samples).select(F.col("__key").alias(key), "fingerprint")
+    group = ["__row", "__key"]
+    return signatures(weights(rows, group, "__text", F.lit(0), 1), group, 1, samples).select(F.col("__key").alias(key), F.col("fingerprint0").alias("fingerprint"))
 
 
 def edited_pairs(df: DataFrame, key: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -110,9 +131,8 @@ def edited_pairs(df: DataFrame, key: str = "doc_id", text_col: str = "text", sam
     placed = placed.withColumn("edited", edited)
     both = placed.select("block", "rn", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("t").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("e"))
     both = both.select("block", "rn", "e.which", "e.text").filter("text IS NOT NULL")
-    signed = signatures(both, ["block", "rn", "which"], "text", samples)
-    of = lambda i: F.max(F.when(F.col("which") == i, F.col("fingerprint")))
-    signed = signed.groupBy("block", "rn").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
+    signed = signatures(weights(both, ["block", "rn"], "text", F.col("which"), 2), ["block", "rn"], 2, samples)
+    signed = signed.select("block", "rn", F.col("fingerprint0").alias("fingerprint"), F.col("fingerprint1").alias("edited_fingerprint"))
     about = placed.select("block", "rn", "ghost", "k", length.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     known = about.join(signed, ["block", "rn"])
     known = known.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("block").orderBy("rn"))).filter("ghost = 0")
