@@ -28,7 +28,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.read(spark, warc.archive(_table(spark, sf_dir, "pages")), payloads=False).filter("error IS NULL")
+    records = warc.whole(warc.read(spark, warc.archive(_table(spark, sf_dir, "pages")), payloads=False))
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

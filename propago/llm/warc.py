@@ -11,13 +11,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField
 
 from propago.llm.arrow import append_columns
 from propago.session import shared_dir
 
-#: Records in one archive file at most, so that a reader's task holds a bounded file.
-RECORDS_PER_FILE = 5_000
+#: Bytes of one archive file at most, but for a single longer record: a reader's task holds one file at a time.
+FILE_BYTES = 32 << 20
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 END = b"\r\n\r\n"
@@ -57,12 +57,13 @@ def _response(payload: bytes) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + END + payload
 
 
-def write(df: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str = "url", least: int = 0) -> None:
+def write(df: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str = "url", least: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Write one gzip member a row to archives in ``path``, with Spark's own writer, so to any store that Spark reaches.
 
     Of rows with equal payloads of at least ``least`` bytes, those with the largest id are response records, others
     revisit them; smaller ones are all response. A null payload is empty; a null id is smaller than any; repeated rows
-    with the largest id are response each. An empty table writes no record.
+    with the largest id are response each. An empty table writes no record. Each task numbers its files, ``file=0`` and
+    so on, and begins a new one before it would pass ``file_bytes``; a longer record has a file to itself.
     """
 
     def make():
@@ -87,17 +88,26 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", payload_col: str =
     revisits = F.col("largest").isNotNull() & ~F.col("id").eqNullSafe(F.col("largest"))
 
     def make_revisits():
+        file, filled = 0, 0
+
         def fn(ids, uris, digests, sizes, largest, again, members):
+            nonlocal file, filled
             rows = [_member(_record("revisit", i, u, d, s, b"", r)) if a else m for i, u, d, s, r, a, m in zip(ids, uris, digests, sizes, largest, again, members)]
-            return (pa.array(rows, pa.binary()),)
+            files = []
+            for row in rows:
+                size = len(row) + len(EMPTY_MEMBER)
+                if filled and filled + size > file_bytes:
+                    file, filled = file + 1, 0
+                filled += size
+                files.append(file)
+            return pa.array(rows, pa.binary()), pa.array(files, pa.int32())
 
         return fn
 
     inputs = {"id": "long", "uri": "string", "digest": "string", "size": "long", "largest": "long", "again": "boolean", "member": "binary"}
-    records = append_columns(joined.withColumn("again", revisits), inputs, [StructField("value", BinaryType())], make_revisits)
-    text = records.select(F.col("value").cast("string"))
-    options = {"lineSep": EMPTY_MEMBER.decode("latin-1"), "encoding": "ISO-8859-1", "maxRecordsPerFile": RECORDS_PER_FILE}
-    text.write.options(**options).text(path)
+    records = append_columns(joined.withColumn("again", revisits), inputs, [StructField("value", BinaryType()), StructField("file", IntegerType())], make_revisits)
+    text = records.select(F.col("value").cast("string"), "file")
+    text.write.partitionBy("file").options(lineSep=EMPTY_MEMBER.decode("latin-1"), encoding="ISO-8859-1").text(path)
 
 
 def _hex_of_base32(column: str):
@@ -286,6 +296,17 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _SCHEMA)
 
 
+def whole(records: DataFrame) -> DataFrame:
+    """The records, failing the job at the first quarantined gap: for archives that must not have any."""
+    said = F.concat_ws(" ", F.lit("damaged archive"), "file", F.lit("bytes"), "start", F.lit("to"), "end", "error")
+    return records.filter(F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+
+
+def log_gaps(records: DataFrame, path: str) -> None:
+    """Write the quarantined byte gaps of ``records`` as JSON lines (file, start, end, error)."""
+    records.filter("error IS NOT NULL").select("file", "start", "end", "error").write.json(path)
+
+
 def archive(df: DataFrame, **columns) -> str:
     """Write ``df`` to a new folder of archives in the shared folder and return its path."""
     path = f"{shared_dir(df.sparkSession)}/warc-{uuid.uuid4().hex}"
