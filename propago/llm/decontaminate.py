@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 from functools import lru_cache
 
 import numpy as np
@@ -12,14 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from propago.llm.arrow import append_columns
+from propago.session import cut
 
 WINDOW = 10
 #: The pipeline cuts items of so many words at most from no longer text.
 EXEMPT = 3
-#: Bytes of item text in one automaton; more items are dealt to several automata, each streamed over all documents.
-SHARD_BYTES = 16 << 20
-#: Bytes of item text at most: the automata of all shards are broadcast.
-BENCHMARK_BYTES = 256 << 20
+#: Bytes of item text in one automaton, about: more items are dealt to several, each of which passes over the documents.
+SHARD_BYTES = 4 << 20
 #: Word bytes are digits, letters (A-Z lower-cased) and all of non-ASCII; others become spaces.
 _WORD_BYTES = bytes((c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20) for c in range(256))
 
@@ -28,8 +28,8 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
-class Automaton:
-    """Suffix automaton of all items' word sequences, with the windows that end in each state."""
+class Builder:
+    """Suffix automaton of all items' word sequences, with the windows that end in each state; see ``arrays``."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
         self.window = window
@@ -37,15 +37,11 @@ class Automaton:
         self.step: list[dict[int, int]] = [{}]
         self.link, self.longest = [-1], [0]
         self.items = [(name, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]) for name, words in items if words]
-        self.least = min((min(len(w), window) for _, w in self.items), default=0)
         for _, codes in self.items:
             last = 0
             for c in codes:
                 last = self._extend(last, c)
         self._mark()
-        n = max(1, len(self.vocabulary))
-        pairs = {a * n + b for _, codes in self.items for a, b in zip(codes, codes[1:])}
-        self.pairs = np.array(sorted(pairs), np.int64)
 
     def _extend(self, last: int, c: int) -> int:
         if c in self.step[last]:
@@ -93,12 +89,61 @@ class Automaton:
                     full.setdefault(state, set()).add(number)
             if len(codes) < self.window:
                 short.setdefault(state, []).append((len(codes), number))
-        self.full: list[tuple[int, ...]] = [()] * len(self.step)
-        self.short: list[tuple[tuple[int, int], ...]] = [()] * len(self.step)
-        for s in sorted(range(len(self.step)), key=self.longest.__getitem__):
+        self.full, self.short = full, short
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """The automaton as flat arrays: transitions sorted by (state, word), and each state's nearest suffix with items."""
+        size, n = len(self.step), max(1, len(self.vocabulary))
+        edges = sorted((s * n + c, to) for s, step in enumerate(self.step) for c, to in step.items())
+        full_at, short_at = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        for s in sorted(range(size), key=self.longest.__getitem__):
             above = max(self.link[s], 0)
-            self.full[s] = tuple(sorted(full.get(s, ()))) or (self.full[above] if s else ())
-            self.short[s] = (self.short[above] if s else ()) + tuple(sorted(short.get(s, ())))
+            full_at[s] = s if s in self.full else full_at[above] if s else -1
+            short_at[s] = s if s in self.short else short_at[above] if s else -1
+        pairs = {a * n + b for _, codes in self.items for a, b in zip(codes, codes[1:])}
+        lists = {"full": [(s, i) for s in sorted(self.full) for i in sorted(self.full[s])], "short": [(s, *x) for s in sorted(self.short) for x in sorted(self.short[s])]}
+        return {
+            "edge": np.array([e[0] for e in edges], np.int64), "to": np.array([e[1] for e in edges], np.int32),
+            "link": np.array(self.link, np.int32), "longest": np.array(self.longest, np.int32), "full_at": full_at, "short_at": short_at,
+            "full": np.array(lists["full"], np.int32).reshape(-1, 2), "short": np.array(lists["short"], np.int32).reshape(-1, 3),
+            "pairs": np.array(sorted(pairs), np.int64), "words": _joined(self.vocabulary), "names": _joined(name.encode() for name, _ in self.items),
+            "least": np.array(min((min(len(w), self.window) for _, w in self.items), default=0)),
+        }
+
+
+def _joined(values) -> np.ndarray:
+    return np.frombuffer(b"".join(len(v).to_bytes(4, "little") + v for v in values), np.uint8)
+
+
+def _split(data: np.ndarray) -> list[bytes]:
+    raw, at, out = data.tobytes(), 0, []
+    while at < len(raw):
+        end = at + 4 + int.from_bytes(raw[at : at + 4], "little")
+        out.append(raw[at + 4 : end])
+        at = end
+    return out
+
+
+class Automaton:
+    """A built automaton, through which words stream."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], window: int) -> None:
+        self.window = window
+        self.vocabulary = {w: k for k, w in enumerate(_split(arrays["words"]))}
+        self.names = [x.decode() for x in _split(arrays["names"])]
+        self.least = int(arrays["least"])
+        for name in ("edge", "to", "link", "longest", "full_at", "short_at", "full", "short", "pairs"):
+            setattr(self, name, arrays[name])
+
+    def _next(self, state: int, c: int) -> int:
+        """The state after a word, or -1."""
+        code = state * max(1, len(self.vocabulary)) + c
+        at = int(self.edge.searchsorted(code))
+        return int(self.to[at]) if at < len(self.edge) and self.edge[at] == code else -1
+
+    def _of(self, table: np.ndarray, state: int) -> np.ndarray:
+        """The rows of a list by state."""
+        return table[table[:, 0].searchsorted(state) : table[:, 0].searchsorted(state, "right"), 1:]
 
     def _stretches(self, codes: np.ndarray):
         """Maximal runs of words that may hold a window: known words, each pair of which some item has."""
@@ -118,99 +163,125 @@ class Automaton:
         hit, short = np.zeros(len(words) + 1, np.int32), np.zeros(len(words) + 1, np.int32)
         found: set[int] = set()
         longest = 0
-        if not self.items or len(words) < self.least:
+        if not self.names or len(words) < self.least:
             return hit[:-1] > 0, found, longest, hit[:-1] > 0
         codes = np.fromiter(map(self.vocabulary.get, words, [-1] * len(words)), np.int64, len(words))
-        step, link, reach, window = self.step, self.link, self.longest, self.window
         for start, stop in self._stretches(codes):
             state = length = 0
             for at, c in enumerate(codes[start:stop].tolist(), start):
-                while state and c not in step[state]:
-                    state = link[state]
-                    length = reach[state]
-                if c in step[state]:
-                    state, length = step[state][c], length + 1
+                while (after := self._next(state, c)) < 0 and state:
+                    state = int(self.link[state])
+                    length = int(self.longest[state])
+                if after >= 0:
+                    state, length = after, length + 1
                 longest = max(longest, length)
-                if length >= window:
-                    hit[at + 1 - window] += 1
+                if length >= self.window:
+                    hit[at + 1 - self.window] += 1
                     hit[at + 1] -= 1
-                    found.update(self.full[state])
-                for size, number in self.short[state]:
-                    if size <= length:
-                        into = hit if size >= floor else short
-                        into[at + 1 - size] += 1
-                        into[at + 1] -= 1
-                        found.add(number)
+                    if self.full_at[state] >= 0:
+                        found.update(self._of(self.full, self.full_at[state])[:, 0].tolist())
+                near = int(self.short_at[state])
+                while near >= 0:
+                    for size, number in self._of(self.short, near).tolist():
+                        if size <= length:
+                            into = hit if size >= floor else short
+                            into[at + 1 - size] += 1
+                            into[at + 1] -= 1
+                            found.add(number)
+                    near = int(self.short_at[self.link[near]]) if near else -1
         core = np.cumsum(hit[:-1]) > 0
         return core | (np.cumsum(short[:-1]) > 0), found, longest, core
 
 
-@lru_cache(maxsize=2)
-def _automaton(key: str, items: tuple[tuple[str, bytes], ...], window: int) -> Automaton:
-    return Automaton([(name, words_of(text)) for name, text in items], window)
+@lru_cache(maxsize=1)
+def _automaton(key: str, data: bytes, window: int) -> Automaton:
+    with np.load(io.BytesIO(data)) as arrays:
+        return Automaton({k: arrays[k] for k in arrays.files}, window)
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> list[tuple[tuple[str, bytes], ...]]:
-    """The items in shards of SHARD_BYTES at most (a longer item alone), so that each broadcast is bounded."""
-    total = benchmark.select(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
-    if total > BENCHMARK_BYTES:
-        raise ValueError(f"the items have {total} bytes of text, more than the {BENCHMARK_BYTES} that may be broadcast; match them in parts")
-    out: list[list[tuple[str, bytes]]] = [[]]
-    size = 0
-    for row in benchmark.select(F.col(f"`{item_col}`").cast("string"), F.col(f"`{text_col}`").cast("string").cast("binary")).orderBy(1, 2).toLocalIterator():
-        if row[0] is None or row[1] is None:
-            continue
-        if size and size + len(row[1]) > SHARD_BYTES:
-            out.append([])
-            size = 0
-        out[-1].append((row[0], bytes(row[1])))
-        size += len(row[1])
-    return [tuple(x) for x in out]
+def build(benchmark: DataFrame, window: int, item_col: str, text_col: str, shard_bytes: int) -> DataFrame:
+    """(shard, data): the automata of the items. A hash deals the items to shards; one task builds a shard's automaton."""
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("t")).filter("item IS NOT NULL AND t IS NOT NULL")
+    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    shards = max(1, -(-total // shard_bytes))
+
+    def make(table):
+        rows = sorted(zip(table.column("item").to_pylist(), table.column("t").to_pylist()))
+        out = io.BytesIO()
+        np.savez(out, **Builder([(name, words_of(t)) for name, t in rows], window).arrays())
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "data": pa.array([out.getvalue()], pa.binary())})
+
+    return items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(make, "shard int, data binary")
 
 
 _SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))
 
 
-def match(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, item_col: str = "item_id", item_text: str = "text", floor: int = 1) -> DataFrame:
+def match(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, item_col: str = "item_id", item_text: str = "text", floor: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Append n_words, n_hit, longest (words of the longest match), items (array of item ids as strings, sorted), spans.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. A word
     inside any occurrence of a window is hit; ``spans`` are the maximal runs of words hit by windows of ``floor`` words
-    or more. Null texts have no words; null
-    items or item ids are left out; repeated items count by their id. Other columns pass through; input columns named
-    like an output are replaced. Items beyond SHARD_BYTES are matched in further passes and their hits united.
+    or more. Null texts have no words; null items or item ids are left out; repeated items count by their id. Other
+    columns pass through; input columns named like an output are replaced. A task holds one automaton, of about
+    ``shard_bytes`` of item text. Items beyond that are matched in further passes over the documents, each written and
+    read again, in which hits are united; so there is no bound on the items.
     """
-    sc = df.sparkSession.sparkContext
-    shards = [sc.broadcast((hashlib.sha256(repr(s).encode()).hexdigest(), s)) for s in _shards(benchmark, item_col, item_text)]
+    outputs = ("n_words", "n_hit", "longest", "items", "spans")
+    marked = df.drop(*outputs, "__hits").withColumns({"spans": F.lit(None).cast(_SPANS), "__hits": F.lit(None).cast(_SPANS), "items": F.lit(None).cast("array<string>"), "longest": F.lit(0).cast("long")})
+    automata = cut(build(benchmark, window, item_col, item_text, shard_bytes))
+    shards = sorted(r.shard for r in automata.select("shard").collect())
+    for k, shard in enumerate(shards or [-1]):
+        data = automata.filter(F.col("shard") == shard).first()  # one shard's flat arrays, a bounded number of bytes
+        marked = _pass(marked, bytes(data["data"]) if data else None, text_col, window, floor)
+        if k + 1 < len(shards):
+            marked = cut(marked)
+    return marked.select(*(c for c in df.drop(*outputs, "__hits").columns), *outputs)
+
+
+def _mask(spans: list | None, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    for s in spans or ():
+        out[s["start"] : s["stop"]] = True
+    return out
+
+
+def _runs(mask: np.ndarray) -> list[dict]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
+    return [{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2])]
+
+
+def _pass(df: DataFrame, data: bytes | None, text_col: str, window: int, floor: int) -> DataFrame:
+    """Unite what one automaton matches with what the columns of ``match`` hold already."""
+    held = df.sparkSession.sparkContext.broadcast((hashlib.sha256(data).hexdigest(), data)) if data else None
 
     def make():
-        automata = [_automaton(*b.value, window) for b in shards]
+        automaton = _automaton(*held.value, window) if held else None
 
-        def fn(texts):
-            n_words, n_hit, longest, items, spans = [], [], [], [], []
-            for t in texts:
+        def fn(texts, hits, spans, items, longest):
+            n_words, n_hit, out_hits, out_spans, out_items, out_longest = [], [], [], [], [], []
+            for t, before, core_before, names, most in zip(texts, hits, spans, items, longest):
                 words = words_of(t or b"")
-                mask, core, names, most = np.zeros(len(words), bool), np.zeros(len(words), bool), set(), 0
-                for a in automata:
-                    hit, found, m, whole = a.scan(words, floor)
-                    mask |= hit
-                    core |= whole
-                    names |= {a.items[k][0] for k in found}
-                    most = max(most, m)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], core.view(np.int8), [0])))).tolist()
+                mask, core, found = _mask(before, len(words)), _mask(core_before, len(words)), set(names or ())
+                if automaton:
+                    hit, numbers, m, whole = automaton.scan(words, floor)
+                    mask, core, most = mask | hit, core | whole, max(most, m)
+                    found |= {automaton.names[k] for k in numbers}
                 n_words.append(len(words))
                 n_hit.append(int(mask.sum()))
-                longest.append(most)
-                items.append(sorted(names))
-                spans.append([{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2])])
+                out_hits.append(_runs(mask))
+                out_spans.append(_runs(core))
+                out_items.append(sorted(found))
+                out_longest.append(most)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            return pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(longest, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)
+            return pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(out_longest, pa.int64()), pa.array(out_items, pa.list_(pa.string())), pa.array(out_spans, kind), pa.array(out_hits, kind)
 
         return fn
 
-    fields = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("longest", LongType()), StructField("items", ArrayType(StringType())), StructField("spans", _SPANS)]
-    fed = df.drop("__bytes").withColumn("__bytes", F.col(f"`{text_col}`").cast("string"))
-    return append_columns(fed, {"__bytes": "binary"}, fields, make).drop("__bytes")
+    fields = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("longest", LongType()), StructField("items", ArrayType(StringType())), StructField("spans", _SPANS), StructField("__hits", _SPANS)]
+    fed = df.withColumn("__bytes", F.col(f"`{text_col}`").cast("string"))
+    span = "array<struct<start:int,stop:int>>"
+    return append_columns(fed, {"__bytes": "binary", "__hits": span, "spans": span, "items": "array<string>", "longest": "long"}, fields, make).drop("__bytes")
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -258,9 +329,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", w
 
         return fn
 
-    cut = append_columns(kept.withColumn("__spans", F.col("spans")), {"__bytes": "binary", "__spans": "array<struct<start:int,stop:int>>"}, [StructField("__new", StringType())], make)
+    new = append_columns(kept.withColumn("__spans", F.col("spans")), {"__bytes": "binary", "__spans": "array<struct<start:int,stop:int>>"}, [StructField("__new", StringType())], make)
     changed = F.size("__spans") > 0
     swap = {text_col: F.when(changed, F.col("__new")).otherwise(F.col(f"`{text_col}`"))}
     if "n_chars" in columns:
         swap["n_chars"] = F.when(changed, F.length("__new").cast("long")).otherwise(F.col("n_chars"))
-    return cut.select(*(swap.get(c, F.col(f"`{c}`")).alias(c) for c in columns))
+    return new.select(*(swap.get(c, F.col(f"`{c}`")).alias(c) for c in columns))
