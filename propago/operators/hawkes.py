@@ -1,13 +1,13 @@
 """Multi-scale Hawkes processes on tapes: excitation, intensity, compensator, likelihood, residuals, fits.
 
 A tape has columns ``by``, seq, t_ns, m (type), s (state), e (exciting type). Times enter models in units of ``unit_ns``.
-Kernels are alpha[l][i][j] * exp(-beta[l] * dt) from exciting type j to type i; baselines mu[s][i] by state. Models are
-small driver-side arrays; everything as long as the tape stays in DataFrames.
+Kernels are alpha[l][i][j] * exp(-beta[l] * dt) from exciting type j to type i; baselines mu[b * S + s][i] by time block
+and state. Models are small driver-side arrays; everything as long as the tape stays in DataFrames.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,22 +15,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from propago.operators.sequence import block_of, split_intervals
 from propago.session import cut
 
 
 @dataclass(frozen=True)
 class Model:
-    """mu (S, K), alpha (L, K, J), beta (L)."""
+    """mu (blocks * S, K), alpha (L, K, J), beta (L); ``edges`` are the times (ns) at which a new block of mu begins."""
 
     mu: tuple
     alpha: tuple
     beta: tuple
     unit_ns: int = 1_000_000_000
+    edges: tuple = ()
 
     @property
     def shape(self) -> tuple[int, int, int, int]:
         """S, K, L, J."""
-        return len(self.mu), len(self.mu[0]), len(self.beta), len(self.alpha[0][0])
+        return len(self.mu) // (len(self.edges) + 1), len(self.mu[0]), len(self.beta), len(self.alpha[0][0])
 
     def branching(self) -> np.ndarray:
         """Expected children by type and exciting type, over all scales."""
@@ -58,9 +60,24 @@ class Model:
         return np.stack([b[:, k :: b.shape[0]].sum(axis=1) for k in range(b.shape[0])], axis=1)
 
 
-def model(mu, alpha, beta, unit_ns: int) -> Model:
+def model(mu, alpha, beta, unit_ns: int, edges=()) -> Model:
     nested = lambda x: tuple(nested(y) for y in x) if np.ndim(x) else float(x)
-    return Model(nested(np.asarray(mu)), nested(np.asarray(alpha)), nested(np.asarray(beta)), unit_ns)
+    return Model(nested(np.asarray(mu)), nested(np.asarray(alpha)), nested(np.asarray(beta)), unit_ns, tuple(int(x) for x in edges))
+
+
+def cell(t_ns: Column, s: Column, edges: tuple, n_states: int) -> Column:
+    """The row of mu that holds at a time in a state."""
+    return (block_of(t_ns, [0, *edges]) * n_states + s) if edges else s
+
+
+def at_edges(pieces: DataFrame, edges: tuple) -> DataFrame:
+    """The pieces, cut where a block of the baseline begins."""
+    if not edges:
+        return pieces
+    cuts = F.filter(F.array(*(F.lit(int(x)) for x in edges)), lambda x: (x > F.col("u0_ns")) & (x < F.col("u1_ns")))
+    points = F.concat(F.array(F.col("u0_ns").cast("long")), cuts, F.array(F.col("u1_ns").cast("long")))
+    each = pieces.withColumn("__points", points).withColumn("__i", F.explode(F.sequence(F.lit(1), F.size("__points") - 1)))
+    return each.withColumns({"u0_ns": F.element_at("__points", F.col("__i")), "u1_ns": F.element_at("__points", F.col("__i") + 1)}).drop("__points", "__i")
 
 
 def _recursion(t: np.ndarray, e: np.ndarray, beta: np.ndarray, n_exciting: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,49 +93,56 @@ def _recursion(t: np.ndarray, e: np.ndarray, beta: np.ndarray, n_exciting: int)
     return out, state
 
 
-def excitation(tape: DataFrame, by: list[str], beta, n_exciting: int, unit_ns: int, chunk_rows: int | None = None) -> DataFrame:
+def excitation(tape: DataFrame, by: list[str], beta, n_exciting: int, unit_ns: int, chunk_ns: int | None = None) -> DataFrame:
     """Append ``R`` (array of scale-major doubles): the decayed counts of earlier events at each event.
 
-    A predecessor at the same time counts in full. Series run in parallel. With ``chunk_rows`` a series is cut into
-    chunks that also run in parallel from a zero start; their end states are folded over the series' chunks (one row a
-    chunk), and each event adds its chunk's carry, decayed: equal up to rounding, for series too long for one task.
+    A predecessor at the same time counts in full. Series run in parallel. With ``chunk_ns`` a series is cut into time
+    chunks that also run in parallel from a zero start; their end states, one row a chunk, are folded over the series'
+    chunks, and each event adds its chunk's carry, decayed: equal up to rounding, for series too long for one task.
     """
     beta = np.asarray(beta, float)
-    columns = tape.columns
-
-    def recur(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_ns", "seq"], kind="stable")
-        t = (pdf["t_ns"].to_numpy(np.int64) - pdf["t_ns"].iloc[0]) / unit_ns
-        out, last = _recursion(t, pdf["e"].fillna(-1).to_numpy(np.int64), beta, n_exciting)
-        pdf["R"] = list(out)
-        if "__chunk" in pdf:
-            pdf["__last"] = [last.ravel()] * len(pdf)
-        return pdf
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tape.schema)
-    if chunk_rows is None:
-        return tape.groupBy(*by).applyInPandas(recur, f"{schema}, R array<double>")
-    number = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy("t_ns", "seq")) - 1) / chunk_rows)
-    local = cut(tape.withColumn("__chunk", number).groupBy(*by, "__chunk").applyInPandas(recur, f"{schema}, __chunk long, R array<double>, __last array<double>"))
-    ends = local.groupBy(*by, "__chunk").agg(F.max("t_ns").alias("end_ns"), F.max_by("__last", "t_ns").alias("last"))
+    columns, width = tape.columns, len(beta) * n_exciting
+    keys = [*by, "__chunk"] if chunk_ns else by
+    dealt = tape.withColumn("__chunk", F.floor(F.col("t_ns") / F.lit(chunk_ns))) if chunk_ns else tape
+    names = dealt.columns
+
+    def recur(table: pa.Table) -> pa.Table:
+        t_ns, seq = (table.column(c).to_numpy() for c in ("t_ns", "seq"))
+        order = np.lexsort((seq, t_ns))
+        table, t_ns = table.take(pa.array(order)), t_ns[order]
+        e = table.column("e").to_pandas().fillna(-1).to_numpy(np.int64)
+        out, last = _recursion((t_ns - t_ns[0]) / unit_ns, e, beta, n_exciting)
+        if chunk_ns:  # the last row again, marked by no R before it: the state that the chunk leaves behind
+            table, out = pa.concat_tables([table, table.slice(len(table) - 1)]), np.vstack([out, last.ravel()])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * width, pa.int32()), pa.array(out.ravel()))
+        arrays = [*(table.column(c) for c in names), lists]
+        if chunk_ns:
+            arrays.append(pa.array(np.arange(len(out)) == len(out) - 1))
+        return pa.Table.from_arrays(arrays, names=[*names, "R", "__end"][: len(arrays)])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", R array<double>"
+    if not chunk_ns:
+        return dealt.groupBy(*keys).applyInArrow(recur, schema)
+    local = cut(dealt.groupBy(*keys).applyInArrow(recur, schema + ", __end boolean"))
+    ends = local.filter("__end").select(*keys, F.col("t_ns").alias("end_ns"), F.col("R").alias("last"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__chunk")
-        carry, at, carries, times = np.zeros(len(beta) * n_exciting), None, [], []
+        carry, at, carries, times = np.zeros(width), None, [], []
         rate = np.repeat(beta, n_exciting)
         for end, last in zip(pdf["end_ns"], pdf["last"]):
             carries.append(carry)
             times.append(end if at is None else at)
             carry = (carry * np.exp(-rate * (0 if at is None else (end - at) / unit_ns))) + np.asarray(last)
             at = end
-        return pdf.assign(carry=carries, carry_ns=times)[[*by, "__chunk", "carry", "carry_ns"]]
+        return pdf.assign(carry=carries, carry_ns=times)[[*keys, "carry", "carry_ns"]]
 
-    kinds = ", ".join(f"`{c}` {tape.schema[c].dataType.simpleString()}" for c in by)
-    carried = ends.groupBy(*by).applyInPandas(fold, f"{kinds}, __chunk long, carry array<double>, carry_ns long")
+    kinds = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in keys)
+    carried = ends.groupBy(*by).applyInPandas(fold, f"{kinds}, carry array<double>, carry_ns long")
     rates = F.array(*(F.lit(float(b)) for b in np.repeat(beta, n_exciting)))
     late = (F.col("t_ns") - F.col("carry_ns")) / unit_ns
     decayed = F.zip_with("carry", rates, lambda c, r: c * F.exp(-r * late))
-    joined = local.join(carried, [*by, "__chunk"])
+    joined = local.filter("NOT __end").join(carried, keys)
     return joined.select(*columns, F.zip_with("R", decayed, lambda x, y: x + y).alias("R"))
 
 
@@ -138,10 +162,10 @@ def _dot(weights: np.ndarray, values: Column) -> Column:
 
 def intensity(excited: DataFrame, m: Model) -> DataFrame:
     """Append ``intensity``: that of each event's own type just before it."""
-    s, k, _, _ = m.shape
+    n_states, k, _, _ = m.shape
     alpha = np.array(m.alpha)
     kicks = F.coalesce(*(F.when(F.col("m") == i, _dot(alpha[:, i, :], F.col("R"))) for i in range(k)))
-    return excited.withColumn("intensity", _pick(m.mu, F.col("s") * k + F.col("m")) + kicks)
+    return excited.withColumn("intensity", _pick(m.mu, cell(F.col("t_ns"), F.col("s"), m.edges, n_states) * k + F.col("m")) + kicks)
 
 
 def state_pieces(steps: DataFrame, series: DataFrame, by: list[str], a_ns: int, b_ns: int, block_ns: int | None = None) -> DataFrame:
@@ -176,36 +200,57 @@ def poisson_rates(tape: DataFrame, pieces: DataFrame, a_ns: int, b_ns: int, unit
 
 def compensator(tape: DataFrame, pieces: DataFrame, m: Model, by: list[str], a_ns: int, b_ns: int) -> DataFrame:
     """(by, m, compensator): the integral of each type's intensity over [a, b); earlier events give their tails."""
-    _, k, n_scales, n_exciting = m.shape
+    n_states, k, n_scales, _ = m.shape
     alpha, beta = np.array(m.alpha), np.array(m.beta)
     since = lambda x: F.greatest(F.lit(0.0), (F.lit(x) - F.col("t_ns")) / m.unit_ns)
     mass = [F.exp(-F.lit(float(b)) * since(a_ns)) - F.exp(-F.lit(float(b)) * since(b_ns)) for b in beta]
     kicks = [sum((_pick(alpha[n, i] / beta[n], F.col("e")) * mass[n] for n in range(n_scales)), F.lit(0.0)) for i in range(k)]
     sums = tape.filter(F.col("t_ns") < b_ns).groupBy(*by).agg(*(F.sum(x).alias(f"kick{i}") for i, x in enumerate(kicks)))
     length = (F.col("u1_ns") - F.col("u0_ns")) / m.unit_ns
-    base = pieces.groupBy(*by).agg(*(F.sum(_pick(np.array(m.mu)[:, i], F.col("s")) * length).alias(f"base{i}") for i in range(k)))
+    base = at_edges(pieces, m.edges).groupBy(*by).agg(*(F.sum(_pick(np.array(m.mu)[:, i], cell(F.col("u0_ns"), F.col("s"), m.edges, n_states)) * length).alias(f"base{i}") for i in range(k)))
     each = base.join(sums, by, "left").select(*by, F.posexplode(F.array(*(F.col(f"base{i}") + F.coalesce(f"kick{i}", F.lit(0.0)) for i in range(k)))).alias("m", "compensator"))
     return each
 
 
-def log_likelihood(excited: DataFrame, pieces: DataFrame, m: Model, by: list[str], a_ns: int, b_ns: int) -> DataFrame:
-    """(by, events, loglik) over [a, b): sum of log intensities less the compensator."""
+def log_likelihood(excited: DataFrame, pieces: DataFrame, m: Model, by: list[str], a_ns: int, b_ns: int, tape: DataFrame | None = None) -> DataFrame:
+    """(by, events, loglik) over [a, b): sum of log intensities less the compensator.
+
+    The compensator needs no R: given the plain ``tape``, it does not run the excitation once more.
+    """
     points = intensity(excited, m).filter((F.col("t_ns") >= a_ns) & (F.col("t_ns") < b_ns)).groupBy(*by).agg(F.sum(F.log("intensity")).alias("points"), F.count(F.lit(1)).alias("events"))
-    area = compensator(excited, pieces, m, by, a_ns, b_ns).groupBy(*by).agg(F.sum("compensator").alias("area"))
+    area = compensator(excited if tape is None else tape, pieces, m, by, a_ns, b_ns).groupBy(*by).agg(F.sum("compensator").alias("area"))
     return area.join(points, by, "left").select(*by, F.coalesce("events", F.lit(0)).alias("events"), (F.coalesce("points", F.lit(0.0)) - F.col("area")).alias("loglik"))
 
 
+def block_log_likelihood(tape: DataFrame, steps: DataFrame, m: Model, by: list[str], a_ns: int, b_ns: int, block_ns: int, end_ns: int) -> DataFrame:
+    """(block, events, loglik) of each part of [a, b) of ``block_ns``, over all series; no block is without a row.
+
+    Edges of the blocks join the tape as rows that excite nothing; the compensator of a block is the difference of the
+    cumulative ones at its edges, so one excitation gives points and areas.
+    """
+    edges = [*range(a_ns, b_ns, block_ns), b_ns]
+    kicked = cut(excitation(with_edges(tape, by, edges), by, m.beta, m.shape[3], m.unit_ns))
+    own = split_intervals(with_edges(tape, by, edges), steps, by, end_ns)
+    at = cumulative(kicked, own, m, by).filter("m = -1").withColumn("area", sum((F.col(f"area{i}") for i in range(m.shape[1])), F.lit(0.0)))
+    inside = at.withColumn("inside", F.lead("area").over(Window.partitionBy(*by).orderBy("t_ns")) - F.col("area")).filter("inside IS NOT NULL")
+    number = F.floor((F.col("t_ns") - a_ns) / F.lit(block_ns)).alias("block")
+    areas = inside.groupBy(number).agg(F.sum("inside").alias("area"))
+    points = intensity(kicked.filter("m >= 0"), m).filter((F.col("t_ns") >= a_ns) & (F.col("t_ns") < b_ns))
+    points = points.groupBy(number).agg(F.sum(F.log("intensity")).alias("points"), F.count(F.lit(1)).alias("events"))
+    return areas.join(points, "block", "left").select("block", F.coalesce("events", F.lit(0)).alias("events"), (F.coalesce("points", F.lit(0.0)) - F.col("area")).alias("loglik"))
+
+
 def cumulative(excited: DataFrame, pieces: DataFrame, m: Model, by: list[str]) -> DataFrame:
     """Append ``area0``, ``area1``, ...: each type's compensator from the start to each event.
 
     Telescoped: exciting type j gives alpha / beta * (its events so far - R), so no kernel is integrated again. Baselines
     sum over ``pieces`` (by, k, u0_ns, u1_ns, s) owned by the event before; rows with e < 0 (edges) excite nothing.
     """
-    _, k, n_scales, n_exciting = m.shape
+    n_states, k, _, _ = m.shape
     alpha, beta = np.array(m.alpha), np.array(m.beta)
     before = Window.partitionBy(*by).orderBy("t_ns", "seq").rowsBetween(Window.unboundedPreceding, -1)
     length = (F.col("u1_ns") - F.col("u0_ns")) / m.unit_ns
-    base = pieces.groupBy(*by, "k").agg(*(F.sum(_pick(np.array(m.mu)[:, i], F.col("s")) * length).alias(f"__b{i}") for i in range(k)))
+    base = at_edges(pieces, m.edges).groupBy(*by, "k").agg(*(F.sum(_pick(np.array(m.mu)[:, i], cell(F.col("u0_ns"), F.col("s"), m.edges, n_states)) * length).alias(f"__b{i}") for i in range(k)))
     placed = excited.withColumn("k", (F.row_number().over(Window.partitionBy(*by).orderBy("t_ns", "seq")) - 1).cast("long")).join(base, [*by, "k"], "left")
     weight = lambda i: (alpha[:, i, :] / beta[:, None])
     mass = [F.coalesce(F.sum(F.coalesce(_pick(weight(i).sum(axis=0), F.col("e")), F.lit(0.0))).over(before), F.lit(0.0)) for i in range(k)]
@@ -230,60 +275,154 @@ def with_edges(tape: DataFrame, by: list[str], edges_ns: list[int]) -> DataFrame
     return tape.select(*by, "seq", "t_ns", "m", "c", "s", "e").unionByName(ends)
 
 
-def fit_pooled(excited: DataFrame, pieces: DataFrame, shape: tuple[int, int, int, int], beta, a_ns: int, b_ns: int, unit_ns: int, rounds: int = 30, tolerance: float = 1e-7) -> tuple[Model, list[float]]:
-    """One model for all series by expectation-maximisation, and the log-likelihood before each step.
+class Likelihood:
+    """The pooled log-likelihood of all series in mu and alpha, with beta fixed: what does not change is summed once.
 
-    With beta fixed the likelihood is concave in mu and alpha. Exposure and kernel mass are summed once; a step is one
-    pass of Spark over the events, in which each task sums its expected parents into arrays of the model's size.
+    One pass of Spark over the events evaluates several parameter sets; each task sends sums of the models' size. Those
+    give the value, the expected numbers of parents (a step of expectation-maximisation) and the gradient.
     """
-    n_states, k, n_scales, n_exciting = shape
-    beta = np.asarray(beta, float)
-    time = np.zeros(n_states)
-    for r in pieces.groupBy("s").agg(F.sum(F.col("u1_ns") - F.col("u0_ns")).alias("x")).collect():
-        time[r.s] = r.x / unit_ns
-    since = lambda x: F.greatest(F.lit(0.0), (F.lit(x) - F.col("t_ns")) / unit_ns)
-    mass = np.zeros((n_scales, n_exciting))
-    held = [F.sum(F.exp(-F.lit(float(b)) * since(a_ns)) - F.exp(-F.lit(float(b)) * since(b_ns))).alias(f"x{n}") for n, b in enumerate(beta)]
-    for r in excited.filter((F.col("t_ns") < b_ns) & (F.col("e") >= 0)).groupBy("e").agg(*held).collect():
-        mass[:, r.e] = [r[f"x{n}"] for n in range(n_scales)] / beta
-    events = cut(excited.filter((F.col("t_ns") >= a_ns) & (F.col("t_ns") < b_ns) & (F.col("m") >= 0)).select("m", "s", "R"))
-    counts = np.zeros(k)
-    for r in events.groupBy("m").count().collect():
-        counts[r.m] = r["count"]
-    mu = np.tile(np.maximum(counts, 1e-9) / max(time.sum(), 1e-12) / 2, (n_states, 1))
-    share = np.maximum(counts, 1e-9)[None, :, None] / np.maximum(n_scales * n_exciting * np.maximum(mass, 1e-9), 1e-9)[:, None, :] / 2
-    alpha = np.where(mass[:, None, :] > 0, share, 0.0)
-    trace: list[float] = []
-    for _ in range(rounds):
-        flat_mu, flat_alpha = mu.copy(), alpha.transpose(1, 0, 2).reshape(k, -1).copy()
-
-        def expect(batches, flat_mu=flat_mu, flat_alpha=flat_alpha):
-            births, parents, points = np.zeros((n_states, k)), np.zeros((k, n_scales * n_exciting)), 0.0
-            for b in batches:
-                m, s = b.column(0).to_numpy(), b.column(1).to_numpy()
-                r = b.column(2).flatten().to_numpy().reshape(len(m), -1)
-                kicks = r * flat_alpha[m]
-                lam = flat_mu[s, m] + kicks.sum(axis=1)
-                points += np.log(np.maximum(lam, 1e-300)).sum()
-                np.add.at(births, (s, m), flat_mu[s, m] / np.maximum(lam, 1e-300))
-                np.add.at(parents, m, kicks / np.maximum(lam, 1e-300)[:, None])
-            x = np.concatenate(([points], births.ravel(), parents.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int32()), pa.array(x)], names=["i", "x"])
-
-        got = np.zeros(1 + n_states * k + k * n_scales * n_exciting)
-        for row in events.mapInArrow(expect, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+
+    def __init__(self, excited: DataFrame, pieces: DataFrame, shape: tuple[int, int, int, int], beta, a_ns: int, b_ns: int, unit_ns: int, edges: tuple = (), tape: DataFrame | None = None) -> None:
+        n_states, k, n_scales, n_exciting = self.shape = shape
+        self.beta, self.unit_ns, self.edges = np.asarray(beta, float), unit_ns, tuple(edges)
+        self.cells = n_states * (len(self.edges) + 1)
+        self.time = np.zeros(self.cells)
+        spent = at_edges(pieces, self.edges).groupBy(cell(F.col("u0_ns"), F.col("s"), self.edges, n_states).alias("cell"))
+        for r in spent.agg(F.sum(F.col("u1_ns") - F.col("u0_ns")).alias("x")).collect():
+            self.time[r.cell] = r.x / unit_ns
+        since = lambda x: F.greatest(F.lit(0.0), (F.lit(x) - F.col("t_ns")) / unit_ns)
+        self.mass = np.zeros((n_scales, n_exciting))
+        held = [F.sum(F.exp(-F.lit(float(b)) * since(a_ns)) - F.exp(-F.lit(float(b)) * since(b_ns))).alias(f"x{n}") for n, b in enumerate(self.beta)]
+        for r in (excited if tape is None else tape).filter((F.col("t_ns") < b_ns) & (F.col("e") >= 0)).groupBy("e").agg(*held).collect():
+            self.mass[:, r.e] = [r[f"x{n}"] for n in range(n_scales)] / self.beta
+        inside = excited.filter((F.col("t_ns") >= a_ns) & (F.col("t_ns") < b_ns) & (F.col("m") >= 0))
+        self.events = cut(inside.select("m", cell(F.col("t_ns"), F.col("s"), self.edges, n_states).cast("int").alias("cell"), "R"))
+        self.counts = np.zeros(k)
+        for r in self.events.groupBy("m").count().collect():
+            self.counts[r.m] = r["count"]
+
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
+        """Half of the events by constant baselines, half by kernels of equal shares."""
+        _, k, n_scales, n_exciting = self.shape
+        mu = np.tile(np.maximum(self.counts, 1e-9) / max(self.time.sum(), 1e-12) / 2, (self.cells, 1))
+        share = np.maximum(self.counts, 1e-9)[None, :, None] / np.maximum(n_scales * n_exciting * np.maximum(self.mass, 1e-9), 1e-9)[:, None, :] / 2
+        return mu, np.where(self.mass[:, None, :] > 0, share, 0.0)
+
+    def at(self, points: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each (mu, alpha): the log-likelihood, and the expected events of each baseline and of each kernel."""
+        cells, (_, k, n_scales, n_exciting) = self.cells, self.shape
+        flat = [(mu.copy(), alpha.transpose(1, 0, 2).reshape(k, -1).copy()) for mu, alpha in points]
+        size = 1 + cells * k + k * n_scales * n_exciting
+
+        def expect(batches):
+            total = np.zeros((len(flat), size))
+            for batch in batches:
+                m, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                r = batch.column(2).flatten().to_numpy().reshape(len(m), -1)
+                for row, (mu, alpha) in zip(total, flat):
+                    kicks = r * alpha[m]
+                    lam = np.maximum(mu[c, m] + kicks.sum(axis=1), 1e-300)
+                    row[0] += np.log(lam).sum()
+                    np.add.at(row[1 : 1 + cells * k].reshape(cells, k), (c, m), mu[c, m] / lam)
+                    np.add.at(row[1 + cells * k :].reshape(k, -1), m, kicks / lam[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "x"])
+
+        got = np.zeros(len(flat) * size)
+        for row in self.events.mapInArrow(expect, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
             got[row.i] = row.x
-        births, parents = got[1 : 1 + n_states * k].reshape(n_states, k), got[1 + n_states * k :].reshape(k, n_scales, n_exciting)
-        area = (mu * time[:, None]).sum() + (alpha * mass[:, None, :]).sum()
-        trace.append(float(got[0] - area))
-        mu = np.where(time[:, None] > 0, births / np.maximum(time[:, None], 1e-12), 0.0)
-        alpha = np.where(mass[:, None, :] > 0, parents.transpose(1, 0, 2) / np.maximum(mass[:, None, :], 1e-12), 0.0)
-        if len(trace) > 1 and trace[-1] - trace[-2] < tolerance * abs(trace[-1]):
-            break
-    return model(mu, alpha, beta, unit_ns), trace
-
-
-def with_constant_baseline(m: Model, time: np.ndarray) -> Model:
-    """After training: every state's baseline becomes the exposure-weighted mean."""
-    mean = (np.array(m.mu) * time[:, None]).sum(axis=0) / max(time.sum(), 1e-12)
-    return replace(m, mu=tuple(tuple(map(float, mean)) for _ in m.mu))
+        out = []
+        for row, (mu, alpha) in zip(got.reshape(len(flat), size), points):
+            area = (mu * self.time[:, None]).sum() + (alpha * self.mass[:, None, :]).sum()
+            out.append((float(row[0] - area), row[1 : 1 + cells * k].reshape(cells, k), row[1 + cells * k :].reshape(k, n_scales, n_exciting).transpose(1, 0, 2)))
+        return out
+
+    def step(self, births: np.ndarray, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parameters under which the expected events are most likely."""
+        mu = np.where(self.time[:, None] > 0, births / np.maximum(self.time[:, None], 1e-12), 0.0)
+        return mu, np.where(self.mass[:, None, :] > 0, parents / np.maximum(self.mass[:, None, :], 1e-12), 0.0)
+
+    def as_model(self, mu: np.ndarray, alpha: np.ndarray) -> Model:
+        return model(mu, alpha, self.beta, self.unit_ns, self.edges)
+
+
+def em_trace(like: Likelihood, rounds: int) -> list[float]:
+    """The log-likelihood before each of the first steps of expectation-maximisation."""
+    mu, alpha = like.start()
+    trace = []
+    for _ in range(rounds):
+        value, births, parents = like.at([(mu, alpha)])[0]
+        trace.append(value)
+        mu, alpha = like.step(births, parents)
+    return trace
+
+
+def fit_pooled(
+    excited: DataFrame, pieces: DataFrame, shape: tuple[int, int, int, int], beta, a_ns: int, b_ns: int, unit_ns: int,
+    rounds: int = 400, tolerance: float = 1e-8, edges: tuple = (), tape: DataFrame | None = None,
+) -> tuple[Model, list[float]]:
+    """The maximum-likelihood model of all series, and the log-likelihood before each step.
+
+    Quasi-Newton steps in the logarithms of mu and alpha; a pass tries several lengths of a step and the step of
+    expectation-maximisation besides, so that the likelihood never falls. Raises RuntimeError if the relative gain is
+    not below ``tolerance`` after ``rounds`` passes.
+    """
+    like = Likelihood(excited, pieces, shape, beta, a_ns, b_ns, unit_ns, edges, tape)
+    floor = -60.0
+    join = lambda mu, alpha: np.log(np.maximum(np.concatenate([mu.ravel(), alpha.ravel()]), np.exp(floor)))
+    n_mu = like.cells * shape[1]
+
+    def part(theta):
+        x = np.where(theta <= floor, 0.0, np.exp(theta))
+        return x[:n_mu].reshape(like.cells, shape[1]), x[n_mu:].reshape(len(like.beta), shape[1], shape[3])
+
+    held = join(np.tile(like.time[:, None], (1, shape[1])), np.tile(like.mass[:, None, :], (1, shape[1], 1)))
+    slope_of = lambda theta, births, parents: np.concatenate([births.ravel(), parents.ravel()]) - np.exp(theta + held)
+    theta = join(*like.start())
+    value, births, parents = like.at([part(theta)])[0]
+    slope, memory, trace = slope_of(theta, births, parents), [], [value]
+    calm = 0
+    for _ in range(rounds):
+        q, kept = slope.copy(), []
+        for s, y, rho in reversed(memory):
+            kept.append(rho * (s @ q))
+            q -= kept[-1] * y
+        if memory:
+            s, y, _ = memory[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y, rho), a in zip(memory, reversed(kept)):
+            q += s * (a - rho * (y @ q))
+        em = join(*like.step(births, parents))
+        tries = [em] if not memory else [em, *(theta + np.clip(length * q, -3, 3) for length in (0.2, 1.0, 2.5))]
+        found = like.at([part(x) for x in tries])
+        best = max(range(len(tries)), key=lambda i: found[i][0] if np.isfinite(found[i][0]) else -np.inf)
+        gain, (after, births, parents) = found[best][0] - value, found[best]
+        if gain >= 0:
+            move, new = tries[best] - theta, slope_of(tries[best], births, parents)
+            bend = slope - new
+            if move @ bend > 1e-12 * (bend @ bend) > 0:
+                memory = [*memory, (move, bend, 1 / (move @ bend))][-8:]
+            theta, slope, value = tries[best], new, after
+        trace.append(value)
+        calm = calm + 1 if gain < tolerance * abs(value) else 0
+        if calm >= 2:
+            return like.as_model(*part(theta)), trace
+    raise RuntimeError(f"the fit did not converge in {rounds} passes; the last gain was {gain}")
+
+
+def extrapolate(m: Model, time: np.ndarray, end_ns: int) -> Model:
+    """After training, at ``end_ns``, a new block begins: each state's mean baseline over the blocks, weighted by the time
+    (blocks, S) that training spent there. A state without time keeps a zero."""
+    n_states, k, _, _ = m.shape
+    blocks = len(m.edges) + 1
+    mu, w = np.array(m.mu).reshape(blocks, n_states, k), np.asarray(time, float).reshape(blocks, n_states, 1)
+    mean = (mu * w).sum(axis=0) / np.maximum(w.sum(axis=0), 1e-12)
+    return model(np.vstack([*mu, mean]), m.alpha, m.beta, m.unit_ns, [*m.edges, end_ns])
+
+
+def block_time(pieces: DataFrame, m: Model) -> np.ndarray:
+    """Time units (blocks, S) of the cells of a model's baseline, over all series."""
+    n_states = m.shape[0]
+    out = np.zeros((len(m.edges) + 1) * n_states)
+    for r in at_edges(pieces, m.edges).groupBy(cell(F.col("u0_ns"), F.col("s"), m.edges, n_states).alias("cell")).agg(F.sum(F.col("u1_ns") - F.col("u0_ns")).alias("x")).collect():
+        out[r.cell] = r.x / m.unit_ns
+    return out.reshape(-1, n_states)

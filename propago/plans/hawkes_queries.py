@@ -47,8 +47,8 @@ areas AS (SELECT b.seg, b.k AS m, base + coalesce(kick, 0) AS compensator FROM b
 )
 
 
-def excited(spark, sf_dir, chunk_rows=None):
-    return h.excitation(tape(spark, sf_dir), SEG, BETA, J, HOUR, chunk_rows)
+def excited(spark, sf_dir, chunk_ns=None):
+    return h.excitation(tape(spark, sf_dir), SEG, BETA, J, HOUR, chunk_ns)
 
 
 def cells(spark, sf_dir, block_ns=None):
@@ -73,7 +73,7 @@ def excitation(spark, sf_dir):
 @query(_R_SQL)
 def excitation_chunked(spark, sf_dir):
     """The same by chunks of a series that run in parallel."""
-    return _decayed(excited(spark, sf_dir, chunk_rows=20))
+    return _decayed(excited(spark, sf_dir, chunk_ns=4 * DAY))
 
 
 @query(EXCITED_SQL + " SELECT seg, seq, m, round(intensity, 6) AS intensity FROM rates")
@@ -92,7 +92,7 @@ def compensator(spark, sf_dir):
 SELECT seg, coalesce(events, 0) AS events, round(coalesce(points, 0) - area, 4) AS loglik FROM (SELECT seg, sum(compensator) AS area FROM areas GROUP BY seg) LEFT JOIN logs USING (seg)"""
 )
 def log_likelihood(spark, sf_dir):
-    return h.log_likelihood(excited(spark, sf_dir), cells(spark, sf_dir), MODEL, SEG, A_NS, B_NS).withColumn("loglik", F.round("loglik", 4))
+    return h.log_likelihood(excited(spark, sf_dir), cells(spark, sf_dir), MODEL, SEG, A_NS, B_NS, tape(spark, sf_dir)).withColumn("loglik", F.round("loglik", 4))
 
 
 _CELLS_SQL = (
@@ -147,18 +147,7 @@ def residual_ks(spark, sf_dir):
 
 
 def block_loglik_rows(spark, sf_dir, m):
-    """Per block of all series: log-likelihood and events, by cumulative compensators at block edges."""
-    edges = list(range(A_NS, B_NS + 1, BLOCK_NS))
-    both = h.with_edges(tape(spark, sf_dir), SEG, edges)
-    kicked = h.excitation(both, SEG, m.beta, J, HOUR)
-    own = q.split_intervals(both, v.state_steps(spark, sf_dir), SEG, END_NS)
-    at = h.cumulative(kicked, own, m, SEG).filter("m = -1").withColumn("area", F.col("area0") + F.col("area1"))
-    w = Window.partitionBy("seg").orderBy("t_ns")
-    areas = at.withColumn("inside", F.lead("area").over(w) - F.col("area")).filter("inside IS NOT NULL")
-    areas = areas.groupBy(F.floor((F.col("t_ns") - A_NS) / F.lit(BLOCK_NS)).alias("block")).agg(F.sum("inside").alias("area"))
-    points = h.intensity(kicked.filter("m >= 0"), m).filter((F.col("t_ns") >= A_NS) & (F.col("t_ns") < B_NS))
-    points = points.groupBy(F.floor((F.col("t_ns") - A_NS) / F.lit(BLOCK_NS)).alias("block")).agg(F.sum(F.log("intensity")).alias("points"), F.count(F.lit(1)).alias("events"))
-    return areas.join(points, "block", "left").select("block", F.coalesce("events", F.lit(0)).alias("events"), (F.coalesce("points", F.lit(0.0)) - F.col("area")).alias("loglik"))
+    return h.block_log_likelihood(tape(spark, sf_dir), v.state_steps(spark, sf_dir), m, SEG, A_NS, B_NS, BLOCK_NS, END_NS)
 
 
 @query(
