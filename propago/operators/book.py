@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,49 +26,85 @@ def level_counts(updates: DataFrame, bids: str = "bids", asks: str = "asks") ->
     return updates.withColumn("levels", F.size(bids) + F.size(asks))
 
 
-def _state(book: dict, side: str) -> list[tuple[float, float]]:
-    live = book[side].items()
-    return heapq.nlargest(DEPTH, live) if side == "bid" else heapq.nsmallest(DEPTH, live)
-
-
 def _imbalance(bid: list, ask: list, depth: int) -> float | None:
     b, a = sum(q for _, q in bid[:depth]), sum(q for _, q in ask[:depth])
     return (b - a) / (b + a) if b + a else None
 
 
-def replay(levels: DataFrame, by: list[str], update: str = "update", snapshot: DataFrame | None = None) -> DataFrame:
+class _Side:
+    """One side's live levels, its prices kept in order of quality."""
+
+    def __init__(self, sign: int) -> None:
+        self.sign, self.quantity, self.order = sign, {}, []
+
+    def put(self, price: float, quantity: float) -> None:
+        at = bisect_left(self.order, self.sign * price)
+        there = at < len(self.order) and self.order[at] == self.sign * price
+        if quantity > 0:
+            self.quantity[price] = quantity
+            if not there:
+                self.order.insert(at, self.sign * price)
+        elif there:
+            del self.order[at], self.quantity[price]
+
+    def top(self) -> list[tuple[float, float]]:
+        return [(p, self.quantity[p]) for p in (self.sign * x for x in self.order[:DEPTH])]
+
+
+_LEVELS = "array<struct<price:double,quantity:double>>"
+
+
+def replay(levels: DataFrame, by: list[str], update: str = "update", snapshot: DataFrame | None = None, top: bool = False) -> DataFrame:
     """Fold each series' level rows into a book and give its features after every update (by, update, features).
 
     A positive quantity sets a level, zero deletes it; the last row of an update wins. ``snapshot`` rows (by, side,
     price, quantity) are the state before the first update. A series is one task's fold in order of updates; series
-    run in parallel. An empty side gives null prices; ``crossed`` marks states whose best bid is not below the ask.
+    run in parallel. An empty side gives null prices; ``crossed`` marks states whose best bid is not below the ask. With
+    ``top``, ``bids`` and ``asks`` hold the best DEPTH levels after every update.
     """
     zero = levels.select(*by, update, "pos", "side", "price", "quantity")
     if snapshot is not None:
         first = snapshot.select(*by, F.lit(None).cast("long").alias(update), F.lit(-1).cast("long").alias("pos"), "side", "price", "quantity")
         zero = zero.unionByName(first)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([update, "pos"], na_position="first", kind="stable")
-        book: dict = {"bid": {}, "ask": {}}
-        out = []
-        ids, sides, prices, quantities = (pdf[c].tolist() for c in (update, "side", "price", "quantity"))
-        key = tuple(pdf[c].iloc[0] for c in by)
-        for k, (u, side, price, quantity) in enumerate(zip(ids, sides, prices, quantities)):
-            if quantity > 0:
-                book[side][price] = quantity
-            else:
-                book[side].pop(price, None)
-            if u is None or np.isnan(u) or (k + 1 < len(ids) and ids[k + 1] == u):
+    names = [f.split()[0] for f in _FEATURES.split(", ")]
+    kinds = [pa.int64() if f.endswith("long") else pa.bool_() if f.endswith("boolean") else pa.float64() for f in _FEATURES.split(", ")]
+    level = pa.list_(pa.struct([("price", pa.float64()), ("quantity", pa.float64())]))
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(update, "ascending"), ("pos", "ascending")])
+        ids = table.column(update).to_pylist()
+        gone = ids.count(None)  # rows of the snapshot, which sorting puts last, come first
+        turn = [*range(len(ids) - gone, len(ids)), *range(len(ids) - gone)]
+        ids = [ids[k] for k in turn]
+        sides, prices, quantities = ([column[k] for k in turn] for column in (table.column(c).to_pylist() for c in ("side", "price", "quantity")))
+        book = {"bid": _Side(-1), "ask": _Side(1)}
+        out, tops, kept = [], [], []
+        for k, u in enumerate(ids):
+            book[sides[k]].put(prices[k], quantities[k])
+            if u is None or (k + 1 < len(ids) and ids[k + 1] == u):
                 continue
-            bid, ask = _state(book, "bid"), _state(book, "ask")
+            bid, ask = book["bid"].top(), book["ask"].top()
             b, a = (bid[0][0] if bid else None), (ask[0][0] if ask else None)
             both = b is not None and a is not None
-            out.append((*key, int(u), b, a, (a + b) / 2 if both else None, a - b if both else None, _imbalance(bid, ask, 1), _imbalance(bid, ask, 5), sum(q for _, q in bid), sum(q for _, q in ask), len(book["bid"]), len(book["ask"]), both and b >= a))
-        return pd.DataFrame(out, columns=[*by, update, *(f.split()[0] for f in _FEATURES.split(", "))])
-
-    schema = ", ".join([*(f"{c} {levels.schema[c].dataType.simpleString()}" for c in by), f"{update} long", _FEATURES])
-    return zero.groupBy(*by).applyInPandas(fold, schema)
+            out.append((b, a, (a + b) / 2 if both else None, a - b if both else None, _imbalance(bid, ask, 1), _imbalance(bid, ask, 5), float(sum(q for _, q in bid)), float(sum(q for _, q in ask)), len(book["bid"].order), len(book["ask"].order), both and b >= a))
+            kept.append(u)
+            if top:
+                tops.append([[{"price": p, "quantity": q} for p, q in side] for side in (bid, ask)])
+        first = pa.array([0] * len(kept), pa.int64())
+        arrays = [*(table.column(c).take(first) for c in by), pa.array(kept, pa.int64()), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds))]
+        if top:
+            arrays += [pa.array([t[i] for t in tops], level) for i in (0, 1)]
+        return pa.Table.from_arrays(arrays, names=[*by, update, *names, *(("bids", "asks") if top else ())])
+
+    schema = ", ".join([*(f"{c} {levels.schema[c].dataType.simpleString()}" for c in by), f"{update} long", _FEATURES, *((f"bids {_LEVELS}", f"asks {_LEVELS}") if top else ())])
+    return zero.groupBy(*by).applyInArrow(fold, schema)
+
+
+def top_levels(states: DataFrame, by: list[str], update: str = "update") -> DataFrame:
+    """(by, update, side, rank, price, quantity) of the best DEPTH levels after every update, from ``replay(top=True)``."""
+    side = lambda name, c: states.select(*by, update, F.lit(name).alias("side"), F.posexplode(c).alias("rank", "l"))
+    both = side("bid", "bids").unionByName(side("ask", "asks"))
+    return both.select(*by, update, "side", (F.col("rank") + 1).alias("rank"), "l.price", "l.quantity")
 
 
 def live_levels(levels: DataFrame, by: list[str], update: str = "update") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from propago.session import cut
 from propago.sources.views import digitize
 
 
@@ -61,23 +62,62 @@ def classify(df: DataFrame, cuts: DataFrame, by: list[str], value: str, name: st
     return df.join(cuts, by).withColumn(name, at).drop("cuts")
 
 
-def ks_exponential(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Kolmogorov-Smirnov distance of each group's x to the unit exponential."""
-    rank, n = F.row_number().over(Window.partitionBy(*by).orderBy(x)), F.count(F.lit(1)).over(Window.partitionBy(*by))
-    cdf = 1 - F.exp(-F.col(x))
-    return df.withColumn("d", F.greatest(rank / n - cdf, cdf - (rank - 1) / n)).groupBy(*by).agg(F.max("d").alias("ks"), F.count(F.lit(1)).alias("n"))
+def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Append ``rank`` (from 1) and ``n`` in each group, for groups too large for one task.
+
+    Rows are dealt by ranges of (by, order); a window ranks those of a range, and the few counts by range are summed up.
+    """
+    dealt = cut(df.repartitionByRange(*(F.col(c) for c in (*by, *order))).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__size"))
+    upto = Window.partitionBy(*by).orderBy("__part")
+    before = counts.select(*by, "__part", (F.sum("__size").over(upto) - F.col("__size")).alias("__before"), F.sum("__size").over(Window.partitionBy(*by)).alias("n"))
+    own = F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order))
+    return dealt.withColumn("__own", own).join(before, [*by, "__part"]).withColumn("rank", F.col("__own") + F.col("__before")).drop("__own", "__before", "__part")
+
+
+def ks_exponential(df: DataFrame, by: list[str], x: str, large: bool = False) -> DataFrame:
+    """Kolmogorov-Smirnov distance of each group's x to the unit exponential; ``large`` groups are ranked by many tasks."""
+    if large:
+        placed = ranked(df.select(*by, x), by, [x])
+    else:
+        placed = df.withColumns({"rank": F.row_number().over(Window.partitionBy(*by).orderBy(x)), "n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
+    rank, n, cdf = F.col("rank"), F.col("n"), 1 - F.exp(-F.col(x))
+    return placed.withColumn("d", F.greatest(rank / n - cdf, cdf - (rank - 1) / n)).groupBy(*by).agg(F.max("d").alias("ks"), F.count(F.lit(1)).alias("n"))
 
 
-def autocorrelation(df: DataFrame, by: list[str], x: str, order: list[str], lags=(1, 2, 5, 10)) -> DataFrame:
-    """For each group the centred autocorrelation at each lag: sum of x_i x_(i+h) over the sum of squares."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    centred = df.withColumn("__x", F.col(x) - F.avg(x).over(Window.partitionBy(*by)))
-    lagged = centred.withColumns({f"__l{h}": F.col("__x") * F.lag("__x", h).over(w) for h in lags})
+LAGS = (1, 2, 5, 10, 50, 100)
+
+
+def autocorrelation(df: DataFrame, by: list[str], x: str, order: list[str], lags=LAGS, block: int | None = None) -> DataFrame:
+    """For each group the centred autocorrelation at each lag: sum of x_i x_(i+h) over the sum of squares.
+
+    With ``block``, for large groups, rows are ranked by many tasks and dealt to blocks of so many ranks; the last rows of
+    a block, as many as the longest lag, are copied to the next.
+    """
+    means = df.groupBy(*by).agg(F.avg(x).alias("__mean"))
+    if block is None:
+        rows, keys, at = df.join(means, by).withColumn("__ghost", F.lit(False)), by, order
+    else:
+        if block < max(lags):
+            raise ValueError("a block is shorter than the longest lag")
+        placed = ranked(df, by, order).join(means, by).withColumn("__block", F.floor((F.col("rank") - 1) / F.lit(block)))
+        copied = F.when((F.col("rank") - 1) % block >= block - max(lags), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        rows = placed.withColumn("__late", F.explode(copied)).withColumns({"__ghost": F.col("__late") == 1, "__block": F.col("__block") + F.col("__late")})
+        keys, at = [*by, "__block"], ["rank"]
+    w = Window.partitionBy(*keys).orderBy(*at)
+    centred = rows.withColumn("__x", F.col(x) - F.col("__mean"))
+    lagged = centred.withColumns({f"__l{h}": F.col("__x") * F.lag("__x", h).over(w) for h in lags}).filter("NOT __ghost")
     return lagged.groupBy(*by).agg(*((F.sum(f"__l{h}") / F.nullif(F.sum(F.col("__x") * F.col("__x")), F.lit(0.0))).alias(f"acf{h}") for h in lags))
 
 
-def exponential_quantiles(df: DataFrame, by: list[str], x: str, probs=(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
-    """Each group's quantiles beside those of the unit exponential, one row a probability."""
+def exponential_quantiles(df: DataFrame, by: list[str], x: str, probs=(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), large: bool = False) -> DataFrame:
+    """Each group's quantiles, linearly interpolated, beside those of the unit exponential, one row a probability."""
+    if large:
+        each = ranked(df.select(*by, x), by, [x]).withColumn("p", F.explode(F.array(*map(F.lit, probs))))
+        away = (F.col("n") - 1) * F.col("p") - (F.col("rank") - 1)
+        weight = F.greatest(F.lit(0.0), 1 - F.abs(away))
+        found = each.filter(F.abs(away) < 1).groupBy(*by, "p").agg(F.sum(F.col(x) * weight).alias("empirical"))
+        return found.select(*by, "p", "empirical", (-F.log1p(-F.col("p"))).alias("exponential"))
     found = df.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, probs))).alias("q"))
     each = found.select(*by, F.posexplode("q").alias("i", "empirical"))
     p = F.get(F.array(*map(F.lit, probs)), F.col("i"))
@@ -108,10 +148,13 @@ def eligibility(orders: DataFrame, continuity: DataFrame, by: list[str], min_spa
     return both.withColumn("eligible", F.coalesce("continuous", F.lit(False)) & (F.col("span_s") >= min_span) & (F.col("orders") >= min_orders))
 
 
-def admission(facts: DataFrame, registry: DataFrame, min_span: float) -> DataFrame:
-    """Refusal reasons of each candidate session, all of them: short span, same data, overlap, date taken.
+def admission(facts: DataFrame, registry: DataFrame, min_span: float, accepted: DataFrame | None = None, required: int | None = None) -> DataFrame:
+    """Refusal reasons of each candidate session, all of them.
 
-    The overlap test compares a candidate with registered sessions of its own symbol, by an equi-join on it.
+    ``facts`` has symbol, eligible, span_s, first_ns, last_ns, day, fingerprint. Rules: generally eligible, long enough,
+    the batch not full, not the data of a registered session, no overlap with one, its date not taken, and captured
+    after every session already in the batch. ``accepted`` has the symbol and first_ns of the batch's sessions, of which
+    ``required`` make it full. Candidates meet only sessions of their own symbol, by an equi-join on it.
     """
     seen = registry.select(F.col("symbol"), F.col("fingerprint").alias("r_fp"), F.col("first_ns").alias("r_first"), F.col("last_ns").alias("r_last"), F.col("day").alias("r_day"))
     both = facts.join(seen, "symbol", "left")
@@ -119,5 +162,19 @@ def admission(facts: DataFrame, registry: DataFrame, min_span: float) -> DataFra
     found = both.groupBy(*facts.columns).agg(
         hit(F.col("fingerprint") == F.col("r_fp")).alias("same"), hit((F.col("first_ns") < F.col("r_last")) & (F.col("r_first") < F.col("last_ns"))).alias("overlap"), hit(F.col("day") == F.col("r_day")).alias("taken")
     )
-    reasons = F.array_compact(F.array(F.when(F.col("span_s") < min_span, "short span"), F.when(F.col("same"), "same data"), F.when(F.col("overlap"), "overlaps"), F.when(F.col("taken"), "date taken")))
-    return found.withColumn("reasons", reasons).withColumn("admitted", F.size("reasons") == 0)
+    if accepted is None:
+        found = found.withColumns({"__held": F.lit(0), "__latest": F.lit(None).cast("long")})
+    else:
+        found = found.join(accepted.groupBy("symbol").agg(F.count(F.lit(1)).alias("__held"), F.max("first_ns").alias("__latest")), "symbol", "left")
+    full = F.coalesce(F.col("__held"), F.lit(0)) >= F.lit(required) if required is not None else F.lit(False)
+    rules = [
+        (~F.coalesce(F.col("eligible"), F.lit(False)), "not eligible"), (F.col("span_s") < min_span, "short span"), (full, "batch full"), (F.col("same"), "same data"),
+        (F.col("overlap"), "overlaps"), (F.col("taken"), "date taken"), (F.coalesce(F.col("first_ns") <= F.col("__latest"), F.lit(False)), "capture order"),
+    ]
+    reasons = F.array_compact(F.array(*(F.when(c, name) for c, name in rules)))
+    return found.withColumn("reasons", reasons).withColumn("admitted", F.size("reasons") == 0).drop("__held", "__latest")
+
+
+def failures(admission: DataFrame) -> DataFrame:
+    """The records of refused sessions: facts, reasons and the date of the decision. Append them to the batch's."""
+    return admission.filter("NOT admitted").select("symbol", "day", "span_s", "fingerprint", "reasons", F.current_date().alias("when"))

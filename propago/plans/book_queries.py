@@ -8,6 +8,7 @@ from propago.operators import book as b
 from propago.operators import summary as a
 from propago.plans.registry import query
 from propago.plans.sequence_queries import SYMBOL
+from propago.session import cut
 from propago.sources import views as v
 
 _STATES_SQL = (
@@ -41,18 +42,16 @@ def book_replay(spark, sf_dir):
     return _rounded(states(spark, sf_dir).filter("bid_levels + ask_levels > 0"))
 
 
-@query(_STATES_SQL + " SELECT symbol, update, best_bid, best_ask, mid, spread, imb1, imb5, bid_depth, ask_depth FROM book WHERE update % 100 = 0")
+@query(_STATES_SQL + " SELECT symbol, update, best_bid, best_ask, mid, spread, imb1, imb5, bid_depth, ask_depth FROM book")
 def book_snapshots(spark, sf_dir):
-    levels = v.level_updates(spark, sf_dir)
-    asked = levels.select("symbol", "update").filter("update % 100 = 0").distinct()
-    return _rounded(b.features_of(b.snapshot_at(levels, SYMBOL, asked), SYMBOL))
+    """The features after every update, from the ranked levels in relational form."""
+    return _rounded(b.features_of(b.top_levels(b.replay(v.level_updates(spark, sf_dir), SYMBOL, top=True), SYMBOL), SYMBOL))
 
 
-@query(_STATES_SQL + " SELECT symbol, update, side, rank, price, quantity FROM ranked WHERE update % 200 = 0 AND rank <= 10")
+@query(_STATES_SQL + " SELECT symbol, update, side, rank, price, quantity FROM ranked WHERE rank <= 10")
 def top_levels(spark, sf_dir):
-    levels = v.level_updates(spark, sf_dir)
-    asked = levels.select("symbol", "update").filter("update % 200 = 0").distinct()
-    return b.snapshot_at(levels, SYMBOL, asked).withColumn("rank", F.col("rank").cast("long"))
+    out = b.top_levels(b.replay(v.level_updates(spark, sf_dir), SYMBOL, top=True), SYMBOL)
+    return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_STATES_SQL + " SELECT symbol, count(*) FILTER (best_bid >= best_ask) AS crossed, count(*) AS states FROM book GROUP BY symbol")
@@ -67,7 +66,8 @@ def crossed_books(spark, sf_dir):
 SELECT symbol, (imb5 >= lo - 1e-9)::INT + (imb5 >= hi - 1e-9)::INT AS state, count(*) AS n FROM book JOIN cuts USING (symbol) WHERE imb5 IS NOT NULL GROUP BY ALL"""
 )
 def imbalance_state(spark, sf_dir):
-    s = states(spark, sf_dir).filter("imb5 IS NOT NULL").withColumn("imb5", F.round("imb5", 6))
+    # Written, since both the cuts and the classes read it: one replay.
+    s = cut(states(spark, sf_dir).filter("imb5 IS NOT NULL").select("symbol", "update", F.round("imb5", 6).alias("imb5")))
     cuts = a.tercile_cuts(s, SYMBOL, "imb5", F.col("update") <= 300).withColumn("cuts", F.transform("cuts", lambda x: x - 1e-9))
     return a.classify(s, cuts, SYMBOL, "imb5", "state").groupBy("symbol", "state").agg(F.count(F.lit(1)).alias("n"))
 

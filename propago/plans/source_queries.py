@@ -10,16 +10,26 @@ from propago.sources import capture as c
 from propago.sources import views as v
 from propago.streaming import tape as s
 
-_HALVES_SQL = v.FILLS_SQL + ", halves AS (SELECT *, symbol % 2 AS session FROM fills)"
+_HALVES_SQL = v.FILLS_SQL + ", halves AS (SELECT *, symbol % 16 AS session FROM fills)"
+
+
+SESSIONS = 16
 
 
 def _folder(spark, sf_dir) -> str:
-    """Two sessions of trades as capture files."""
+    """Sessions of trades as capture files, one a session."""
     folder = c.partition_path(c.scratch(spark, "capture"), "abc", "2024-01-01")
-    trades = v.fills(spark, sf_dir)
-    for session in (0, 1):
-        part = trades.filter(F.col("symbol") % 2 == session)
-        part.coalesce(1).write.parquet(f"{folder}/parts-{session}")
+    trades = v.fills(spark, sf_dir).withColumn("session", F.col("symbol") % SESSIONS)
+    trades.repartition("session").write.partitionBy("session").parquet(f"{folder}/parts")
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for session in range(SESSIONS):
+        source = jvm.Path(f"{folder}/parts/session={session}")
+        fs = source.getFileSystem(conf)
+        for f in fs.listStatus(source) if fs.exists(source) else ():
+            if f.getPath().getName().endswith(".parquet"):
+                fs.rename(f.getPath(), jvm.Path(f"{folder}/trades-{session}.parquet"))
+    parts = jvm.Path(f"{folder}/parts")
+    parts.getFileSystem(conf).delete(parts, True)
     return folder
 
 
@@ -27,14 +37,6 @@ def _folder(spark, sf_dir) -> str:
 def capture_scan(spark, sf_dir):
     """Sessions come from the file names."""
     folder = _folder(spark, sf_dir)
-    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    for session in (0, 1):
-        source = jvm.Path(f"{folder}/parts-{session}")
-        fs = source.getFileSystem(conf)
-        for f in fs.listStatus(source):
-            if f.getPath().getName().endswith(".parquet"):
-                fs.rename(f.getPath(), jvm.Path(f"{folder}/trades-{session}.parquet"))
-        fs.delete(source, True)
     rows = c.scan_stream(spark, folder, "trades")
     return rows.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"))
 
@@ -65,9 +67,12 @@ def streamed_counts(spark, sf_dir):
 
 
 def _complete(stream, at):
-    name = "counts_" + at.rsplit("-", 1)[1]
-    s.windowed_counts(stream, "1 day", late="400 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Each trigger writes the counts so far, by all tasks; the last ones are read."""
+    counts = s.windowed_counts(stream, "1 day", late="400 days").writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state")
+    counts.foreachBatch(lambda df, number: df.write.mode("overwrite").parquet(f"{at}/out/{number:06d}")).trigger(availableNow=True).start().awaitTermination()
+    folder = stream.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{at}/out")
+    fs = folder.getFileSystem(stream.sparkSession._jsc.hadoopConfiguration())
+    return stream.sparkSession.read.parquet(max(f.getPath().toString() for f in fs.listStatus(folder)))
 
 
 @query(
@@ -78,7 +83,8 @@ SELECT t.seg, t.seq, round(coalesce(total, 0), 6) AS total FROM tape t LEFT JOIN
 def streamed_decayed_counts(spark, sf_dir):
     """Decayed counts with one vector of state a series."""
     at = c.scratch(spark, "stream")
-    tape(spark, sf_dir).coalesce(1).write.parquet(f"{at}/in")
+    # A series is in one file, in order, so that its events come in order whatever the order of files.
+    tape(spark, sf_dir).repartition("seg").sortWithinPartitions("seg", "t_ns", "seq").write.parquet(f"{at}/in")
     stream = s.read_tape(spark, f"{at}/in", "seg long, seq long, t_ns long, m int, c int, s int, e int")
     out = s.run_once(s.decayed_counts(stream, [0.05], 24, HOUR), f"{at}/out", f"{at}/state")
     return out.select("seg", "seq", F.round(F.aggregate("R", F.lit(0.0), lambda x, y: x + y), 6).alias("total"))

@@ -9,6 +9,7 @@ from propago.operators import sequence as q
 from propago.operators import summary as a
 from propago.plans.registry import query
 from propago.plans.sequence_queries import DAY, ORDERS_SQL, SEG, SYMBOL, orders, tape
+from propago.sources import capture
 from propago.sources import views as v
 
 MARKS = (2, 3, 5)
@@ -142,14 +143,14 @@ def ks_distance(spark, sf_dir):
     _X_SQL
     + """, centred AS (SELECT seg, t_ns, seq, x - avg(x) OVER (PARTITION BY seg) AS x FROM x),
 lagged AS (SELECT *, """
-    + ", ".join(f"x * lag(x, {h}) OVER w AS l{h}" for h in (1, 2, 5, 10))
+    + ", ".join(f"x * lag(x, {h}) OVER w AS l{h}" for h in a.LAGS)
     + """ FROM centred WINDOW w AS (PARTITION BY seg ORDER BY t_ns, seq))
 SELECT seg, """
-    + ", ".join(f"round(sum(l{h}) / nullif(sum(x * x), 0), 6) AS acf{h}" for h in (1, 2, 5, 10))
+    + ", ".join(f"round(sum(l{h}) / nullif(sum(x * x), 0), 6) AS acf{h}" for h in a.LAGS)
     + " FROM lagged GROUP BY seg"
 )
 def residual_autocorrelation(spark, sf_dir):
-    return _rounded(a.autocorrelation(scaled_gaps(spark, sf_dir), SEG, "x", ["t_ns", "seq"]), ("acf1", "acf2", "acf5", "acf10"))
+    return _rounded(a.autocorrelation(scaled_gaps(spark, sf_dir), SEG, "x", ["t_ns", "seq"]), tuple(f"acf{h}" for h in a.LAGS))
 
 
 _PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -204,23 +205,28 @@ def session_eligibility(spark, sf_dir):
     return out.select("symbol", F.round("span_s", 3).alias("span_s"), "orders", "first_ns", "last_ns", "eligible")
 
 
+#: Sessions are weeks of a series; even ones are registered, those of every fourth week make the batch.
 _SESSION_SQL = (
     v.RAW_TAPE_SQL
-    + f""", sessions AS (SELECT seg AS symbol, t_ns // {7 * DAY} AS week, min(t_ns) AS first_ns, max(t_ns) AS last_ns, (max(t_ns) - min(t_ns)) / 1e9 AS span_s, min(t_ns) // {DAY} AS day,
-  md5(string_agg(t_ns::VARCHAR, ',' ORDER BY t_ns, seq)) AS fingerprint FROM raw_tape GROUP BY ALL),
+    + f""", placed AS (SELECT *, t_ns // {7 * DAY} AS week, row_number() OVER (PARTITION BY seg, t_ns // {7 * DAY} ORDER BY t_ns, seq) AS place FROM raw_tape),
+hashed AS (SELECT *, sha256(place || ':' || t_ns) AS h FROM placed),
+sums AS (SELECT seg, week, min(t_ns) AS first_ns, max(t_ns) AS last_ns, count(*) AS n, sum(('0x' || h[1:12])::BIGINT)::HUGEINT AS a, sum(('0x' || h[13:24])::BIGINT)::HUGEINT AS b FROM hashed GROUP BY ALL),
+sessions AS (SELECT seg AS symbol, week, first_ns, last_ns, (last_ns - first_ns) / 1e9 AS span_s, first_ns // {DAY} AS day, n >= 3 AS eligible, sha256(a || ':' || b || ':' || n)[1:16] AS fingerprint FROM sums),
 registry AS (SELECT symbol, fingerprint, first_ns, last_ns, day FROM sessions WHERE week % 2 = 0),
-joined AS (SELECT s.symbol, s.week, s.span_s, coalesce(bool_or(s.fingerprint = r.fingerprint), false) AS same, coalesce(bool_or(s.first_ns < r.last_ns AND r.first_ns < s.last_ns), false) AS overlap, coalesce(bool_or(s.day = r.day), false) AS taken
-  FROM sessions s LEFT JOIN registry r USING (symbol) GROUP BY s.symbol, s.week, s.span_s)
-SELECT symbol, week, concat_ws(';', CASE WHEN span_s < 86400 * 3 THEN 'short span' END, CASE WHEN same THEN 'same data' END, CASE WHEN overlap THEN 'overlaps' END, CASE WHEN taken THEN 'date taken' END) AS reasons FROM joined"""
+batch AS (SELECT symbol, count(*) AS held, max(first_ns) AS latest FROM sessions WHERE week % 4 = 0 GROUP BY symbol),
+joined AS (SELECT s.symbol, s.week, s.span_s, s.eligible, s.first_ns, coalesce(bool_or(s.fingerprint = r.fingerprint), false) AS same, coalesce(bool_or(s.first_ns < r.last_ns AND r.first_ns < s.last_ns), false) AS overlap, coalesce(bool_or(s.day = r.day), false) AS taken
+  FROM sessions s LEFT JOIN registry r USING (symbol) GROUP BY s.symbol, s.week, s.span_s, s.eligible, s.first_ns)
+SELECT j.symbol, week, concat_ws(';', CASE WHEN NOT eligible THEN 'not eligible' END, CASE WHEN span_s < 86400 * 3 THEN 'short span' END, CASE WHEN coalesce(held, 0) >= 2 THEN 'batch full' END, CASE WHEN same THEN 'same data' END,
+  CASE WHEN overlap THEN 'overlaps' END, CASE WHEN taken THEN 'date taken' END, CASE WHEN first_ns <= latest THEN 'capture order' END) AS reasons FROM joined j LEFT JOIN batch b ON b.symbol = j.symbol"""
 )
 
 
 @query(_SESSION_SQL)
 def session_admission(spark, sf_dir):
-    raw = v.raw_tape(spark, sf_dir).withColumn("week", F.floor(F.col("t_ns") / F.lit(7 * DAY)))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_ns", "seq"))), lambda x: x["t_ns"].cast("string")), ",")
-    sessions = raw.groupBy(F.col("seg").alias("symbol"), "week").agg(
-        F.min("t_ns").alias("first_ns"), F.max("t_ns").alias("last_ns"), ((F.max("t_ns") - F.min("t_ns")) / 1e9).alias("span_s"), F.floor(F.min("t_ns") / F.lit(DAY)).alias("day"), F.md5(listed).alias("fingerprint")
+    raw = v.raw_tape(spark, sf_dir).withColumn("week", F.floor(F.col("t_ns") / F.lit(7 * DAY))).withColumnRenamed("seg", "symbol")
+    facts = raw.groupBy("symbol", "week").agg(
+        F.min("t_ns").alias("first_ns"), F.max("t_ns").alias("last_ns"), ((F.max("t_ns") - F.min("t_ns")) / 1e9).alias("span_s"), F.floor(F.min("t_ns") / F.lit(DAY)).alias("day"), (F.count(F.lit(1)) >= 3).alias("eligible")
     )
-    out = a.admission(sessions, sessions.filter("week % 2 = 0"), 86400 * 3)
+    sessions = facts.join(capture.fingerprint(raw, ["symbol", "week"], "t_ns", ["t_ns", "seq"]), ["symbol", "week"])
+    out = a.admission(sessions, sessions.filter("week % 2 = 0"), 86400 * 3, sessions.filter("week % 4 = 0"), 2)
     return out.select("symbol", "week", F.array_join("reasons", ";").alias("reasons"))

@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = sc.getConf().get(SHARED_DIR) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {SHARED_DIR} to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="propago-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
