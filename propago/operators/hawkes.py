@@ -259,13 +259,30 @@ def cumulative(excited: DataFrame, pieces: DataFrame, m: Model, by: list[str]) -
     return placed.withColumns({f"area{i}": flat[i] + mass[i] - still[i] for i in range(k)}).drop("k", *(f"__b{i}" for i in range(k)))
 
 
-def rescaled_residuals(excited: DataFrame, pieces: DataFrame, m: Model, by: list[str]) -> DataFrame:
-    """(by, seq, m, residual): compensator increments between consecutive events of a type; unit exponential if the model holds."""
+def rescaled_residuals(excited: DataFrame, pieces: DataFrame, m: Model, by: list[str], a_ns: int | None = None, b_ns: int | None = None) -> DataFrame:
+    """(by, seq, t_ns, m, area, residual, opener): compensator increments between consecutive events of a type.
+
+    Unit exponential if the model holds. ``seq`` ends an interval and ``opener`` is the seq of the event that began it.
+    With bounds, only intervals with both ends in [a, b).
+    """
     k = m.shape[1]
-    total = cumulative(excited, pieces, m, by)
+    total = cumulative(excited, pieces, m, by).filter("m >= 0")
+    if a_ns is not None:
+        total = total.filter((F.col("t_ns") >= a_ns) & (F.col("t_ns") < b_ns))
     own = F.coalesce(*(F.when(F.col("m") == i, F.col(f"area{i}")) for i in range(k)))
     w = Window.partitionBy(*by, "m").orderBy("t_ns", "seq")
-    return total.filter("m >= 0").withColumn("area", own).withColumn("residual", F.col("area") - F.lag("area").over(w)).select(*by, "seq", "t_ns", "m", "area", "residual").filter("residual IS NOT NULL")
+    out = total.withColumn("area", own).withColumns({"residual": F.col("area") - F.lag("area").over(w), "opener": F.lag("seq").over(w)})
+    return out.select(*by, "seq", "t_ns", "m", "area", "residual", "opener").filter("residual IS NOT NULL")
+
+
+def poisson_fit(tape: DataFrame, pieces: DataFrame, n_states: int, types: int, n_exciting: int, a_ns: int, b_ns: int, unit_ns: int, edges: tuple = ()) -> Model:
+    """Events over time in each block and state, with a zero kernel: the maximum likelihood in closed form."""
+    empty = model(np.zeros((n_states * (len(edges) + 1), types)), np.zeros((1, types, n_exciting)), (1.0,), unit_ns, edges)
+    time, counts = block_time(pieces, empty).ravel(), np.zeros((n_states * (len(edges) + 1), types))
+    inside = tape.filter((F.col("t_ns") >= a_ns) & (F.col("t_ns") < b_ns) & (F.col("m") >= 0))
+    for r in inside.groupBy(cell(F.col("t_ns"), F.col("s"), empty.edges, n_states).alias("cell"), "m").count().collect():
+        counts[r.cell, r.m] = r["count"]
+    return model(np.maximum(counts / np.maximum(time, 1e-12)[:, None], 1e-12), empty.alpha, empty.beta, unit_ns, edges)
 
 
 def with_edges(tape: DataFrame, by: list[str], edges_ns: list[int]) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from propago.operators import hawkes as h
-from propago.operators import summary as a
+from propago.operators import inference as x_
+from propago.operators import sequence as q
+from propago.operators import summary as a_
 from propago.session import cut
 
 
@@ -40,38 +43,106 @@ def encode(tape: DataFrame, c: Config, types: int, states: int, marks: int) -> t
     return out, (states if c.baseline_state else 1, types, max(1, len(c.scales)), types * n_states * (marks if c.kernel_mark else 1))
 
 
-def fit(tape: DataFrame, steps: DataFrame, c: Config, by: list[str], dims: tuple[int, int, int], a_ns: int, b_ns: int, unit_ns: int, rounds: int = 30) -> tuple[h.Model, DataFrame, DataFrame]:
-    """The model on [a, b), the excited tape and the state function it sees. A Poisson model keeps a zero kernel."""
+@dataclass(frozen=True)
+class Fitted:
+    """A model with the tape and the state function that it sees, and that tape's excitation."""
+
+    config: Config
+    model: h.Model
+    tape: DataFrame
+    steps: DataFrame
+    excited: DataFrame
+
+
+def fit(tape: DataFrame, steps: DataFrame, c: Config, by: list[str], dims: tuple[int, int, int], a_ns: int, b_ns: int, unit_ns: int, edges: tuple = (), rounds: int = 400, tolerance: float = 1e-7, chunk_ns: int | None = None) -> Fitted:
+    """The maximum-likelihood model on [a, b), its baseline continued after b by its mean over the blocks, state by state.
+
+    Raises RuntimeError if the fit does not converge.
+    """
     seen, shape = encode(tape, c, *dims)
     own = steps if c.baseline_state else steps.withColumn("s", F.lit(0))
     beta = c.scales or (1.0,)
-    excited = cut(h.excitation(seen, by, beta, shape[3], unit_ns))
-    cells = h.state_pieces(own, seen, by, a_ns, b_ns)
-    if not c.scales:
-        rates = {(r.s, r.m): r.rate for r in h.poisson_rates(seen, cells, a_ns, b_ns, unit_ns, shape[1]).collect()}
-        mu = [[max(rates.get((s, m), 0.0), 1e-12) for m in range(shape[1])] for s in range(shape[0])]
-        return h.model(mu, [[[0.0] * shape[3]] * shape[1]], beta, unit_ns), excited, own
-    return h.fit_pooled(excited, cells, shape, beta, a_ns, b_ns, unit_ns, rounds)[0], excited, own
+    excited = cut(h.excitation(seen, by, beta, shape[3], unit_ns, chunk_ns))
+    cells = cut(h.state_pieces(own, seen, by, a_ns, b_ns))
+    if c.scales:
+        m = h.fit_pooled(excited, cells, shape, beta, a_ns, b_ns, unit_ns, rounds, tolerance, edges, seen)[0]
+    else:
+        m = h.poisson_fit(seen, cells, shape[0], shape[1], shape[3], a_ns, b_ns, unit_ns, edges)
+    return Fitted(c, h.extrapolate(m, h.block_time(cells, m), b_ns), seen, own, excited)
+
 
+def evaluate(f: Fitted, by: list[str], segments: dict[str, tuple[int, int]], ks_on: str | None = None, end_ns: int | None = None) -> dict[str, float]:
+    """Negative log-likelihood an event on the named segments only, and on ``ks_on`` the KS distance of each type.
 
-def evaluate(excited: DataFrame, steps: DataFrame, m: h.Model, by: list[str], segments: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Negative log-likelihood an event on the named segments only; a test segment is scored only if it is named."""
+    A test segment is scored only if it is named.
+    """
     out = {}
     for name, (a, b) in segments.items():
-        r = h.log_likelihood(excited, h.state_pieces(steps, excited, by, a, b), m, by, a, b).agg(F.sum("loglik").alias("ll"), F.sum("events").alias("n")).first()
+        r = h.log_likelihood(f.excited, h.state_pieces(f.steps, f.tape, by, a, b), f.model, by, a, b, f.tape).agg(F.sum("loglik").alias("ll"), F.sum("events").alias("n")).first()
         out[name] = -r.ll / max(1, r.n)
+    if ks_on:
+        pieces = q.split_intervals(f.tape, f.steps, by, end_ns or segments[ks_on][1])
+        found = a_.ks_exponential(h.rescaled_residuals(f.excited, pieces, f.model, by, *segments[ks_on]), ["m"], "residual", large=True)
+        out |= {f"ks{r.m}": r.ks for r in found.collect()}
     return out
 
 
-def run(tape: DataFrame, steps: DataFrame, configs: list[Config], by: list[str], dims: tuple[int, int, int], train: tuple[int, int], segments: dict[str, tuple[int, int]], unit_ns: int, rounds: int = 30) -> list[dict]:
+def run(tape: DataFrame, steps: DataFrame, configs: list[Config], by: list[str], dims: tuple[int, int, int], train: tuple[int, int], segments: dict[str, tuple[int, int]], unit_ns: int, edges: tuple = (), ks_on: str | None = None, tolerance: float = 1e-7) -> list[dict]:
     """Name, scores by segment and total branching of each configuration."""
     out = []
     for c in configs:
-        m, excited, own = fit(tape, steps, c, by, dims, *train, unit_ns, rounds)
-        out.append({"model": c.name, **evaluate(excited, own, m, by, segments), "branching": float(m.branching().sum(axis=0).max())})
+        f = fit(tape, steps, c, by, dims, *train, unit_ns, edges, tolerance=tolerance)
+        out.append({"model": c.name, **evaluate(f, by, segments, ks_on), "branching": float(f.model.branching().sum(axis=0).max())})
     return out
 
 
+def gain_blocks(reference: Fitted, other: Fitted, by: list[str], a_ns: int, b_ns: int, block_ns: int) -> DataFrame:
+    """(block, gain, events) on [a, b): what ``other`` gains over ``reference`` in log-likelihood, block by block."""
+    blocks = lambda f: h.block_log_likelihood(f.tape, f.steps, f.model, by, a_ns, b_ns, block_ns, b_ns)
+    return cut(x_.paired_blocks(blocks(reference), blocks(other), ["block"]))
+
+
+def gain(reference: Fitted, other: Fitted, by: list[str], a_ns: int, b_ns: int, block_ns: int, resamples: int = 2000) -> DataFrame:
+    """(estimate, low, high, verdict) of the gain an event, by bootstrap over blocks."""
+    blocks = gain_blocks(reference, other, by, a_ns, b_ns, block_ns).withColumn("g", F.lit(0))
+    return x_.verdicts(x_.block_bootstrap(blocks, ["g"], resamples)).drop("g")
+
+
+def with_shuffled_marks(tape: DataFrame, by: list[str], edges_ns: list[int], seed: int) -> DataFrame:
+    """The tape with marks shuffled within each series, segment of time (from each edge) and type: a control to refit."""
+    dealt = tape.withColumn("__part", q.block_of(F.col("t_ns"), [0, *edges_ns]))
+    draw = F.md5(F.concat_ws(":", "seq", F.lit(str(seed))))
+    out = q.grouped_shuffle(dealt, [*by, "__part", "m"], ["t_ns", "seq"], "c", draw)
+    return out.withColumn("c", F.col("shuffled")).drop("shuffled", "__part")
+
+
+def with_shifted_states(steps: DataFrame, by: list[str], edges_ns: list[int], share: float) -> DataFrame:
+    """The state function with states moved around, by a share of the steps of each series and segment: a control to refit."""
+    dealt = steps.withColumn("__part", q.block_of(F.col("t_ns"), [0, *edges_ns]))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by, "__part"))
+    placed = dealt.withColumn("__shift", F.floor(n * share))
+    out = q.circular_shift(placed, [*by, "__part"], ["t_ns"], "s", F.col("__shift"))
+    return out.withColumn("s", F.col("shifted")).drop("shifted", "__part", "__shift")
+
+
+def exceeds_controls(estimate: float, low: float, controls: list[float], least: float, deviations: float = 3.0) -> bool:
+    """Whether a gain is over ``least``, its interval above zero, and over the controls' mean by so many deviations."""
+    return bool(estimate > least and low > 0 and estimate > np.mean(controls) + deviations * np.std(controls, ddof=1))
+
+
+def fast_share_by_mark(m: h.Model, limit: float, states: int, marks: int) -> np.ndarray:
+    """(marks, types): the share of each type's own branching at half-lives up to ``limit``, by the parent's mark."""
+    by_scale, k = m.branching_by_scale(), m.shape[1]
+    own = np.array([[by_scale[:, i, [i + k * (s + states * c) for s in range(states)]].sum(axis=1) for i in range(k)] for c in range(marks)])
+    return own[:, :, m.half_lives() <= limit].sum(axis=2) / np.maximum(own.sum(axis=2), 1e-300)
+
+
+def monotone(values, falling: bool = False) -> bool:
+    """Whether numbers strictly rise (or fall)."""
+    steps = np.diff(np.asarray(values, float))
+    return bool((steps < 0).all() if falling else (steps > 0).all())
+
+
 def decomposition(excited: DataFrame, pieces: DataFrame, m: h.Model, by: list[str], a_ns: int, b_ns: int) -> DataFrame:
     """(by, m, observed, baseline, excited): events of a type in [a, b), and how many the parts of the model predict."""
     k = m.shape[1]
@@ -83,15 +154,26 @@ def decomposition(excited: DataFrame, pieces: DataFrame, m: h.Model, by: list[st
     return both.select(*by, "m", F.coalesce("observed", F.lit(0)).alias("observed"), "baseline", (F.col("compensator") - F.col("baseline")).alias("excited"))
 
 
-def diagnostics(residuals: DataFrame, covariates: DataFrame, edges: dict[str, tuple], group: list[str]) -> DataFrame:
-    """KS distance, quantiles, autocorrelation and conditional means as one long table (group, measure, at, value)."""
-    x = residuals.join(covariates, [c for c in ("seg", "seq") if c in residuals.columns], "left")
-    long = lambda df, measure, at, value: df.select(*group, F.lit(measure).alias("measure"), at.cast("double").alias("at"), value.cast("double").alias("value"))
-    parts = [long(a.ks_exponential(x, group, "residual"), "ks", F.lit(0), F.col("ks"))]
-    parts.append(long(a.exponential_quantiles(x, group, "residual"), "quantile", F.col("p"), F.col("empirical")))
-    lags = a.autocorrelation(x, group, "residual", ["seg", "t_ns", "seq"])
-    parts += [long(lags, "autocorrelation", F.lit(n), F.col(f"acf{n}")) for n in (1, 2, 5, 10)]
-    parts += [long(a.conditional_means(x, group, "residual", name, cuts), f"mean by {name}", F.col("bin"), F.col("mean")) for name, cuts in edges.items()]
+#: Bins of the covariates of the event that opens an interval.
+EDGES = {"mark": (1, 2, 3), "state": (1, 2), "burst": (1, 2, 4), "opp_gap": (3600.0, 21600.0, 86400.0), "hour": (120.0, 240.0, 360.0, 480.0)}
+
+
+def diagnostics(residuals: DataFrame, tape: DataFrame, by: list[str], start_ns: int, window_ns: int, edges: dict[str, tuple] = EDGES, block: int = 100_000) -> DataFrame:
+    """KS distance, quantiles, autocorrelation and conditional means by type as one long table (m, measure, at, value).
+
+    The covariates are those of the event that opened a residual's interval: its mark and state, events in the window
+    before it, seconds since the last of another type (infinite if none), hours since the start. So nothing later than
+    the interval's start is looked at.
+    """
+    known = tape.withColumns({"burst": q.burst_count(window_ns, by), "opp_gap": F.coalesce(q.opposite_gap(by), F.lit(float("inf"))), "hour": (F.col("t_ns") - start_ns) / 3.6e12})
+    known = known.select(*by, F.col("seq").alias("opener"), F.col("c").alias("mark"), F.col("s").alias("state"), "burst", "opp_gap", "hour")
+    x = cut(residuals.join(known, [*by, "opener"], "left"))
+    long = lambda df, measure, at, value: df.select("m", F.lit(measure).alias("measure"), at.cast("double").alias("at"), value.cast("double").alias("value"))
+    parts = [long(a_.ks_exponential(x, ["m"], "residual", large=True), "ks", F.lit(0), F.col("ks"))]
+    parts.append(long(a_.exponential_quantiles(x, ["m"], "residual", large=True), "quantile", F.col("p"), F.col("empirical")))
+    lags = cut(a_.autocorrelation(x, ["m"], "residual", [*by, "t_ns", "seq"], block=block))
+    parts += [long(lags, "autocorrelation", F.lit(n), F.col(f"acf{n}")) for n in a_.LAGS]
+    parts += [long(a_.conditional_means(x, ["m"], "residual", name, cuts), f"mean by {name}", F.col("bin"), F.col("mean")) for name, cuts in edges.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

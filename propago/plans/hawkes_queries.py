@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from propago.operators import hawkes as h
 from propago.operators import ladder
-from propago.operators import sequence as q
 from propago.operators import summary as a
 from propago.plans.registry import query
 from propago.plans.sequence_queries import DAY, END_NS, PIECES_SQL, SEG, START_NS, pieces, tape
@@ -143,7 +141,7 @@ def rescaled_residuals(spark, sf_dir):
 SELECT m, round(max(greatest(k / n - (1 - exp(-x)), 1 - exp(-x) - (k - 1) / n)), 5) AS ks, count(*) AS n FROM ranked GROUP BY m"""
 )
 def residual_ks(spark, sf_dir):
-    return a.ks_exponential(residuals(spark, sf_dir), ["m"], "residual").withColumn("ks", F.round("ks", 5))
+    return a.ks_exponential(residuals(spark, sf_dir), ["m"], "residual", large=True).withColumn("ks", F.round("ks", 5))
 
 
 def block_loglik_rows(spark, sf_dir, m):
@@ -163,10 +161,43 @@ def block_loglik(spark, sf_dir):
     return block_loglik_rows(spark, sf_dir, MODEL).withColumn("loglik", F.round("loglik", 2))
 
 
+_FIT = f"t_ns >= {A_NS} AND t_ns < {B_NS}"
+
+
+def _em_sql(step: int) -> str:
+    """One step: the value under the last parameters, and the parameters under which the expected events are likeliest."""
+    p = step - 1
+    return f""", lam{p} AS (SELECT i.seg, i.seq, i.m, i.s, mu.v + coalesce(k.kick, 0) AS lam, mu.v AS base FROM inside i JOIN mu{p} mu ON mu.s = i.s AND mu.m = i.m
+  LEFT JOIN (SELECT seg, seq, sum(decay * v) AS kick FROM near JOIN alpha{p} USING (l, m, e0) GROUP BY ALL) k USING (seg, seq)),
+value{p} AS (SELECT {p} AS step, (SELECT sum(ln(lam)) FROM lam{p}) - (SELECT sum(v * x) FROM mu{p} JOIN time USING (s)) - (SELECT sum(v * x) FROM alpha{p} JOIN mass USING (l, e0)) AS loglik),
+mu{step} AS (SELECT mu.s, mu.m, coalesce(b.x, 0) / t.x AS v FROM mu{p} mu JOIN time t USING (s) LEFT JOIN (SELECT s, m, sum(base / lam) AS x FROM lam{p} GROUP BY ALL) b USING (s, m)),
+alpha{step} AS (SELECT l, m, e0, coalesce(n.x, 0) / mass.x AS v FROM alpha{p} JOIN mass USING (l, e0) LEFT JOIN (SELECT l, near.m, e0, sum(decay * v / lam) AS x FROM near JOIN alpha{p} USING (l, m, e0) JOIN lam{p} USING (seg, seq) GROUP BY ALL) n USING (l, m, e0))"""
+
+
+_EM_SQL = (
+    EXCITED_SQL
+    + f""", inside AS (SELECT * FROM tape WHERE {_FIT}), near AS (SELECT seg, seq, m, e0, l, sum(decay) AS decay FROM pairs WHERE {_FIT} GROUP BY ALL),
+time AS (SELECT s, sum(u1 - u0) / 3.6e12 AS x FROM cells WHERE u1 > u0 GROUP BY s),
+mass AS (SELECT l, e AS e0, sum(exp(-beta * greatest(0, ({A_NS} - t_ns) / 3.6e12)) - exp(-beta * greatest(0, ({B_NS} - t_ns) / 3.6e12))) / any_value(beta) AS x FROM tape, scales WHERE t_ns < {B_NS} GROUP BY ALL),
+counts AS (SELECT m, count(*) AS n FROM inside GROUP BY m),
+mu0 AS (SELECT s, m, n / (SELECT sum(x) FROM time) / 2 AS v FROM time, counts),
+alpha0 AS (SELECT l, m, e0, n / ({len(BETA)} * {J} * greatest(x, 1e-9)) / 2 AS v FROM mass, counts)"""
+    + "".join(_em_sql(k) for k in (1, 2, 3))
+    + " SELECT step, round(loglik, 2) AS loglik FROM (SELECT * FROM value0 UNION ALL SELECT * FROM value1 UNION ALL SELECT * FROM value2)"
+)
+
+
+@query(_EM_SQL)
+def hawkes_em_steps(spark, sf_dir):
+    """The log-likelihood of the marked, state-dependent model before each of three steps of expectation-maximisation."""
+    like = h.Likelihood(excited(spark, sf_dir), cells(spark, sf_dir), (S, K, len(BETA), J), BETA, A_NS, B_NS, HOUR, tape=tape(spark, sf_dir))
+    return spark.createDataFrame([(i, round(x, 2)) for i, x in enumerate(h.em_trace(like, 3))], "step int, loglik double")
+
+
 @query()
 def hawkes_fit(spark, sf_dir):
-    """Pooled fit of the marked, state-dependent model; one row a step with its log-likelihood."""
-    _, trace = h.fit_pooled(excited(spark, sf_dir), cells(spark, sf_dir), (S, K, len(BETA), J), BETA, A_NS, B_NS, HOUR, rounds=8)
+    """Pooled fit of the marked, state-dependent model to convergence; one row a step with its log-likelihood."""
+    _, trace = h.fit_pooled(excited(spark, sf_dir), cells(spark, sf_dir), (S, K, len(BETA), J), BETA, A_NS, B_NS, HOUR, tolerance=1e-7, tape=tape(spark, sf_dir))
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(trace)], "step int, loglik double")
 
 
@@ -180,20 +211,54 @@ def count_decomposition(spark, sf_dir):
     return out.select("seg", "m", "observed", F.round("baseline", 5).alias("baseline"), F.round("excited", 5).alias("excited"))
 
 
+CUT_NS = A_NS + 14 * DAY
+
+
+def _fitted(spark, sf_dir, name, t=None, steps=None):
+    config = next(c for c in ladder.standard(BETA) if c.name == name)
+    return ladder.fit(t or tape(spark, sf_dir), steps or v.state_steps(spark, sf_dir), config, SEG, (K, S, 4), A_NS, CUT_NS, HOUR, (A_NS + 7 * DAY,))
+
+
 @query()
 def model_ladder(spark, sf_dir):
-    """Four configurations, fitted on the first part and scored on it and on the validation part."""
-    cut_ns = A_NS + 14 * DAY
-    configs = [c for c in ladder.standard(BETA[:2]) if c.name in ("poisson", "poisson states", "hawkes", "hawkes marks")]
-    rows = ladder.run(tape(spark, sf_dir), v.state_steps(spark, sf_dir), configs, SEG, (K, S, 4), (A_NS, cut_ns), {"train": (A_NS, cut_ns), "val": (cut_ns, B_NS)}, HOUR, rounds=5)
-    return spark.createDataFrame([(r["model"], float(r["train"]), float(r["val"]), r["branching"]) for r in rows], "model string, train_nll double, val_nll double, branching double")
+    """All configurations, fitted on the first part to convergence with two baseline blocks, scored on it and on the validation part."""
+    segments = {"train": (A_NS, CUT_NS), "val": (CUT_NS, B_NS)}
+    rows = ladder.run(tape(spark, sf_dir), v.state_steps(spark, sf_dir), ladder.standard(BETA), SEG, (K, S, 4), (A_NS, CUT_NS), segments, HOUR, (A_NS + 7 * DAY,), "val")
+    kinds = "model string, train_nll double, val_nll double, ks0 double, ks1 double, branching double"
+    return spark.createDataFrame([(r["model"], float(r["train"]), float(r["val"]), r.get("ks0"), r.get("ks1"), r["branching"]) for r in rows], kinds)
 
 
 @query()
+def ladder_gains(spark, sf_dir):
+    """What fitted marks gain in the kernel on the validation part, and what marks shuffled before a refit gain."""
+    t = tape(spark, sf_dir)
+    plain, marked = _fitted(spark, sf_dir, "hawkes"), _fitted(spark, sf_dir, "hawkes marks")
+    shuffled = _fitted(spark, sf_dir, "hawkes marks", ladder.with_shuffled_marks(t, SEG, [CUT_NS], 1))
+    out = [ladder.gain(plain, f, SEG, CUT_NS, B_NS, DAY).withColumn("model", F.lit(name)) for name, f in (("marks", marked), ("marks shuffled", shuffled))]
+    return out[0].unionByName(out[1])
+
+
+_DIAGNOSTICS_SQL = (
+    _AREA_SQL
+    + f""", opened AS (SELECT seg, seq, t_ns, m, residual AS x, lag(seq) OVER (PARTITION BY seg, m ORDER BY t_ns, seq) AS opener FROM residuals),
+covered AS (SELECT seg, seq AS opener, c AS mark, s AS state, (SELECT count(*) FROM tape x WHERE x.seg = t.seg AND (x.t_ns < t.t_ns OR (x.t_ns = t.t_ns AND x.seq < t.seq)) AND x.t_ns >= t.t_ns - {6 * HOUR}::BIGINT) AS burst,
+  coalesce((t_ns - (SELECT max(t_ns) FROM tape x WHERE x.seg = t.seg AND (x.t_ns < t.t_ns OR (x.t_ns = t.t_ns AND x.seq < t.seq)) AND x.m <> t.m)) / 1e9, 'Infinity'::DOUBLE) AS opp_gap, (t_ns - {START_NS}) / 3.6e12 AS hour FROM tape t),
+x AS (SELECT * FROM opened JOIN covered USING (seg, opener) WHERE x IS NOT NULL),
+ranked AS (SELECT m, x, row_number() OVER (PARTITION BY m ORDER BY x) AS k, count(*) OVER (PARTITION BY m) AS n FROM x),
+centred AS (SELECT m, seg, t_ns, seq, x - avg(x) OVER (PARTITION BY m) AS x FROM x),
+lagged AS (SELECT *, {", ".join(f"x * lag(x, {n}) OVER w AS l{n}" for n in a.LAGS)} FROM centred WINDOW w AS (PARTITION BY m ORDER BY seg, t_ns, seq)),
+every AS (SELECT m, 'ks' AS measure, 0.0 AS pos, max(greatest(k / n - (1 - exp(-x)), 1 - exp(-x) - (k - 1) / n)) AS value FROM ranked GROUP BY m
+  UNION ALL SELECT m, 'quantile', unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]), unnest(quantile_cont(x, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])) FROM x GROUP BY m
+  {" ".join(f"UNION ALL SELECT m, 'autocorrelation', {n}, sum(l{n}) / nullif(sum(x * x), 0) FROM lagged GROUP BY m" for n in a.LAGS)}
+  {" ".join(f"UNION ALL SELECT m, 'mean by {name}', b.bin, avg(x) FROM (SELECT DISTINCT m FROM x) JOIN (SELECT unnest(range(0, {len(cuts) + 1})) AS bin) b ON true LEFT JOIN (SELECT m AS m2, x, {' + '.join(f'({name} >= {e})::INT' for e in cuts)} AS bin2 FROM x) y ON y.m2 = m AND y.bin2 = b.bin GROUP BY m, b.bin" for name, cuts in ladder.EDGES.items())})
+SELECT m, measure, pos::DOUBLE AS at, round(value, 5) AS value FROM every"""
+)
+
+
+@query(_DIAGNOSTICS_SQL)
 def residual_diagnostics(spark, sf_dir):
-    """KS, quantiles, autocorrelation and conditional means of the residuals in one table."""
-    t = tape(spark, sf_dir).select("seg", "seq", "c", "s")
-    return ladder.diagnostics(residuals(spark, sf_dir), t, {"c": (1, 2, 3), "s": (1, 2)}, ["m"])
+    """KS, quantiles, autocorrelation and conditional means on the openers' covariates, of the residuals in one table."""
+    return ladder.diagnostics(residuals(spark, sf_dir), tape(spark, sf_dir), SEG, START_NS, 6 * HOUR).withColumn("value", F.round("value", 5))
 
 
 @query(
