@@ -266,7 +266,8 @@ def test_toxicity_learns_from_its_share_only(spark):
     again = {r.doc_id: r.score for r in toxicity.score_documents(docs(spark, texts), spoiled).collect()}
     assert again == {i: got[i].score for i in got}
     none = toxicity.score_documents(docs(spark, texts[:5]), labels.filter("false")).collect()
-    assert [r.predicted for r in sorted(none, key=lambda r: r.doc_id)] == [0, 0, 0, 0, 1] or len(none) == 5
+    # Without labels the grammar's own weights hold: one insult is not enough, two clauses are.
+    assert [r.predicted for r in sorted(none, key=lambda r: r.doc_id)] == [0, 0, 0, 0, 1]
     assert toxicity.drop_toxic(docs(spark, texts), labels).count() == 60
 
 
