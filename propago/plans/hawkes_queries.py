@@ -216,14 +216,14 @@ CUT_NS = A_NS + 14 * DAY
 
 def _fitted(spark, sf_dir, name, t=None, steps=None):
     config = next(c for c in ladder.standard(BETA) if c.name == name)
-    return ladder.fit(t or tape(spark, sf_dir), steps or v.state_steps(spark, sf_dir), config, SEG, (K, S, 4), A_NS, CUT_NS, HOUR, (A_NS + 7 * DAY,))
+    return ladder.fit(t or tape(spark, sf_dir), steps or v.state_steps(spark, sf_dir), config, SEG, (K, S, 4), A_NS, CUT_NS, HOUR, (A_NS + 7 * DAY,), tolerance=1e-6)
 
 
 @query()
 def model_ladder(spark, sf_dir):
     """All configurations, fitted on the first part to convergence with two baseline blocks, scored on it and on the validation part."""
     segments = {"train": (A_NS, CUT_NS), "val": (CUT_NS, B_NS)}
-    rows = ladder.run(tape(spark, sf_dir), v.state_steps(spark, sf_dir), ladder.standard(BETA), SEG, (K, S, 4), (A_NS, CUT_NS), segments, HOUR, (A_NS + 7 * DAY,), "val")
+    rows = ladder.run(tape(spark, sf_dir), v.state_steps(spark, sf_dir), ladder.standard(BETA), SEG, (K, S, 4), (A_NS, CUT_NS), segments, HOUR, (A_NS + 7 * DAY,), "val", 1e-6)
     kinds = "model string, train_nll double, val_nll double, ks0 double, ks1 double, branching double"
     return spark.createDataFrame([(r["model"], float(r["train"]), float(r["val"]), r.get("ks0"), r.get("ks1"), r["branching"]) for r in rows], kinds)
 

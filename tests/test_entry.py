@@ -25,7 +25,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.startswith(("propago.llm", "corpus_pipeline")):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert not any(n.startswith(("op1_", "pipeline")) for n in e.queries()) and len(e.queries()) > 60
