@@ -336,12 +336,14 @@ class Likelihood:
             for batch in batches:
                 m, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 r = batch.column(2).flatten().to_numpy().reshape(len(m), -1)
-                for row, (mu, alpha) in zip(total, flat):
-                    kicks = r * alpha[m]
-                    lam = np.maximum(mu[c, m] + kicks.sum(axis=1), 1e-300)
-                    row[0] += np.log(lam).sum()
-                    np.add.at(row[1 : 1 + cells * k].reshape(cells, k), (c, m), mu[c, m] / lam)
-                    np.add.at(row[1 + cells * k :].reshape(k, -1), m, kicks / lam[:, None])
+                for i in range(k):
+                    own = m == i
+                    seen, at = r[own], c[own]
+                    for row, (mu, alpha) in zip(total, flat):
+                        lam = np.maximum(mu[at, i] + seen @ alpha[i], 1e-300)
+                        row[0] += np.log(lam).sum()
+                        row[1 : 1 + cells * k].reshape(cells, k)[:, i] += np.bincount(at, mu[at, i] / lam, cells)
+                        row[1 + cells * k :].reshape(k, -1)[i] += alpha[i] * ((1 / lam) @ seen)
             yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "x"])
 
         got = np.zeros(len(flat) * size)
