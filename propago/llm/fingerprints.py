@@ -21,11 +21,9 @@ _CODE = 4
 _BITS = 21
 
 
-def _uniforms(seed: Column, number: int) -> list[Column]:
-    """Three numbers in (0, 2 ** _BITS) that depend on the seed and the number only."""
-    bits = F.xxhash64(seed.bitwiseXOR(F.lit(number)))
-    part = lambda at: F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("double") + F.lit(0.5)
-    return [part(_BITS * i) for i in range(3)]
+def _uniform(bits: Column, which: int) -> Column:
+    """One of three numbers in (0, 2 ** _BITS) that a 64-bit hash has."""
+    return F.shiftrightunsigned(bits, _BITS * which).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("double") + F.lit(0.5)
 
 
 def words(text: Column) -> Column:
@@ -60,23 +58,29 @@ def signatures(weighed: DataFrame, group: list[str], texts: int = 1, samples: in
 
     A term of weight w gives t = floor(ln w / r + b), y = exp(r * (t - b)) and a = c / (y * exp(r)); a sample keeps the
     term with the least a. Two texts keep the same (term, t) with the chance of their generalised Jaccard similarity; as
-    a depends on (term, t) alone, its bits stand for them. r and c (Gamma(2, 1)) and the uniform b are hashes of the whole
-    term and the sample, made once for all texts of a group. A text without terms has the fingerprint of no terms.
+    a depends on (term, t) alone, its bits stand for them. r, b and c are hashes of the whole term and the sample, made
+    once for all texts of a group. For uniform u, v: r = -ln(u * v) is Gamma(2, 1), b = ln v / ln(u * v) is uniform and
+    independent of it, and then a = c * u * exp(-r * t); so the terms of weight 1, where t is 0, need no logarithm but
+    that of c, which is Gamma(2, 1) too. A text without terms has the fingerprint of no terms.
     """
-    unit = 2 * _BITS * math.log(2)
+    unit = _BITS * math.log(2)
     drawn = weighed.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // PER - 1))).alias("g"))
     seeded = drawn.select("*", F.xxhash64("feature", "g").alias("seed"))
     lnws = [f"lnw{j}" for j in range(texts)]
-    named = []
-    for k in range(PER):
-        (p, q, b), (x, y, _) = _uniforms(F.col("seed"), 2 * k + 1), _uniforms(F.col("seed"), 2 * k + 2)
-        named += [(F.lit(unit) - F.log(p * q)).alias(f"r{k}"), F.log(F.lit(unit) - F.log(x * y)).alias(f"c{k}"), (b * F.lit(2.0**-_BITS)).alias(f"b{k}")]
-    joined = seeded.select(*group, "g", *lnws, *named)
     of = lambda c, k: F.col(f"{c}{k}")
-    # ln a at weight 1, where t is 0; each further step of t takes r from it.
-    joined = joined.select(*group, "g", *lnws, *(x for k in range(PER) for x in (of("r", k), of("b", k), (of("c", k) - of("r", k) * (1 - of("b", k))).alias(f"f{k}"))))
-    lna = lambda j, k: F.when(of("lnw", j) == 0, of("f", k)).when(of("lnw", j) > 0, of("f", k) - of("r", k) * F.floor(of("lnw", j) / of("r", k) + of("b", k)))
-    least = [F.min(lna(j, k)).alias(f"a{j}_{k}") for j in range(texts) for k in range(PER)]
+    bits = [F.xxhash64(F.col("seed").bitwiseXOR(F.lit(2 * k + 1))).alias(f"bits{k}") for k in range(PER)]
+    hashed = seeded.select(*group, "g", "seed", *lnws, *bits)
+    # f is a at t = 0, in units of 2 ** -_BITS.
+    first = [((F.lit(2 * unit) - F.log(_uniform(of("bits", k), 0) * _uniform(of("bits", k), 1))) * _uniform(of("bits", k), 2)).alias(f"f{k}") for k in range(PER)]
+    joined = hashed.select("*", *first)
+
+    def a(j: int, k: int) -> Column:
+        lnw, lnu = of("lnw", j), F.log(_uniform(of("bits", k), 2)) - F.lit(unit)
+        lnv = F.log(_uniform(F.xxhash64(F.col("seed").bitwiseXOR(F.lit(2 * k + 2))), 0)) - F.lit(unit)
+        steps = of("f", k) * F.exp((lnu + lnv) * F.floor((lnw - lnv) / -(lnu + lnv)))
+        return F.when(lnw == 0, of("f", k)).when(lnw > 0, steps)
+
+    least = [F.min(a(j, k)).alias(f"a{j}_{k}") for j in range(texts) for k in range(PER)]
     code = lambda j, k: F.lower(F.right(F.concat(F.lit("000"), F.hex(F.xxhash64(f"a{j}_{k}"))), F.lit(_CODE)))
     pieces = joined.groupBy(*group, "g").agg(*least)
     pieces = pieces.select(*group, "g", *(F.when(F.col(f"a{j}_0").isNotNull(), F.concat(*(code(j, k) for k in range(PER)))).alias(f"piece{j}") for j in range(texts)))
