@@ -12,7 +12,7 @@ from propago.plans.registry import query
 from propago.plans.sequence_queries import tape
 from propago.sources import views as v
 
-RESAMPLES = 200
+RESAMPLES = 2_000
 #: Two Poisson models compared by day: one rate a type against one rate a type and state, both from the whole tape.
 _GAIN_SQL = (
     v.TAPE_SQL
