@@ -46,8 +46,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder: compressed and by columns, for what is large."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Cut the lineage with a Parquet table in the shared folder, and give its path too, for ``discard``."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder: compressed and by columns, for what is large."""
+    return stored(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared folder that no later step reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
