@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propago.llm import bpe, decontaminate, fingerprints, langid, pii, sharding, simhash, substrings, toxicity, warc
+from propago.llm import bpe, centroids, decontaminate, fingerprints, langid, lexical, multiindex, pii, sharding, simhash, substrings, toxicity, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -76,6 +76,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(n, ("email", "ip", "card", "phone")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(_table(spark, sf_dir, "documents"))
+    return lexical.search(index, _table(spark, sf_dir, "benchmark")).select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+#: Centroids and rounds of op12, and components of its vectors.
+CENTROIDS, ROUNDS, DIMS = 8, 10, 64
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.report(centroids.cluster(_table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS, DIMS))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = multiindex.search(multiindex.build(vectors), vectors.filter("vec_id % 50 = 0"))
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
 OP1_SQL = """
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -145,6 +165,62 @@ WITH hashed AS (
 )
 SELECT doc_id, bits AS shard_id, d::BIGINT AS shard_depth, shard_bytes FROM leaves WHERE k = 1
 """
+OP11_SQL = """
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents
+), tfs AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM terms GROUP BY doc_id, term
+), docs AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id
+), corpus AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM docs
+), lengths AS (
+  SELECT doc_id, 100 - 50 + (50 * n * corpus.docs) // corpus.length AS m FROM docs, corpus
+), dfs AS (
+  SELECT term, floor(1000 * ln((2 * corpus.docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, corpus GROUP BY term, corpus.docs
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN dfs USING (term) JOIN tfs USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+def _op12_sql() -> str:
+    """Each round as two tables: every vector's nearest centroid, then the floor means."""
+    nearest = """d{r} AS (
+  SELECT vec_id, x, j, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM kept, c{r}
+), a{r} AS (
+  SELECT vec_id, x, j, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, j) AS k FROM d{r}) WHERE k = 1
+)"""
+    means = """m{r} AS (
+  SELECT j, list(v ORDER BY i) AS c FROM (
+    SELECT j, i, ((s - ((s % n + n) % n)) // n)::BIGINT AS v FROM (SELECT j, i, sum(v)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT j, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{r}) GROUP BY j, i)
+  ) GROUP BY j
+), c{next} AS (
+  SELECT j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j)
+)"""
+    rounds = [part.format(r=r, next=r + 1) for r in range(ROUNDS) for part in (nearest, means)]
+    tables = ",\n".join([*rounds, nearest.format(r=ROUNDS)])
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda v: floor({centroids.SCALE} * v::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS j, x AS c FROM (SELECT x, sha256('3:' || vec_id) AS h FROM kept ORDER BY h LIMIT {CENTROIDS})
+),
+{tables}
+SELECT vec_id, j::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} USING (j)
+"""
+
+
+OP12_SQL = _op12_sql()
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_sharding": op4_sharding, "op5_fingerprints": op5_fingerprints, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op9_langid": op9_langid, "op8_decontaminate": op8_decontaminate, "op10_pii": op10_pii}
-ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op3_warc": OP3_SQL, "op4_sharding": OP4_SQL, "op8_decontaminate": OP8_SQL}
+QUERIES = {"op1_substrings": op1_substrings, "op2_bpe": op2_bpe, "op3_warc": op3_warc, "op4_sharding": op4_sharding, "op5_fingerprints": op5_fingerprints, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op9_langid": op9_langid, "op8_decontaminate": op8_decontaminate, "op10_pii": op10_pii, "op11_lexical": op11_lexical, "op12_centroids": op12_centroids, "op13_multiindex": op13_multiindex}
+ORACLES: dict[str, str] = {"op1_substrings": OP1_SQL, "op3_warc": OP3_SQL, "op4_sharding": OP4_SQL, "op8_decontaminate": OP8_SQL, "op11_lexical": OP11_SQL, "op12_centroids": OP12_SQL}
