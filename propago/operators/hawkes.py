@@ -80,70 +80,88 @@ def at_edges(pieces: DataFrame, edges: tuple) -> DataFrame:
     return each.withColumns({"u0_ns": F.element_at("__points", F.col("__i")), "u1_ns": F.element_at("__points", F.col("__i") + 1)}).drop("__points", "__i")
 
 
-def _recursion(t: np.ndarray, e: np.ndarray, beta: np.ndarray, n_exciting: int) -> tuple[np.ndarray, np.ndarray]:
-    """R before each event and after the last: decayed counts by scale and exciting type; e < 0 excites nothing."""
-    state = np.zeros((len(beta), n_exciting))
-    out = np.empty((len(t), state.size))
-    fade = np.exp(-np.diff(t, prepend=t[:1])[:, None] * beta[None, :])
-    for k in range(len(t)):
-        state *= fade[k][:, None]
-        out[k] = state.ravel()
-        if e[k] >= 0:
-            state[:, e[k]] += 1
-    return out, state
-
-
-def excitation(tape: DataFrame, by: list[str], beta, n_exciting: int, unit_ns: int, chunk_ns: int | None = None) -> DataFrame:
+#: exp() of a block's own time grows to this power at most.
+_SPAN = 300.0
+
+
+def _recursion(t: np.ndarray, e: np.ndarray, beta: np.ndarray, n_exciting: int, carry: np.ndarray | None = None) -> np.ndarray:
+    """R before each event: decayed counts by scale and exciting type; e < 0 excites nothing. ``carry`` is R at time 0.
+
+    Within a block of time, R is a running sum of exp(beta * t) divided by exp(beta * t); blocks are short enough for
+    doubles, and each hands its last state on.
+    """
+    n, hot = len(t), np.zeros((len(t), n_exciting))
+    real = np.flatnonzero(e >= 0)
+    hot[real, e[real]] = 1
+    out = np.empty((n, len(beta), n_exciting))
+    for k, rate in enumerate(beta):
+        state, since, at = (np.zeros(n_exciting) if carry is None else carry[k]), 0.0, 0
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(t, t[at] + _SPAN / rate, "right")))
+            grown = np.exp(rate * (t[at:end] - t[at]))[:, None]
+            sums = np.cumsum(hot[at:end] * grown, axis=0)
+            base = state * np.exp(-rate * (t[at] - since))
+            out[at, k] = base
+            out[at + 1 : end, k] = (sums[:-1] + base) / grown[1:]
+            state, since, at = (sums[-1] + base) / grown[-1], t[end - 1], end
+    return out.reshape(n, -1)
+
+
+#: The time chunk of a series that one task takes, unless said otherwise.
+CHUNK_NS = 86_400_000_000_000
+
+
+def excitation(tape: DataFrame, by: list[str], beta, n_exciting: int, unit_ns: int, chunk_ns: int | None = CHUNK_NS) -> DataFrame:
     """Append ``R`` (array of scale-major doubles): the decayed counts of earlier events at each event.
 
-    A predecessor at the same time counts in full. Series run in parallel. With ``chunk_ns`` a series is cut into time
-    chunks that also run in parallel from a zero start; their end states, one row a chunk, are folded over the series'
-    chunks, and each event adds its chunk's carry, decayed: equal up to rounding, for series too long for one task.
+    A predecessor at the same time counts in full. A series is cut into time chunks that run in parallel: each chunk's
+    decayed sums at its end are aggregated in the JVM, one small row a chunk and exciting type; those are folded over
+    the series' chunks, and each chunk starts from what the fold hands it. Without ``chunk_ns`` a series is one chunk.
     """
     beta = np.asarray(beta, float)
-    columns, width = tape.columns, len(beta) * n_exciting
-    keys = [*by, "__chunk"] if chunk_ns else by
-    dealt = tape.withColumn("__chunk", F.floor(F.col("t_ns") / F.lit(chunk_ns))) if chunk_ns else tape
-    names = dealt.columns
+    names, width = [*tape.columns, "R"], len(beta) * n_exciting
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tape.schema) + ", R array<double>"
 
-    def recur(table: pa.Table) -> pa.Table:
+    def recur(table: pa.Table, start: int | None, carry: np.ndarray | None) -> pa.Table:
         t_ns, seq = (table.column(c).to_numpy() for c in ("t_ns", "seq"))
         order = np.lexsort((seq, t_ns))
         table, t_ns = table.take(pa.array(order)), t_ns[order]
         e = table.column("e").to_pandas().fillna(-1).to_numpy(np.int64)
-        out, last = _recursion((t_ns - t_ns[0]) / unit_ns, e, beta, n_exciting)
-        if chunk_ns:  # the last row again, marked by no R before it: the state that the chunk leaves behind
-            table, out = pa.concat_tables([table, table.slice(len(table) - 1)]), np.vstack([out, last.ravel()])
+        out = _recursion((t_ns - (t_ns[0] if start is None else start)) / unit_ns, e, beta, n_exciting, carry)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * width, pa.int32()), pa.array(out.ravel()))
-        arrays = [*(table.column(c) for c in names), lists]
-        if chunk_ns:
-            arrays.append(pa.array(np.arange(len(out)) == len(out) - 1))
-        return pa.Table.from_arrays(arrays, names=[*names, "R", "__end"][: len(arrays)])
+        return pa.Table.from_arrays([*(table.column(c) for c in names[:-1]), lists], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", R array<double>"
     if not chunk_ns:
-        return dealt.groupBy(*keys).applyInArrow(recur, schema)
-    local = cut(dealt.groupBy(*keys).applyInArrow(recur, schema + ", __end boolean"))
-    ends = local.filter("__end").select(*keys, F.col("t_ns").alias("end_ns"), F.col("R").alias("last"))
+        return tape.groupBy(*by).applyInArrow(lambda table: recur(table, None, None), schema)
+    keys = [*by, "__chunk"]
+    dealt = tape.withColumn("__chunk", F.floor(F.col("t_ns") / F.lit(chunk_ns)))
+    left = ((F.col("__chunk") + 1) * chunk_ns - F.col("t_ns")) / unit_ns
+    ends = dealt.groupBy(*keys, "e").agg(*(F.sum(F.exp(-F.lit(float(b)) * left)).alias(f"d{k}") for k, b in enumerate(beta)))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
-        carry, at, carries, times = np.zeros(width), None, [], []
-        rate = np.repeat(beta, n_exciting)
-        for end, last in zip(pdf["end_ns"], pdf["last"]):
-            carries.append(carry)
-            times.append(end if at is None else at)
-            carry = (carry * np.exp(-rate * (0 if at is None else (end - at) / unit_ns))) + np.asarray(last)
-            at = end
-        return pdf.assign(carry=carries, carry_ns=times)[[*keys, "carry", "carry_ns"]]
+        carry, at, out = np.zeros((len(beta), n_exciting)), None, []
+        first = {c: pdf[c].iloc[0] for c in by}
+        for chunk, rows in pdf.sort_values("__chunk").groupby("__chunk", sort=True):
+            if at is not None:
+                carry = carry * np.exp(-beta * (chunk - at - 1) * chunk_ns / unit_ns)[:, None]
+            out.append({**first, "__chunk": chunk, "carry": carry.ravel()})
+            carry, at = carry * np.exp(-beta * chunk_ns / unit_ns)[:, None], chunk
+            own = rows[rows["e"] >= 0]
+            for k in range(len(beta)):
+                carry[k, own["e"].astype(int)] += own[f"d{k}"].to_numpy()
+        return pd.DataFrame(out)
 
     kinds = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in keys)
-    carried = ends.groupBy(*by).applyInPandas(fold, f"{kinds}, carry array<double>, carry_ns long")
-    rates = F.array(*(F.lit(float(b)) for b in np.repeat(beta, n_exciting)))
-    late = (F.col("t_ns") - F.col("carry_ns")) / unit_ns
-    decayed = F.zip_with("carry", rates, lambda c, r: c * F.exp(-r * late))
-    joined = local.filter("NOT __end").join(carried, keys)
-    return joined.select(*columns, F.zip_with("R", decayed, lambda x, y: x + y).alias("R"))
+    carried = ends.groupBy(*by).applyInPandas(fold, f"{kinds}, carry array<double>")
+
+    def go(rows: pa.Table, carry: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.Table.from_arrays([rows.column(c) for c in names[:-1]] + [pa.array([], pa.list_(pa.float64()))], names=names)
+        start = rows.column("__chunk")[0].as_py() * chunk_ns
+        state = np.array(carry.column("carry")[0].as_py()).reshape(len(beta), n_exciting)
+        return recur(rows, start, state)
+
+    return dealt.groupBy(*keys).cogroup(carried.groupBy(*keys)).applyInArrow(go, schema)
 
 
 def _pick(values, index: Column) -> Column:
@@ -375,31 +393,29 @@ def em_trace(like: Likelihood, rounds: int) -> list[float]:
     return trace
 
 
-def fit_pooled(
-    excited: DataFrame, pieces: DataFrame, shape: tuple[int, int, int, int], beta, a_ns: int, b_ns: int, unit_ns: int,
-    rounds: int = 400, tolerance: float = 1e-8, edges: tuple = (), tape: DataFrame | None = None,
-) -> tuple[Model, list[float]]:
-    """The maximum-likelihood model of all series, and the log-likelihood before each step.
+#: Logarithms of parameters below this count as zero.
+_FLOOR = -60.0
 
-    Quasi-Newton steps in the logarithms of mu and alpha; a pass tries several lengths of a step and the step of
-    expectation-maximisation besides, so that the likelihood never falls. Raises RuntimeError if the relative gain is
-    not below ``tolerance`` after ``rounds`` passes.
-    """
-    like = Likelihood(excited, pieces, shape, beta, a_ns, b_ns, unit_ns, edges, tape)
-    floor = -60.0
-    join = lambda mu, alpha: np.log(np.maximum(np.concatenate([mu.ravel(), alpha.ravel()]), np.exp(floor)))
-    n_mu = like.cells * shape[1]
 
-    def part(theta):
-        x = np.where(theta <= floor, 0.0, np.exp(theta))
-        return x[:n_mu].reshape(like.cells, shape[1]), x[n_mu:].reshape(len(like.beta), shape[1], shape[3])
+def ascent(start: np.ndarray, held: np.ndarray, rounds: int, tolerance: float, slack: float):
+    """A coroutine that climbs a likelihood with fixed decays: yields trial parameters (mu first, then alpha, in one array),
+    is sent for each (value, expected events of each parameter), and returns the parameters and the trace of values.
 
-    held = join(np.tile(like.time[:, None], (1, shape[1])), np.tile(like.mass[:, None, :], (1, shape[1], 1)))
-    slope_of = lambda theta, births, parents: np.concatenate([births.ravel(), parents.ravel()]) - np.exp(theta + held)
-    theta = join(*like.start())
-    value, births, parents = like.at([part(theta)])[0]
-    slope, memory, trace = slope_of(theta, births, parents), [], [value]
-    calm = 0
+    ``held`` is what each parameter is multiplied with in the compensator: then expected events over ``held`` is the
+    step of expectation-maximisation, and expected events less parameter times ``held`` the slope in its logarithm.
+    Quasi-Newton steps in logarithms, several lengths at once beside the step of expectation-maximisation, so that the
+    value never falls. Done when the relative gain is below ``tolerance`` twice and no slope is over ``slack`` events;
+    raises RuntimeError if that is not so after ``rounds``.
+    """
+    with np.errstate(divide="ignore"):
+        low = np.exp(_FLOOR)
+        log_held = np.log(np.maximum(held, low))
+    log = lambda x: np.log(np.maximum(x, low))
+    exp = lambda theta: np.where(theta <= _FLOOR, 0.0, np.exp(theta))
+    slope_of = lambda theta, births: births - np.exp(theta + log_held)
+    theta = log(start)
+    (value, births), *_ = yield [exp(theta)]
+    slope, memory, trace, calm, gain = slope_of(theta, births), [], [value], 0, 0.0
     for _ in range(rounds):
         q, kept = slope.copy(), []
         for s, y, rho in reversed(memory):
@@ -410,22 +426,46 @@ def fit_pooled(
             q *= (s @ y) / (y @ y)
         for (s, y, rho), a in zip(memory, reversed(kept)):
             q += s * (a - rho * (y @ q))
-        em = join(*like.step(births, parents))
+        em = log(np.where(held > 0, births / np.maximum(held, 1e-12), 0.0))
         tries = [em] if not memory else [em, *(theta + np.clip(length * q, -3, 3) for length in (0.2, 1.0, 2.5))]
-        found = like.at([part(x) for x in tries])
+        found = yield [exp(x) for x in tries]
         best = max(range(len(tries)), key=lambda i: found[i][0] if np.isfinite(found[i][0]) else -np.inf)
-        gain, (after, births, parents) = found[best][0] - value, found[best]
+        gain, (after, births_after) = found[best][0] - value, found[best]
         if gain >= 0:
-            move, new = tries[best] - theta, slope_of(tries[best], births, parents)
+            move, new = tries[best] - theta, slope_of(tries[best], births_after)
             bend = slope - new
             if move @ bend > 1e-12 * (bend @ bend) > 0:
                 memory = [*memory, (move, bend, 1 / (move @ bend))][-8:]
-            theta, slope, value = tries[best], new, after
+            theta, slope, value, births = tries[best], new, after, births_after
         trace.append(value)
         calm = calm + 1 if gain < tolerance * abs(value) else 0
-        if calm >= 2:
-            return like.as_model(*part(theta)), trace
-    raise RuntimeError(f"the fit did not converge in {rounds} passes; the last gain was {gain}")
+        if calm >= 2 and np.abs(slope).max() <= slack:
+            return exp(theta), trace
+    raise RuntimeError(f"the fit did not converge in {rounds} passes; the last gain was {gain}, the largest slope {np.abs(slope).max()}")
+
+
+def fit_pooled(
+    excited: DataFrame, pieces: DataFrame, shape: tuple[int, int, int, int], beta, a_ns: int, b_ns: int, unit_ns: int,
+    rounds: int = 400, tolerance: float = 1e-8, edges: tuple = (), tape: DataFrame | None = None, slack: float = 1e-3,
+) -> tuple[Model, list[float]]:
+    """The maximum-likelihood model of all series, and the log-likelihood before each step; see ``ascent``.
+
+    ``slack`` bounds the slopes that are left, as a share of the events.
+    """
+    like = Likelihood(excited, pieces, shape, beta, a_ns, b_ns, unit_ns, edges, tape)
+    n_mu = like.cells * shape[1]
+    part = lambda x: (x[:n_mu].reshape(like.cells, shape[1]), x[n_mu:].reshape(len(like.beta), shape[1], shape[3]))
+    flat = lambda mu, alpha: np.concatenate([mu.ravel(), alpha.ravel()])
+    held = flat(np.tile(like.time[:, None], (1, shape[1])), np.tile(like.mass[:, None, :], (1, shape[1], 1)))
+    climb = ascent(flat(*like.start()), held, rounds, tolerance, slack * max(1.0, like.counts.sum()))
+    tries = next(climb)
+    while True:
+        found = [(value, flat(births, parents)) for value, births, parents in like.at([part(x) for x in tries])]
+        try:
+            tries = climb.send(found)
+        except StopIteration as done:
+            x, trace = done.value
+            return like.as_model(*part(x)), trace
 
 
 def extrapolate(m: Model, time: np.ndarray, end_ns: int) -> Model:

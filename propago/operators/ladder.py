@@ -54,7 +54,7 @@ class Fitted:
     excited: DataFrame
 
 
-def fit(tape: DataFrame, steps: DataFrame, c: Config, by: list[str], dims: tuple[int, int, int], a_ns: int, b_ns: int, unit_ns: int, edges: tuple = (), rounds: int = 400, tolerance: float = 1e-7, chunk_ns: int | None = None) -> Fitted:
+def fit(tape: DataFrame, steps: DataFrame, c: Config, by: list[str], dims: tuple[int, int, int], a_ns: int, b_ns: int, unit_ns: int, edges: tuple = (), rounds: int = 400, tolerance: float = 1e-7, chunk_ns: int | None = h.CHUNK_NS) -> Fitted:
     """The maximum-likelihood model on [a, b), its baseline continued after b by its mean over the blocks, state by state.
 
     Raises RuntimeError if the fit does not converge.
@@ -125,9 +125,9 @@ def with_shifted_states(steps: DataFrame, by: list[str], edges_ns: list[int], sh
     return out.withColumn("s", F.col("shifted")).drop("shifted", "__part", "__shift")
 
 
-def exceeds_controls(estimate: float, low: float, controls: list[float], least: float, deviations: float = 3.0) -> bool:
+def exceeds_controls(estimate: float, low: float, mean: float, sd: float, least: float, deviations: float = 3.0) -> bool:
     """Whether a gain is over ``least``, its interval above zero, and over the controls' mean by so many deviations."""
-    return bool(estimate > least and low > 0 and estimate > np.mean(controls) + deviations * np.std(controls, ddof=1))
+    return bool(estimate > least and low > 0 and estimate > mean + deviations * sd)
 
 
 def fast_share_by_mark(m: h.Model, limit: float, states: int, marks: int) -> np.ndarray:
@@ -143,10 +143,55 @@ def monotone(values, falling: bool = False) -> bool:
     return bool((steps < 0).all() if falling else (steps > 0).all())
 
 
+def agrees(rows: list, names: tuple[str, ...], deviations: float = 2.0, least: int = 30) -> bool:
+    """Whether every bin's mean residual is within so many standard errors of 1, its value under the model; bins of fewer
+    than ``least`` intervals do not count. ``rows`` are those of ``diagnostics`` with errors."""
+    at = {(r.m, r.measure, r.at): r.value for r in rows}
+    ok = True
+    for (m, measure, bin_), mean in at.items():
+        name = measure.removeprefix("mean by ")
+        if measure.startswith("mean by ") and name in names and (at.get((m, f"count by {name}", bin_)) or 0) >= least:
+            ok &= abs(mean - 1) <= deviations * at[m, f"error by {name}", bin_]
+    return bool(ok)
+
+
+def claims(gains: dict, controls: dict, models: dict[str, h.Model], means: dict[str, list], states: int, marks: int, fast: float) -> list[tuple[str, str, float, bool]]:
+    """(claim, statistic, value, confirmed) of the nine claims about the fitted ladder.
+
+    H1 marks in the kernel gain over 0.05 an event, and over refits on shuffled marks; H2 larger orders excite faster;
+    H3 states in the kernel gain over 0.005, and over refits on moved states; H4 a state turns a type's own fast and slow
+    excitation opposite ways, and the other type's the other way around; H5 the baselines rise and fall with the state;
+    H6 residuals of the full model do not depend on bursts or the opposite side; H7 nor do those with slow scales on the
+    hour; H8 a dense grid gains; H9 slow scales gain without blocks of the baseline, and their residuals keep to the hour.
+    ``gains`` are (estimate, low) by (model, reference), ``controls`` (mean, deviation) by kind.
+    """
+    types, out = models["M4"].shape[1], []
+    put = lambda claim, ok, **values: out.extend((claim, name, float(x), bool(ok)) for name, x in values.items())
+    for claim, pair, kind, least in (("H1", ("M2", "M1"), "marks shuffled", 0.05), ("H3", ("M4", "M4nok"), "states moved", 0.005)):
+        (gain_, low), (mean, sd) = gains[pair], controls[kind]
+        put(claim, exceeds_controls(gain_, low, mean, sd, least), gain=gain_, low=low, control_mean=mean, control_sd=sd)
+    share = fast_share_by_mark(models["M2"], fast, 1, marks)
+    rises = (np.diff(share, axis=0) >= -1e-9).all()
+    put("H2", rises and (share[-1] > 0.7).all() and (share[0] < 0.3).all(), **{f"mark {c} type {i}": share[c, i] for c in range(marks) for i in range(types)})
+    by_scale = models["M4"].branching_by_scale()
+    quick, slow = by_scale[0], by_scale[max(0, len(by_scale) - 2)]
+    own = lambda table, i: [table[i, i + types * s] for s in range(states)]
+    turned = monotone(own(quick, 0)) and monotone(own(slow, 0), falling=True) and monotone(own(quick, 1), falling=True) and monotone(own(slow, 1))
+    put("H4", turned, **{f"{name} type {i} state {s}": x for name, table in (("fast", quick), ("slow", slow)) for i in range(types) for s, x in enumerate(own(table, i))})
+    mu = np.array(models["M4"].mu)[-states:]
+    put("H5", monotone(mu[:, 0]) and monotone(mu[:, 1], falling=True), **{f"baseline type {i} state {s}": mu[s, i] for i in range(types) for s in range(states)})
+    first = lambda name, what: next((r.value for r in means[name] if r.measure == f"mean by {what}" and r.at == 0 and r.m == 0 and r.value is not None), float("nan"))
+    put("H6", agrees(means["M4"], ("burst", "opp_gap")), burst=first("M4", "burst"), opp_gap=first("M4", "opp_gap"))
+    put("H7", agrees(means["E1"], ("hour",)), M4_hour=first("M4", "hour"), E1_hour=first("E1", "hour"))
+    put("H8", gains["E2", "M4"][1] > 0, gain=gains["E2", "M4"][0], low=gains["E2", "M4"][1])
+    put("H9", gains["E1'", "M4"][1] > 0 and agrees(means["E1'"], ("hour",)), gain=gains["E1'", "M4"][0], low=gains["E1'", "M4"][1], hour=first("E1'", "hour"))
+    return out
+
+
 def decomposition(excited: DataFrame, pieces: DataFrame, m: h.Model, by: list[str], a_ns: int, b_ns: int) -> DataFrame:
     """(by, m, observed, baseline, excited): events of a type in [a, b), and how many the parts of the model predict."""
     k = m.shape[1]
-    flat = h.model(m.mu, [[[0.0] * m.shape[3]] * k] * m.shape[2], m.beta, m.unit_ns)
+    flat = h.model(m.mu, [[[0.0] * m.shape[3]] * k] * m.shape[2], m.beta, m.unit_ns, m.edges)
     total = h.compensator(excited, pieces, m, by, a_ns, b_ns)
     base = h.compensator(excited, pieces, flat, by, a_ns, b_ns).withColumnRenamed("compensator", "baseline")
     seen = excited.filter((F.col("t_ns") >= a_ns) & (F.col("t_ns") < b_ns)).groupBy(*by, "m").agg(F.count(F.lit(1)).alias("observed"))
@@ -158,12 +203,12 @@ def decomposition(excited: DataFrame, pieces: DataFrame, m: h.Model, by: list[st
 EDGES = {"mark": (1, 2, 3), "state": (1, 2), "burst": (1, 2, 4), "opp_gap": (3600.0, 21600.0, 86400.0), "hour": (120.0, 240.0, 360.0, 480.0)}
 
 
-def diagnostics(residuals: DataFrame, tape: DataFrame, by: list[str], start_ns: int, window_ns: int, edges: dict[str, tuple] = EDGES, block: int = 100_000) -> DataFrame:
+def diagnostics(residuals: DataFrame, tape: DataFrame, by: list[str], start_ns: int, window_ns: int, edges: dict[str, tuple] = EDGES, block: int = 100_000, errors: bool = False) -> DataFrame:
     """KS distance, quantiles, autocorrelation and conditional means by type as one long table (m, measure, at, value).
 
     The covariates are those of the event that opened a residual's interval: its mark and state, events in the window
     before it, seconds since the last of another type (infinite if none), hours since the start. So nothing later than
-    the interval's start is looked at.
+    the interval's start is looked at. With ``errors``, the standard errors and counts of the means are rows too.
     """
     known = tape.withColumns({"burst": q.burst_count(window_ns, by), "opp_gap": F.coalesce(q.opposite_gap(by), F.lit(float("inf"))), "hour": (F.col("t_ns") - start_ns) / 3.6e12})
     known = known.select(*by, F.col("seq").alias("opener"), F.col("c").alias("mark"), F.col("s").alias("state"), "burst", "opp_gap", "hour")
@@ -174,6 +219,10 @@ def diagnostics(residuals: DataFrame, tape: DataFrame, by: list[str], start_ns:
     lags = cut(a_.autocorrelation(x, ["m"], "residual", [*by, "t_ns", "seq"], block=block))
     parts += [long(lags, "autocorrelation", F.lit(n), F.col(f"acf{n}")) for n in a_.LAGS]
     parts += [long(a_.conditional_means(x, ["m"], "residual", name, cuts), f"mean by {name}", F.col("bin"), F.col("mean")) for name, cuts in edges.items()]
+    if errors:
+        for name, cuts in edges.items():
+            found = a_.conditional_means(x, ["m"], "residual", name, cuts)
+            parts += [long(found, f"error by {name}", F.col("bin"), F.col("se")), long(found, f"count by {name}", F.col("bin"), F.col("n"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

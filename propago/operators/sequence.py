@@ -180,11 +180,11 @@ def jitter(tape: DataFrame, by: list[str], tick_ns: int, draw: Column) -> DataFr
 
 
 def token_window(tape: DataFrame, by: list[str], size: int, eps: float = 5e-4) -> DataFrame:
-    """Append ``tokens``: the last ``size`` events up to this one with their log age, and ``pad``: how many are missing."""
+    """Append ``tokens``: the last ``size`` events up to this one, with their log age and gap, and ``pad``: how many are missing."""
     w = Window.partitionBy(*by).orderBy("t_ns", "seq").rowsBetween(-(size - 1), 0)
-    held = F.collect_list(F.struct("t_ns", "m", "s", "c")).over(w)
-    aged = F.transform("__held", lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), x["c"].alias("c"), F.log((F.col("t_ns") - x["t_ns"]) / NS + eps).alias("log_age")))
-    return tape.withColumn("__held", held).withColumns({"tokens": aged, "pad": F.lit(size) - F.size("__held")}).drop("__held")
+    held = F.collect_list(F.struct("t_ns", "m", "s", "c", F.col("__gap").alias("gap"))).over(w)
+    aged = F.transform("__held", lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), x["c"].alias("c"), F.log((F.col("t_ns") - x["t_ns"]) / NS + eps).alias("log_age"), x["gap"].alias("log_gap")))
+    return tape.withColumn("__gap", log_gap(by, eps)).withColumn("__held", held).withColumns({"tokens": aged, "pad": F.lit(size) - F.size("__held")}).drop("__held", "__gap")
 
 
 def observe(tape: DataFrame, by: list[str], tick_ns: int) -> DataFrame:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from propago.operators import fits, inference
 from propago.operators import hawkes as h
 from propago.operators import ladder
+from propago.operators import sequence as q
 from propago.operators import summary as a
 from propago.plans.registry import query
-from propago.plans.sequence_queries import DAY, END_NS, PIECES_SQL, SEG, START_NS, pieces, tape
+from propago.plans.sequence_queries import DAY, END_NS, PIECES_SQL, SEG, START_NS, SYMBOL, pieces, tape
+from propago.session import cut
 from propago.sources import views as v
 
 HOUR = v.HOUR_NS
@@ -45,7 +49,7 @@ areas AS (SELECT b.seg, b.k AS m, base + coalesce(kick, 0) AS compensator FROM b
 )
 
 
-def excited(spark, sf_dir, chunk_ns=None):
+def excited(spark, sf_dir, chunk_ns=5 * DAY):
     return h.excitation(tape(spark, sf_dir), SEG, BETA, J, HOUR, chunk_ns)
 
 
@@ -238,6 +242,182 @@ def ladder_gains(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
+# The ladder of named models, its controls and verdicts, over one shared excitation
+
+SLOW, DENSE = (*HALF_LIVES, 480.0), (3.0, 6.0, 12.0, 24.0, 48.0, 120.0)
+BLOCKS = (A_NS + 7 * DAY,)
+SHUFFLES, SHIFTS = (1, 2, 3), (1 / 6, 2 / 6, 3 / 6, 4 / 6, 5 / 6)
+#: Days of the validation part, and blocks of so many for intervals.
+BLOCK_SIZES = (1, 2, 3)
+STARTS = [CUT_NS + k * DAY for k in range((B_NS - CUT_NS) // DAY + 1)]
+
+
+def rates(half_lives) -> tuple[float, ...]:
+    return tuple(float(np.log(2) / x) for x in half_lives)
+
+
+def named(edges=BLOCKS) -> dict[str, fits.Spec]:
+    """The models: Poisson, Hawkes, with marks, with states, with both, with both but states in the baseline only; then
+    slow scales, a dense grid, both, and slow scales on one block of the baseline."""
+    full = {"kernel_state": True, "kernel_mark": True, "edges": edges}
+    models = [
+        fits.Spec("M0", baseline_state=False, edges=edges), fits.Spec("M1", BETA, baseline_state=False, edges=edges), fits.Spec("M2", BETA, baseline_state=False, kernel_mark=True, edges=edges),
+        fits.Spec("M3", BETA, kernel_state=True, edges=edges), fits.Spec("M4", BETA, **full), fits.Spec("M4nok", BETA, kernel_mark=True, edges=edges), fits.Spec("E1", rates(SLOW), **full),
+        fits.Spec("E2", rates(DENSE), **full), fits.Spec("E1+E2", rates((*DENSE, 480.0)), **full), fits.Spec("E1'", rates(SLOW), kernel_state=True, kernel_mark=True),
+    ]
+    return {s.name: s for s in models}
+
+
+def shared_rows(spark, sf_dir, specs, starts, seeds=(), shares=(), split=CUT_NS, end=B_NS):
+    """The rows that fits and scores share: one excitation over all tapes and scales that the models need."""
+    tapes, steps = fits.control_tapes(tape(spark, sf_dir), v.state_steps(spark, sf_dir), SEG, [split], seeds, shares)
+    scales = {b for s in specs for b in (s.scales or BETA[:1])}
+    return fits.share(tapes, steps, SEG, scales, K, S, 4, HOUR, end, tuple(starts), 5 * DAY)
+
+
+def comparators(spark, sf_dir, a_ns, b_ns, starts):
+    """Shared rows with edges at ``starts``, and the models that a neural one is compared with, fitted on [a, b)."""
+    specs = [named()[name] for name in ("M1", "M4", "E1'")]
+    shared = shared_rows(spark, sf_dir, specs, starts, split=b_ns)
+    return shared, fits.fit_all(shared, specs, a_ns, b_ns, tolerance=1e-6)
+
+
+def _gains(scores, pairs):
+    """(gain, block, events) rows by pair, from block scores by model."""
+    out = None
+    for other, reference in pairs:
+        of = lambda name: scores.filter(F.col("name") == name).select("block", "loglik", "events")
+        rows = inference.paired_blocks(of(reference), of(other), ["block"]).withColumns({"model": F.lit(other), "reference": F.lit(reference)})
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+PAIRS = (("M2", "M1"), ("M4", "M4nok"), ("E1", "M4"), ("E2", "M4"), ("E1'", "M4"), ("M1", "M0"), ("M4", "M1"))
+
+
+@query()
+def replication_gains(spark, sf_dir):
+    """Gains an event of the named models over those that they extend, on the validation part, with intervals over
+    blocks of several sizes."""
+    specs = [s for name, s in named().items() if name != "E1+E2"]
+    shared = shared_rows(spark, sf_dir, specs, STARTS)
+    results = fits.fit_all(shared, specs, A_NS, CUT_NS, tolerance=1e-6)
+    blocks = cut(_gains(cut(fits.block_scores(shared, list(results.values()), CUT_NS, B_NS, DAY)), PAIRS))
+    by = ["model", "reference"]
+    return inference.verdicts(inference.block_bootstrap(inference.coarser(blocks, by, list(BLOCK_SIZES)), [*by, "factor"]))
+
+
+def _controls(shared, results):
+    """Each control's gain an event: marks shuffled, against no marks; states moved, against states in the baseline only."""
+    names = {f"M2 marks {seed}": "M1" for seed in SHUFFLES} | {f"M4 states {x:.3f}": f"M4nok states {x:.3f}" for x in SHIFTS}
+    scores = cut(fits.block_scores(shared, [r for n, r in results.items() if n in names or n in names.values()], CUT_NS, B_NS, DAY))
+    gains = _gains(scores, names.items()).groupBy("model").agg((F.sum("gain") / F.sum("events")).alias("gain"))
+    return gains.select(F.when(F.col("model").startswith("M2"), "marks shuffled").otherwise("states moved").alias("control"), F.col("model").alias("fit"), "gain")
+
+
+def _control_specs():
+    n = named()
+    return [n["M1"], *(n["M2"].of(f"marks {seed}") for seed in SHUFFLES), *(n[m].of(f"states {x:.3f}") for x in SHIFTS for m in ("M4", "M4nok"))]
+
+
+@query()
+def refitted_controls(spark, sf_dir):
+    """Three shuffles of marks and five moves of states, each refitted, in one batch of fits: gains, mean and deviation."""
+    specs = _control_specs()
+    shared = shared_rows(spark, sf_dir, specs, STARTS, SHUFFLES, SHIFTS)
+    gains = _controls(shared, fits.fit_all(shared, specs, A_NS, CUT_NS, tolerance=1e-6))
+    over = Window.partitionBy("control")
+    return gains.withColumns({"mean": F.avg("gain").over(over), "sd": F.stddev_samp("gain").over(over)})
+
+
+@query()
+def hypotheses(spark, sf_dir):
+    """The nine claims of the ladder about the fitted models, each with its statistic and verdict; see ``ladder.claims``."""
+    n = named()
+    specs = [*(s for name, s in n.items() if name != "E1+E2"), *_control_specs()[1:]]
+    shared = shared_rows(spark, sf_dir, specs, STARTS, SHUFFLES, SHIFTS)
+    results = fits.fit_all(shared, specs, A_NS, CUT_NS, tolerance=1e-6)
+    scores = cut(fits.block_scores(shared, [results[name] for name in n if name in results], CUT_NS, B_NS, DAY))
+    gains = inference.block_bootstrap(cut(_gains(scores, PAIRS)), ["model", "reference"]).collect()
+    controls = _controls(shared, results).groupBy("control").agg(F.avg("gain").alias("mean"), F.stddev_samp("gain").alias("sd")).collect()
+    means = {}
+    for name in ("M4", "E1", "E1'"):
+        seen, excited_, steps = shared.rows(n[name])
+        own = h.rescaled_residuals(excited_, q.split_intervals(seen_with_edges(seen), steps, ["key", *SEG], B_NS), results[name].model, ["key", *SEG], CUT_NS, B_NS)
+        rows = ladder.diagnostics(own, seen, ["key", *SEG], START_NS, 6 * HOUR, {"burst": ladder.EDGES["burst"], "opp_gap": ladder.EDGES["opp_gap"], "hour": (480.0,)}, errors=True)
+        means[name] = rows.filter(F.col("measure").contains("mean by") | F.col("measure").contains("error by")).collect()
+    rows = ladder.claims({(g.model, g.reference): (g.estimate, g.low) for g in gains}, {c.control: (c["mean"], c.sd) for c in controls}, {k: r.model for k, r in results.items()}, means, S, 4, HALF_LIVES[0])
+    return spark.createDataFrame(rows, "claim string, statistic string, value double, confirmed boolean")
+
+
+def seen_with_edges(t):
+    """The tape with the edge rows that shared rows have, so that both number events alike."""
+    return h.with_edges(t, ["key", *SEG], STARTS)
+
+
+@query()
+def extension_grid(spark, sf_dir):
+    """Five grids of decay rates and blocks of one model, over one excitation: score, gain over the first, and how the
+    predicted events of the validation part split into baseline and excitation, by type."""
+    n = named()
+    specs = [n[name] for name in ("M4", "E1", "E2", "E1+E2", "E1'")]
+    shared = shared_rows(spark, sf_dir, specs, STARTS)
+    results = fits.fit_all(shared, specs, A_NS, CUT_NS, tolerance=1e-6)
+    scores = cut(fits.block_scores(shared, list(results.values()), CUT_NS, B_NS, DAY))
+    nll = scores.groupBy(F.col("name").alias("model")).agg((-F.sum("loglik") / F.sum("events")).alias("val_nll"))
+    gains = inference.block_bootstrap(cut(_gains(scores, [(s.name, "M4") for s in specs])), ["model"])
+    out = None
+    for s in specs:
+        seen, _, steps = shared.rows(s)
+        pieces_ = h.state_pieces(steps, seen, ["key", *SEG], CUT_NS, B_NS)
+        rows = ladder.decomposition(seen, pieces_, results[s.name].model, ["key", *SEG], CUT_NS, B_NS)
+        rows = rows.groupBy("m").agg(*(F.sum(c).alias(c) for c in ("observed", "baseline", "excited"))).withColumn("model", F.lit(s.name))
+        out = rows if out is None else out.unionByName(rows)
+    return out.join(nll, "model").join(gains, "model")
+
+
+#: Marks by fills in an order and by price levels that it took: a rule of merging and edges each.
+MARK_RULES = {"fills": ("fills", 0, (2, 3, 4)), "fills, merged over three days": ("fills", 3 * DAY, (2, 3, 4)), "levels": ("levels", 0, (2, 3, 4)), "quantity": ("quantity", 0, (10.0, 25.0, 40.0))}
+
+
+@query()
+def mark_sensitivity(spark, sf_dir):
+    """What marks gain in the kernel under each rule of merging fills to orders and of marking them: a tape a rule, a
+    marked and a plain model each, all fitted in one batch, on blocks that all rules have in common."""
+    fills = v.fills(spark, sf_dir)
+    first, last = fills.agg(F.min("timestamp_ns"), F.max("timestamp_ns")).first()
+    a, c, b = first, first + int((last - first) * 0.7) // DAY * DAY, first + int((last - first) * 0.85) // DAY * DAY
+    tapes, steps = {}, {}
+    for name, (column, gap, edges) in MARK_RULES.items():
+        orders = q.orders(fills, SYMBOL, gap)
+        tapes[name] = orders.select("symbol", F.col("run").alias("seq"), F.col("timestamp_ns").alias("t_ns"), "m", v.digitize(F.col(column), edges).alias("c"), F.lit(0).alias("s"))
+        steps[name] = orders.select("symbol", F.lit(first - DAY).alias("t_ns"), F.lit(0).alias("s")).distinct()
+    width = max(DAY, (b - c) // 12)
+    starts = [*range(c, b, width), b]
+    beta = rates((7 * 24.0, 60 * 24.0))
+    shared = fits.share(tapes, steps, SYMBOL, beta, 2, 1, 4, HOUR, b, tuple(starts), 120 * DAY)
+    specs = [fits.Spec(f"{kind} {name}", beta, name, False, False, kind == "marked") for name in MARK_RULES for kind in ("plain", "marked")]
+    results = fits.fit_all(shared, specs, a, c, tolerance=1e-6)
+    scores = cut(fits.block_scores(shared, list(results.values()), c, b, width))
+    gains = inference.block_bootstrap(cut(_gains(scores, [(f"marked {name}", f"plain {name}") for name in MARK_RULES])), ["model"])
+    own = lambda r: r.model.branching_by_scale()[0]
+    facts = [(f"marked {name}", name, *(float(own(results[f"marked {name}"])[0, 2 * k]) for k in range(4))) for name in MARK_RULES]
+    kinds = "model string, rule string, " + ", ".join(f"branching{k} double" for k in range(4))
+    orders_n = shared.tape.groupBy(F.col("key").alias("rule")).agg(F.count(F.lit(1)).alias("orders"))
+    return spark.createDataFrame(facts, kinds).join(orders_n, "rule").join(inference.verdicts(gains), "model").drop("model")
+
+
+
+@query()
+def free_decays(spark, sf_dir):
+    """One kernel a pair of types with its own decay rate, fitted to all series: rates, half-lives and branching."""
+    t = tape(spark, sf_dir).withColumns({"e": F.col("m"), "s": F.lit(0)})
+    flat = h.state_pieces(v.state_steps(spark, sf_dir).withColumn("s", F.lit(0)), t, SEG, A_NS, B_NS)
+    mu, alpha, beta, value = fits.fit_free(t, flat, (1, K, K), SEG, A_NS, B_NS, HOUR, rates((3.0, 24.0, 120.0)), tolerance=1e-6, slack=1e-2)
+    rows = [(i, j, float(mu[0, i]), float(alpha[i, j]), float(beta[i, j]), float(np.log(2) / beta[i, j]), float(alpha[i, j] / beta[i, j]), value) for i in range(K) for j in range(K)]
+    return spark.createDataFrame(rows, "m int, e int, mu double, alpha double, beta double, half_life double, branching double, loglik double")
+
+
 _DIAGNOSTICS_SQL = (
     _AREA_SQL
     + f""", opened AS (SELECT seg, seq, t_ns, m, residual AS x, lag(seq) OVER (PARTITION BY seg, m ORDER BY t_ns, seq) AS opener FROM residuals),

@@ -136,28 +136,6 @@ def test_blocks_and_prefix(spark):
     assert [r.b for r in out.orderBy("seq").collect()] == [0, 0, 0, 1, 1, 1, 1, 1, 2, 2]
 
 
-def test_neural_gradient_and_integral(spark):
-    r, beta = np.random.default_rng(1), np.array([0.5, 2.0])
-    p = n.initial(4, 2, 2, width=3)
-    x, tau0, m = r.normal(size=(6, 4)), r.uniform(0, 1, 6), np.array([0, 1, -1, 0, 1, -1])
-    tau1 = tau0 + r.uniform(0.1, 2, 6)
-    value, grads = n.gradient(p, x, tau0, tau1, m, beta, 2)
-    assert abs(value - n.unit_loglik(p, x, tau0, tau1, m, beta, 2).sum()) < 1e-9
-    for name in p:
-        step = np.zeros_like(p[name])
-        step.flat[0] = 1e-6
-        up, down = ({**p, name: p[name] + d * step} for d in (1, -1))
-        slope = (n.unit_loglik(up, x, tau0, tau1, m, beta, 2).sum() - n.unit_loglik(down, x, tau0, tau1, m, beta, 2).sum()) / 2e-6
-        assert abs(slope - grads[name].flat[0]) < 1e-4
-    tokens, pad = r.normal(size=(2, 3, 4)), np.array([0, 2])
-    layer = {k: r.normal(size=(8, 8)) for k in ("q", "k", "v", "o")} | {"up": r.normal(size=(8, 16)), "down": r.normal(size=(16, 8))}
-    params = {"embed": r.normal(size=(4, 8)), "layers": [layer, layer]}
-    out = n.attention_encode(tokens, pad, params)
-    changed = tokens.copy()
-    changed[1, :2] += 1  # padded places do not matter
-    assert out.shape == (2, 8) and np.allclose(out, n.attention_encode(changed, pad, params))
-
-
 def test_capture_and_run(spark, tmp_path):
     folder = c.partition_path(str(tmp_path), "abc", "2024-01-01")
     rows = fills(spark, [(0, "buy", 1.0), (0, "buy", 2.0), (9, "sell", 2.0)]).withColumn("price", F.col("price").cast("decimal(38,18)"))
