@@ -150,9 +150,9 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, id
     spark = vectors.sparkSession
     rows, path = stored(quantised(vectors, id_col, vector_col, dims))
     current = first_centroids(rows, k, salt)
-    centroids, scans = np.array(current, np.int64).reshape(len(current), -1), []
     if not current:
         return Clusters(spark.createDataFrame([], f"id {rows.schema['id'].dataType.simpleString()}, cluster int, distance long"), [], [])
+    centroids, scans = np.array(current, np.int64), []
     drift = np.zeros(len(centroids))
     for _ in range(rounds):
         before, old = path, centroids
