@@ -21,22 +21,29 @@ TARGET = "you your you're youre yourself he him she her they them these those pe
 NEGATION = "not never isn't aren't wasn't no nicht kein keine keinen nie pas jamais aucun nunca jamás tampoco"
 REPORT = "said says say told called quoted wrote reported claims claimed sagte sagt behauptet dit disait écrit appelé dijo dice llamó"
 
+#: What ends the reach of a negation, and what a report needs before what it reports.
+CONJUNCTION = "but and or because so though und aber oder weil mais et ou car pero y porque"
+COMPLEMENT = "that dass que"
+
 TAGS = {w: tag for tag, words in (("report", REPORT), ("negation", NEGATION), ("target", TARGET), ("threat", THREAT), ("insult", INSULT)) for w in words.split()}
 _SIGNS = frozenset((INSULT + " " + THREAT).split())
-#: Words and commas; a comma is a pause, which only reported speech spans.
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|,")
+_CONJUNCTIONS, _COMPLEMENTS = frozenset(CONJUNCTION.split()), frozenset([*COMPLEMENT.split(), *":\"'“”„«»‘’"])
+#: Words, commas, colons and quotation marks; a comma is a pause, which only reported speech spans.
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[,:\"“”„«»‘’]|(?<!\w)'|'(?!\w)")
+#: Tokens after a report among which its complement must begin.
+REACH = 4
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 #: Sentences. Colons and quotation marks stay inside, so that what is quoted is with who said it.
 _CLAUSE = re.compile(r"[.!?;\n\r]+")
 PAUSE = "pause"
 
-#: What a clause can be; each clause that matches counts for the kind of its heaviest path, to CAP a document.
+#: What a clause can be; each clause that matches counts for the kind of its heaviest path.
 KINDS = (
     "insult", "insult at target", "insult negated", "insult reported", "slur", "slurs", "slur at target", "slur negated", "slur reported",
     "threat at target", "threat negated", "threat reported",
 )
-CAP = 3
-#: What the grammar expects of a document's first clause of a kind, and of each further one, before it has seen labels.
+#: What the grammar expects of a document's first clause of a kind, and of each doubling of their number, before it has
+#: seen labels.
 PRIOR = {"insult": (2.5, 1.5), "insult at target": (3.5, 1.0), "threat at target": (3.5, 1.0), "slur": (0.5, 1.5), "slurs": (2.0, 1.0), "slur at target": (1.5, 1.5)}
 PRIOR_BIAS = -3.0
 #: A word is learned as a slur from so many distinct toxic documents at least, and from this ratio of its rates.
@@ -124,12 +131,33 @@ def grammar() -> list[list[Transducer]]:
 
 
 def tags_of(clause: str, slurs: frozenset[str]) -> list[str | None]:
-    """The tag of each word and comma of a lower-cased clause; learned words are slurs unless the fixed lexicon has them."""
-    return [PAUSE if w == "," else TAGS.get(w) or ("slur" if w in slurs else None) for w in _TOKEN.findall(clause)]
+    """The tag of each word and mark of a lower-cased clause; learned words are slurs unless the fixed lexicon has them.
+
+    A report counts if it ends the clause, or a target follows at once, or a complement (that, a colon, quotation marks)
+    begins within REACH tokens. A negation reaches no further than a conjunction or a new target before its sign: there
+    a pause is put, which ends its path.
+    """
+    words = _TOKEN.findall(clause)
+    out, denied = [], False
+    for k, w in enumerate(words):
+        tag = PAUSE if w == "," else TAGS.get(w) or ("slur" if w in slurs else None)
+        if tag == "report":
+            rest = [x for x in words[k + 1 :] if x != ","]
+            if rest and TAGS.get(rest[0]) != "target" and _COMPLEMENTS.isdisjoint(rest[:REACH]):
+                tag = None
+        if denied and (w in _CONJUNCTIONS or tag == "target"):
+            out.append(PAUSE)
+            denied = False
+        if tag == "negation":
+            denied = True
+        elif tag in ("insult", "slur", "threat"):
+            denied = False
+        out.append(tag)
+    return out
 
 
 def matched_clauses(text: str, rules: list[list[Transducer]], slurs: frozenset[str] = frozenset()) -> list[int]:
-    """How many clauses each kind wins, by the greatest weight among the transducers of a sign, capped."""
+    """How many clauses each kind wins, by the greatest weight among the transducers of a sign."""
     counts = dict.fromkeys(KINDS, 0)
     lowered = text.lower()
     if not (found := set(_WORD.findall(lowered))) or (_SIGNS.isdisjoint(found) and slurs.isdisjoint(found)):
@@ -141,7 +169,7 @@ def matched_clauses(text: str, rules: list[list[Transducer]], slurs: frozenset[s
             matches = [m for t in options if (m := t.best(tags))] if sign in there else []
             if matches:
                 counts[max(matches, key=lambda m: m[1])[0]] += 1
-    return [min(CAP, counts[k]) for k in KINDS]
+    return [counts[k] for k in KINDS]
 
 
 def _distinct_words(text: Column) -> Column:
@@ -214,33 +242,53 @@ def with_clauses(df: DataFrame, text_col: str = "text", slurs: frozenset[str] |
     return append_columns(df, {text_col: "string"}, fields, make)
 
 
+def _design(clauses: list[list[int]]) -> np.ndarray:
+    """One, and for each kind whether it occurs and how often its clauses doubled."""
+    counts = np.array(clauses, float).reshape(len(clauses), len(KINDS))
+    each = np.stack([counts > 0, np.log2(np.maximum(counts, 1))], axis=2).reshape(len(counts), -1)
+    return np.hstack([np.ones((len(counts), 1)), each])
+
+
 def fit(labelled: DataFrame, strength: float = 1.0, rounds: int = 60) -> list[float]:
     """Weights (bias first) of a logistic model on (clauses, toxic), with a normal prior at the grammar's own weights.
 
-    Spark counts the labelled rows of each pattern of clause counts, of which there are (CAP + 1) ** kinds at most, so
-    all labels count and the driver holds the patterns only. Null labels are left out; without labels the prior holds.
+    Spark counts the labelled rows of each pattern of clause counts; each round of Newton's method sums slopes and
+    curvature over the patterns in tasks, so all labels count and the driver holds sums of the model's size. Null labels
+    are left out; without labels the prior holds.
     """
-    rows = labelled.filter("toxic IS NOT NULL").groupBy("clauses", F.col("toxic").cast("int").alias("toxic")).count().collect()
-    centre = np.array([PRIOR_BIAS, *(PRIOR.get(k, (0.0, 0.0))[n > 1] for k in KINDS for n in range(1, CAP + 1))])
-    if not rows:
+    centre = np.array([PRIOR_BIAS, *(PRIOR.get(k, (0.0, 0.0))[n] for k in KINDS for n in (0, 1))])
+    patterns = cut(labelled.filter("toxic IS NOT NULL").groupBy("clauses", (F.col("toxic") > 0).cast("int").alias("toxic")).count())
+    if patterns.isEmpty():
         return centre.tolist()
-    x = np.array([[1.0, *(float(c >= n) for c in r["clauses"] for n in range(1, CAP + 1))] for r in rows])
-    y, n = np.array([float(r["toxic"] > 0) for r in rows]), np.array([float(r["count"]) for r in rows])
-    w = centre.copy()
+    w, d = centre.copy(), len(centre)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (n * (p - y)) + strength * (w - centre)
-        curve = (x * (n * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        step = np.linalg.solve(curve, slope)
+
+        def sums(batches, w=w):
+            total = np.zeros(d + d * d)
+            for batch in batches:
+                x, y, n = _design(batch.column("clauses").to_pylist()), batch.column("toxic").to_numpy(), batch.column("count").to_numpy()
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                total[:d] += x.T @ (n * (p - y))
+                total[d:] += ((x * (n * p * (1 - p))[:, None]).T @ x).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["i", "x"])
+
+        got = np.zeros(d + d * d)
+        for r in patterns.mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            got[r.i] = r.x
+        step = np.linalg.solve(got[d:].reshape(d, d) + strength * np.eye(d), got[:d] + strength * (w - centre))
         w = w - step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
-    return w.tolist()
+        if np.abs(step).max() < 1e-9:
+            break
+    # Sums of doubles come in any order; the digits that they settle are far fewer than these.
+    return [round(float(x), 9) for x in w]
 
 
 def score(clauses: Column, weights: list[float]) -> Column:
-    """The chance of toxicity, computed in the JVM: a kind's first clause and each further one have their own weight."""
+    """The chance of toxicity, computed in the JVM: a kind's first clause and each doubling have their own weight."""
     total = F.lit(weights[0])
-    for i, w in enumerate(weights[1:]):
-        total = total + F.when(F.get(clauses, i // CAP) > i % CAP, F.lit(w)).otherwise(F.lit(0.0))
+    for i in range(len(KINDS)):
+        n = F.get(clauses, i)
+        total = total + F.when(n > 0, F.lit(weights[1 + 2 * i]) + F.lit(weights[2 + 2 * i]) * F.log2(n)).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-total))
 
 

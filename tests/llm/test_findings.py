@@ -173,7 +173,7 @@ def test_negation_and_report_compose_over_learned_words():
     assert of("he said you are not a zorg") == {"slur negated": 1} and of("you zorg") == {"slur at target": 1}
     assert of('He said: "you are an idiot"') == {"insult reported": 1} == of("You are an idiot, he said.")
     assert of("kill the process, you know") == {} and of("I will never kill you") == {"threat negated": 1}
-    assert of("a zorg. a zorg. a zorg. a zorg") == {"slur": toxicity.CAP} and of("") == {} == of(", , ,")
+    assert of("a zorg. a zorg. a zorg. a zorg") == {"slur": 4} and of("") == {} == of(", , ,")
 
 
 @pytest.mark.parametrize("shard_bytes", [40, 1 << 20])
