@@ -84,8 +84,8 @@ _SPELT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z
 #: What every match of _SPELT has from its at on; without it the whole pattern need not be tried.
 _SPELT_REST = re.compile(rf"{_AT[2:]}[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z0-9-]{{2}}", re.I)
 _SAID = re.compile(r"[\[({] ?(?:at|dot) ?[\])}]| dot ", re.I)
-_SECRET = re.compile(r"""\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd|key)["']? ?[=:] ?["']?([A-Za-z0-9/+_=-]{8,128})""", re.I)
-_HEX = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{24,128}(?![A-Za-z0-9])")
+_SECRET = re.compile(r"""\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd|key)["']? ?[=:] ?["']?([A-Za-z0-9/+_=-]{8,}(?:\.[A-Za-z0-9/+_=-]{8,})*)""", re.I)
+_HEX = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{24,}+(?![A-Za-z0-9])")
 
 #: Words before a span that speak for its kind; fixed values.
 CONTEXT = {
