@@ -123,11 +123,24 @@ def _hex_of_base32(column: str):
     return F.concat(*parts)
 
 
-def _parse(data: bytes, at: int) -> tuple[dict, int]:
+class _Places:
+    """The next place of a pattern from a place that only grows; each search goes on where the last one of it ended."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.found = data, {}
+
+    def find(self, pattern: bytes, at: int) -> int:
+        known = self.found.get(pattern)
+        if known is None or (0 <= known[1] < at) or at < known[0]:
+            known = self.found[pattern] = at, self.data.find(pattern, at)
+        return known[1]
+
+
+def _parse(data: bytes, at: int, places: _Places | None = None) -> tuple[dict, int]:
     """The record at ``at`` of plain bytes and where it ends. Raises ValueError with the failed check."""
     if not data.startswith(VERSION, at):
         raise ValueError("no version line")
-    stop = data.find(END, at)
+    stop = (places or data).find(END, at)
     if stop < 0:
         raise ValueError("headers without end")
     head = {}
@@ -165,33 +178,31 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
         return b"".join(out), end - len(z.unused_data), None if z.eof else "gzip member is cut off"
     except zlib.error as e:
         why = f"bad gzip member: {e}"
-    z, out = zlib.decompressobj(31), []
-    for step in (1 << 14, 1):  # a failed call gives nothing, so the bytes of its piece are read again one by one
-        while at < len(data) and not z.eof:
-            before = z.copy()
-            try:
-                out.append(z.decompress(data[at : at + step]))
-            except zlib.error:
-                z = before
-                break
+    z, out, step = zlib.decompressobj(31), [], 1 << 14
+    while step and at < len(data) and not z.eof:  # a failed call gives nothing, so its piece is read again by halves
+        before = z.copy()
+        try:
+            out.append(z.decompress(data[at : at + step]))
             at += step
+        except zlib.error:
+            z, step = before, step // 2
     return b"".join(out), min(at, len(data)), why
 
 
 def _within(plain: bytes) -> Iterator[dict]:
     """The valid records of a member's plain bytes and, as {"error"}, the gaps between them."""
-    at, bad, why = 0, None, ""
+    at, bad, why, places = 0, None, "", _Places(plain)
     gap = lambda end: {"error": f"{why} (plain bytes {bad} to {end} of the member)", "why": why}
     while at < len(plain):
         if bad is None and plain.startswith(b"\r\n", at):
             at += 2
             continue
         try:
-            record, end = _parse(plain, at)
+            record, end = _parse(plain, at, places)
         except ValueError as e:
             if bad is None:
                 bad, why = at, str(e)
-            at = plain.find(b"\n" + VERSION, at) + 1 or len(plain)
+            at = places.find(b"\n" + VERSION, at) + 1 or len(plain)
             continue
         if bad is not None:
             yield gap(at)
@@ -202,10 +213,10 @@ def _within(plain: bytes) -> Iterator[dict]:
         yield gap(len(plain))
 
 
-def _next(data: bytes, at: int) -> int:
+def _next(data: bytes, at: int, places: _Places) -> int:
     """The next place from ``at`` where a member or a version line may start."""
-    member = data.find(GZIP, at)
-    line = at if data.startswith(VERSION, at) and (at == 0 or data[at - 1 : at] == b"\n") else data.find(b"\n" + VERSION, max(0, at - 1)) + 1 or -1
+    member = places.find(GZIP, at)
+    line = at if data.startswith(VERSION, at) and (at == 0 or data[at - 1 : at] == b"\n") else places.find(b"\n" + VERSION, max(0, at - 1)) + 1 or -1
     return min((x for x in (member, line) if x >= at), default=len(data))
 
 
@@ -218,7 +229,7 @@ def salvage(data: bytes) -> Iterator[dict]:
     may hold several records: valid ones are yielded, and gaps between them, with the bytes of the member, also of what
     was inflated before damage; the bytes of a damaged member are a gap too.
     """
-    at, bad, why, read = 0, None, "", 0
+    at, bad, why, read, places = 0, None, "", 0, _Places(data)
     while at < len(data):
         try:
             if data.startswith(GZIP, at):
@@ -232,14 +243,14 @@ def salvage(data: bytes) -> Iterator[dict]:
                 at += 2
                 continue
             else:
-                record, end = _parse(data, at)
+                record, end = _parse(data, at, places)
                 if at < read:
                     raise ValueError("inside a damaged member")
                 found, damage = [{"record": record}], None
         except ValueError as e:
             if bad is None:
                 bad, why = at, str(e)
-            at = _next(data, at + 1)
+            at = _next(data, at + 1, places)
             continue
         if bad is not None and found:
             yield {"start": bad, "end": at, "error": why}
@@ -248,7 +259,7 @@ def salvage(data: bytes) -> Iterator[dict]:
             yield {"start": at, "end": end} | ({"record": x["record"]} if "record" in x else {"error": x["error"]})
         if damage:
             bad, why, read = at, damage, end
-            at = _next(data, at + 1)
+            at = _next(data, at + 1, places)
         else:
             at = end
     if bad is not None:
