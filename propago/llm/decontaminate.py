@@ -319,8 +319,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", w
     Other documents keep their exact text. Columns as in ``df``; ``n_chars``, where there, is that of the new text.
     """
     columns = df.columns
-    marked = match(df, benchmark, text_col, window, floor=max_words + 1).withColumn("__cover", F.when(F.col("n_words") > 0, F.col("n_hit") / F.col("n_words")).otherwise(F.lit(0.0)))
-    kept = marked.filter(F.col("__cover") <= max_coverage).withColumn("__bytes", F.col(f"`{text_col}`").cast("string"))
+    # Rows go as structs, so that no column of theirs can clash with what is appended.
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    marked = match(whole, benchmark, "__text", window, floor=max_words + 1).withColumn("__cover", F.when(F.col("n_words") > 0, F.col("n_hit") / F.col("n_words")).otherwise(F.lit(0.0)))
+    kept = marked.filter(F.col("__cover") <= max_coverage).withColumn("__bytes", F.col("__text"))
 
     def make():
         def fn(texts, spans):
@@ -331,7 +333,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", w
 
     new = append_columns(kept.withColumn("__spans", F.col("spans")), {"__bytes": "binary", "__spans": "array<struct<start:int,stop:int>>"}, [StructField("__new", StringType())], make)
     changed = F.size("__spans") > 0
-    swap = {text_col: F.when(changed, F.col("__new")).otherwise(F.col(f"`{text_col}`"))}
+    swap = {text_col: F.when(changed, F.col("__new")).otherwise(F.col(f"row.`{text_col}`"))}
     if "n_chars" in columns:
-        swap["n_chars"] = F.when(changed, F.length("__new").cast("long")).otherwise(F.col("n_chars"))
-    return new.select(*(swap.get(c, F.col(f"`{c}`")).alias(c) for c in columns))
+        swap["n_chars"] = F.when(changed, F.length("__new").cast("long")).otherwise(F.col("row.n_chars"))
+    return new.select(*(swap.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns))

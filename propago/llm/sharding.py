@@ -52,7 +52,8 @@ def shard(df: DataFrame, limit: int, key: str = "doc_id", text_col: str = "text"
     outputs = ("shard_id", "shard_depth", "shard_bytes")
     columns = [F.col(f"`{c}`") for c in df.columns if c not in outputs]
     size = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long")
-    rows = df.select(*columns, _hash([F.col(f"`{key}`")], columns).alias("__hex"), size.alias("__size"))
+    # Rows go as structs, so that no column of theirs can clash.
+    rows = df.select(F.struct(*columns).alias("__row"), _hash([F.col(f"`{key}`")], columns).alias("__hex"), size.alias("__size"))
     active = cut(rows.groupBy(F.col("__hex").alias("hex")).agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("n")))
     found = None
     for at in range(0, _HASH, _DIGITS):
@@ -67,15 +68,15 @@ def shard(df: DataFrame, limit: int, key: str = "doc_id", text_col: str = "text"
         active = cut(active.withColumns({"parent": parent, "chunk": chunk}).join(over, ["parent", "chunk"], "left_semi").select("hex", "size", "n"))
     given = rows.join(found.withColumnRenamed("hex", "__hex"), "__hex")
     out = [F.col("shard_id"), F.col("depth").cast("int").alias("shard_depth"), F.col("shard_bytes").cast("long")]
-    plain = given.filter(~F.col("same")).select(*columns, *out)
+    plain = given.filter(~F.col("same")).select("__row.*", *out)
     if found.filter("same").isEmpty():
         return plain
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("__size", F.lit(1)))).cast("long")
-    equal = given.filter("same").groupBy(*columns, "__size", "shard_id", "depth").agg(F.count(F.lit(1)).alias("copies")).withColumn("per_page", per_page)
+    equal = given.filter("same").groupBy("__row", "__size", "shard_id", "depth").agg(F.count(F.lit(1)).alias("copies")).withColumn("per_page", per_page)
     paged = equal.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("page", F.floor(F.col("copy") / F.col("per_page")))
     on_page = F.least("per_page", F.col("copies") - F.col("page") * F.col("per_page"))
     return plain.unionByName(
-        paged.select(*columns, F.concat("shard_id", F.lit("#"), "page").alias("shard_id"), F.col("depth").cast("int").alias("shard_depth"), (on_page * F.col("__size")).cast("long").alias("shard_bytes"))
+        paged.select("__row.*", F.concat("shard_id", F.lit("#"), "page").alias("shard_id"), F.col("depth").cast("int").alias("shard_depth"), (on_page * F.col("__size")).cast("long").alias("shard_bytes"))
     )
 
 

@@ -207,7 +207,8 @@ def remove_repeats(
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (16 << 20))
     # Both steps read all columns, so that Spark makes one shuffle of the texts and reads it twice.
     text = F.col(f"`{text_col}`").cast("string")
-    kept_columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
+    # Columns go by position, so that no name of theirs can clash.
+    kept_columns = [(text if c == text_col else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(kept)]
     text_at = kept.index(text_col) if text_col in kept else len(kept)
     spare = [] if text_col in kept else [text.alias("__text")]
     docs = df.select(*kept_columns, *spare, ordered.alias("__key"), block.cast("long").alias("__block")).repartition(parts, "__block")
