@@ -1,4 +1,4 @@
-"""Order-book replay, as a fold per symbol and as joins of validity intervals, and the features of each state."""
+"""Order-book replay, as folds of chunks of updates and as joins of validity intervals, and the features of each state."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 #: Levels a side that features look at.
 DEPTH = 10
 
-_FEATURES = "best_bid double, best_ask double, mid double, spread double, imb1 double, imb5 double, bid_depth double, ask_depth double, bid_levels long, ask_levels long, crossed boolean"
+FEATURES = "best_bid double, best_ask double, mid double, spread double, imb1 double, imb5 double, bid_depth double, ask_depth double, bid_levels long, ask_levels long, crossed boolean"
+FEATURE_NAMES = [f.split()[0] for f in FEATURES.split(", ")]
 
 
 def from_arrays(updates: DataFrame, by: list[str], bids: str = "bids", asks: str = "asks") -> DataFrame:
@@ -51,53 +52,96 @@ class _Side:
         return [(p, self.quantity[p]) for p in (self.sign * x for x in self.order[:DEPTH])]
 
 
+class Book:
+    """Both sides of one series' book, and its features as FEATURES names them."""
+
+    def __init__(self) -> None:
+        self.bid, self.ask = _Side(-1), _Side(1)
+
+    def put(self, side: str, price: float, quantity: float) -> None:
+        (self.bid if side == "bid" else self.ask).put(price, quantity)
+
+    def tops(self) -> tuple[list, list]:
+        return self.bid.top(), self.ask.top()
+
+    def features(self, tops: tuple[list, list]) -> tuple:
+        bid, ask = tops
+        b, a = (bid[0][0] if bid else None), (ask[0][0] if ask else None)
+        both = b is not None and a is not None
+        depth = float(sum(q for _, q in bid)), float(sum(q for _, q in ask))
+        return b, a, (a + b) / 2 if both else None, a - b if both else None, _imbalance(bid, ask, 1), _imbalance(bid, ask, 5), *depth, len(self.bid.order), len(self.ask.order), both and b >= a
+
+
 _LEVELS = "array<struct<price:double,quantity:double>>"
+#: Updates of a series that one task replays, from the levels that are live at the first of them.
+CHUNK = 4096
+
+
+def _seeds(rows: DataFrame, by: list[str], update: str) -> DataFrame:
+    """(by, __chunk, side, price, quantity): the levels that are live where a chunk begins.
+
+    A level's last quantity in each chunk that touches it holds at the start of all later chunks, up to the next one that
+    touches it: aggregates and a window over chunks, no row of which is an update.
+    """
+    last = rows.groupBy(*by, "side", "price", "__chunk").agg(F.max_by("quantity", F.struct(F.coalesce(update, F.lit(-(1 << 62))), "pos")).alias("quantity"))
+    ends = rows.groupBy(*by).agg(F.max("__chunk").alias("__most"))
+    after = F.lead("__chunk").over(Window.partitionBy(*by, "side", "price").orderBy("__chunk"))
+    live = last.withColumn("__next", after).filter("quantity > 0").join(ends, by)
+    upto = F.coalesce("__next", F.col("__most"))
+    return live.filter(upto > F.col("__chunk")).select(*by, "side", "price", "quantity", F.explode(F.sequence(F.col("__chunk") + 1, upto)).alias("__chunk"))
 
 
-def replay(levels: DataFrame, by: list[str], update: str = "update", snapshot: DataFrame | None = None, top: bool = False) -> DataFrame:
+def replay(levels: DataFrame, by: list[str], update: str = "update", snapshot: DataFrame | None = None, top: bool = False, chunk: int | None = CHUNK) -> DataFrame:
     """Fold each series' level rows into a book and give its features after every update (by, update, features).
 
     A positive quantity sets a level, zero deletes it; the last row of an update wins. ``snapshot`` rows (by, side,
-    price, quantity) are the state before the first update. A series is one task's fold in order of updates; series
-    run in parallel. An empty side gives null prices; ``crossed`` marks states whose best bid is not below the ask. With
+    price, quantity) are the state before the first update. A series is cut into chunks of ``chunk`` update numbers,
+    which tasks replay in parallel, each from the levels that are live where it begins (see ``_seeds``); None: a series
+    is one chunk. An empty side gives null prices; ``crossed`` marks states whose best bid is not below the ask. With
     ``top``, ``bids`` and ``asks`` hold the best DEPTH levels after every update.
     """
     zero = levels.select(*by, update, "pos", "side", "price", "quantity")
     if snapshot is not None:
         first = snapshot.select(*by, F.lit(None).cast("long").alias(update), F.lit(-1).cast("long").alias("pos"), "side", "price", "quantity")
         zero = zero.unionByName(first)
-    names = [f.split()[0] for f in _FEATURES.split(", ")]
-    kinds = [pa.int64() if f.endswith("long") else pa.bool_() if f.endswith("boolean") else pa.float64() for f in _FEATURES.split(", ")]
+    keys = by
+    if chunk:
+        keys = [*by, "__chunk"]
+        # Rows of the snapshot are of a chunk before all others.
+        rows = zero.withColumn("__chunk", F.coalesce(F.floor(F.col(update) / F.lit(chunk)), F.lit(-(1 << 40)).cast("long")))
+        firsts = rows.filter(F.col(update).isNotNull()).groupBy(*by).agg((F.min("__chunk") - 1).alias("__before"))
+        rows = rows.join(firsts, by).withColumn("__chunk", F.greatest("__chunk", "__before")).drop("__before")
+        seeds = _seeds(rows, by, update).withColumns({update: F.lit(None).cast("long"), "pos": F.lit(-1).cast("long")})
+        zero = rows.filter(F.col(update).isNotNull()).unionByName(seeds)
+    names = FEATURE_NAMES
+    kinds = [pa.int64() if f.endswith("long") else pa.bool_() if f.endswith("boolean") else pa.float64() for f in FEATURES.split(", ")]
     level = pa.list_(pa.struct([("price", pa.float64()), ("quantity", pa.float64())]))
 
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by([(update, "ascending"), ("pos", "ascending")])
         ids = table.column(update).to_pylist()
-        gone = ids.count(None)  # rows of the snapshot, which sorting puts last, come first
+        gone = ids.count(None)  # rows of the state before, which sorting puts last, come first
         turn = [*range(len(ids) - gone, len(ids)), *range(len(ids) - gone)]
         ids = [ids[k] for k in turn]
         sides, prices, quantities = ([column[k] for k in turn] for column in (table.column(c).to_pylist() for c in ("side", "price", "quantity")))
-        book = {"bid": _Side(-1), "ask": _Side(1)}
-        out, tops, kept = [], [], []
+        book, out, tops, kept = Book(), [], [], []
         for k, u in enumerate(ids):
-            book[sides[k]].put(prices[k], quantities[k])
+            book.put(sides[k], prices[k], quantities[k])
             if u is None or (k + 1 < len(ids) and ids[k + 1] == u):
                 continue
-            bid, ask = book["bid"].top(), book["ask"].top()
-            b, a = (bid[0][0] if bid else None), (ask[0][0] if ask else None)
-            both = b is not None and a is not None
-            out.append((b, a, (a + b) / 2 if both else None, a - b if both else None, _imbalance(bid, ask, 1), _imbalance(bid, ask, 5), float(sum(q for _, q in bid)), float(sum(q for _, q in ask)), len(book["bid"].order), len(book["ask"].order), both and b >= a))
+            best = book.tops()
+            out.append(book.features(best))
             kept.append(u)
             if top:
-                tops.append([[{"price": p, "quantity": q} for p, q in side] for side in (bid, ask)])
+                tops.append([[{"price": p, "quantity": q} for p, q in side] for side in best])
         first = pa.array([0] * len(kept), pa.int64())
         arrays = [*(table.column(c).take(first) for c in by), pa.array(kept, pa.int64()), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds))]
         if top:
             arrays += [pa.array([t[i] for t in tops], level) for i in (0, 1)]
         return pa.Table.from_arrays(arrays, names=[*by, update, *names, *(("bids", "asks") if top else ())])
 
-    schema = ", ".join([*(f"{c} {levels.schema[c].dataType.simpleString()}" for c in by), f"{update} long", _FEATURES, *((f"bids {_LEVELS}", f"asks {_LEVELS}") if top else ())])
-    return zero.groupBy(*by).applyInArrow(fold, schema)
+    schema = ", ".join([*(f"{c} {levels.schema[c].dataType.simpleString()}" for c in by), f"{update} long", FEATURES, *((f"bids {_LEVELS}", f"asks {_LEVELS}") if top else ())])
+    return zero.groupBy(*keys).applyInArrow(fold, schema)
 
 
 def top_levels(states: DataFrame, by: list[str], update: str = "update") -> DataFrame:

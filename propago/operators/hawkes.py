@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propago.operators.sequence import block_of, split_intervals
+from propago.operators.sequence import block_of, previous, running_before, split_intervals
 from propago.session import cut
 
 
@@ -258,39 +258,40 @@ def block_log_likelihood(tape: DataFrame, steps: DataFrame, m: Model, by: list[s
     return areas.join(points, "block", "left").select("block", F.coalesce("events", F.lit(0)).alias("events"), (F.coalesce("points", F.lit(0.0)) - F.col("area")).alias("loglik"))
 
 
-def cumulative(excited: DataFrame, pieces: DataFrame, m: Model, by: list[str]) -> DataFrame:
+def cumulative(excited: DataFrame, pieces: DataFrame, m: Model, by: list[str], chunk_ns: int = CHUNK_NS) -> DataFrame:
     """Append ``area0``, ``area1``, ...: each type's compensator from the start to each event.
 
     Telescoped: exciting type j gives alpha / beta * (its events so far - R), so no kernel is integrated again. Baselines
     sum over ``pieces`` (by, k, u0_ns, u1_ns, s) owned by the event before; rows with e < 0 (edges) excite nothing.
+    Running sums go by time chunks, so that a long series is shared by many tasks.
     """
     n_states, k, _, _ = m.shape
     alpha, beta = np.array(m.alpha), np.array(m.beta)
-    before = Window.partitionBy(*by).orderBy("t_ns", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    chunk, order = F.floor(F.col("t_ns") / F.lit(chunk_ns)), ["t_ns", "seq"]
     length = (F.col("u1_ns") - F.col("u0_ns")) / m.unit_ns
     base = at_edges(pieces, m.edges).groupBy(*by, "k").agg(*(F.sum(_pick(np.array(m.mu)[:, i], cell(F.col("u0_ns"), F.col("s"), m.edges, n_states)) * length).alias(f"__b{i}") for i in range(k)))
-    placed = excited.withColumn("k", (F.row_number().over(Window.partitionBy(*by).orderBy("t_ns", "seq")) - 1).cast("long")).join(base, [*by, "k"], "left")
+    numbered = running_before(excited, by, order, {"k": F.lit(1).cast("long")}, chunk)
+    placed = numbered.join(base, [*by, "k"], "left")
     weight = lambda i: (alpha[:, i, :] / beta[:, None])
-    mass = [F.coalesce(F.sum(F.coalesce(_pick(weight(i).sum(axis=0), F.col("e")), F.lit(0.0))).over(before), F.lit(0.0)) for i in range(k)]
-    still = [_dot(weight(i), F.col("R")) for i in range(k)]
-    flat = [F.coalesce(F.sum(F.coalesce(f"__b{i}", F.lit(0.0))).over(before), F.lit(0.0)) for i in range(k)]
-    return placed.withColumns({f"area{i}": flat[i] + mass[i] - still[i] for i in range(k)}).drop("k", *(f"__b{i}" for i in range(k)))
+    gained = {f"__s{i}": F.coalesce(_pick(weight(i).sum(axis=0), F.col("e")), F.lit(0.0)) + F.coalesce(F.col(f"__b{i}"), F.lit(0.0)) for i in range(k)}
+    summed = running_before(placed, by, order, gained, chunk)
+    return summed.withColumns({f"area{i}": F.col(f"__s{i}") - _dot(weight(i), F.col("R")) for i in range(k)}).drop("k", *(f"__{x}{i}" for i in range(k) for x in "bs"))
 
 
-def rescaled_residuals(excited: DataFrame, pieces: DataFrame, m: Model, by: list[str], a_ns: int | None = None, b_ns: int | None = None) -> DataFrame:
+def rescaled_residuals(excited: DataFrame, pieces: DataFrame, m: Model, by: list[str], a_ns: int | None = None, b_ns: int | None = None, chunk_ns: int = CHUNK_NS) -> DataFrame:
     """(by, seq, t_ns, m, area, residual, opener): compensator increments between consecutive events of a type.
 
     Unit exponential if the model holds. ``seq`` ends an interval and ``opener`` is the seq of the event that began it.
     With bounds, only intervals with both ends in [a, b).
     """
     k = m.shape[1]
-    total = cumulative(excited, pieces, m, by).filter("m >= 0")
+    total = cumulative(excited, pieces, m, by, chunk_ns).filter("m >= 0")
     if a_ns is not None:
         total = total.filter((F.col("t_ns") >= a_ns) & (F.col("t_ns") < b_ns))
     own = F.coalesce(*(F.when(F.col("m") == i, F.col(f"area{i}")) for i in range(k)))
-    w = Window.partitionBy(*by, "m").orderBy("t_ns", "seq")
-    out = total.withColumn("area", own).withColumns({"residual": F.col("area") - F.lag("area").over(w), "opener": F.lag("seq").over(w)})
-    return out.select(*by, "seq", "t_ns", "m", "area", "residual", "opener").filter("residual IS NOT NULL")
+    placed = total.select(*by, "seq", "t_ns", "m", own.alias("area"))
+    out = previous(placed, [*by, "m"], ["t_ns", "seq"], {"__area": "area", "opener": "seq"}, F.floor(F.col("t_ns") / F.lit(chunk_ns)))
+    return out.withColumn("residual", F.col("area") - F.col("__area")).select(*by, "seq", "t_ns", "m", "area", "residual", "opener").filter("residual IS NOT NULL")
 
 
 def poisson_fit(tape: DataFrame, pieces: DataFrame, n_states: int, types: int, n_exciting: int, a_ns: int, b_ns: int, unit_ns: int, edges: tuple = ()) -> Model:

@@ -72,6 +72,34 @@ def asof_backward(events: DataFrame, steps: DataFrame, by: list[str], value: str
     return both.filter("__kind = 1").drop("__kind", "__value")
 
 
+def running_before(df: DataFrame, by: list[str], order: list[str], values: dict[str, Column], chunk: Column) -> DataFrame:
+    """Append the sums of ``values`` over a series' earlier rows: within the row's chunk, plus those of earlier chunks.
+
+    ``chunk`` rises with the order. A window runs over the rows of a chunk, so that a series is shared by many tasks;
+    only one row a chunk goes through the series' own window. Null values count as zero.
+    """
+    held = {f"__v_{name}": F.coalesce(x, F.lit(0)) for name, x in values.items()}
+    placed = df.withColumn("__chunk", chunk).withColumns(held)
+    inside = Window.partitionBy(*by, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    carried = placed.groupBy(*by, "__chunk").agg(*(F.sum(c).alias(c) for c in held)).select(*by, "__chunk", *(zero(F.sum(c).over(ahead)).alias(f"__c{c}") for c in held))
+    own = placed.withColumns({f"__w{c}": zero(F.sum(c).over(inside)) for c in held}).join(carried, [*by, "__chunk"])
+    return own.select(*df.columns, *((F.col(f"__w__v_{name}") + F.col(f"__c__v_{name}")).alias(name) for name in values))
+
+
+def previous(df: DataFrame, by: list[str], order: list[str], values: dict[str, str], chunk: Column) -> DataFrame:
+    """Append under new names what columns held in the row before, null for a series' first: by chunks, as ``running_before``."""
+    placed = df.withColumn("__chunk", chunk)
+    inside = Window.partitionBy(*by, "__chunk").orderBy(*order)
+    kept = F.struct(*(F.col(c).alias(name) for name, c in values.items()))
+    last = placed.groupBy(*by, "__chunk").agg(F.max_by(kept, F.struct(*order)).alias("__last"))
+    carried = last.select(*by, "__chunk", F.lag("__last").over(Window.partitionBy(*by).orderBy("__chunk")).alias("__last"))
+    own = placed.withColumn("__lag", F.lag(kept).over(inside)).join(carried, [*by, "__chunk"])
+    found = F.coalesce("__lag", "__last")
+    return own.select(*df.columns, *(found[name].alias(name) for name in values))
+
+
 def tape(raw: DataFrame, steps: DataFrame, n_types: int = 2, n_states: int = 3, kernel_state: bool = True) -> DataFrame:
     """A tape with states and exciting types e = m + K (s + S c); without state in the kernel S counts as 1."""
     with_state = asof_backward(raw, steps, ["seg"], "s", default=0)

@@ -1,4 +1,4 @@
-"""Structured Streaming counterparts: gap detection, decayed sums and windowed counts over live tapes. Additions."""
+"""Structured Streaming counterparts: gap detection, book replay, decayed sums and windowed counts over live tapes. Additions."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from propago.operators.book import FEATURE_NAMES, FEATURES, Book
 
 
 def read_tape(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -68,6 +71,58 @@ def decayed_counts(tape: DataFrame, beta, n_exciting: int, unit_ns: int) -> Data
     return tape.groupBy("seg").applyInPandasWithState(recur, "seg long, seq long, t_ns long, R array<double>", "at long, held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+#: The state store that keyed maps of state need.
+_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Replay(StatefulProcessor):
+    """One series' book as a map of levels; a batch changes only the levels that it touches."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.levels = handle.getMapState("levels", "side string, price double", "quantity double")
+        self.seen = handle.getValueState("seen", "last_seq long, gaps long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        table = pd.concat(list(rows)).sort_values(["update", "pos"])
+        last, gaps = self.seen.get() if self.seen.exists() else (None, 0)
+        book, out, touched = Book(), [], {}
+        for (side, price), (quantity,) in self.levels.iterator():
+            book.put(side, price, quantity)
+        for update, part in table.groupby("update", sort=True):
+            first_seq, last_seq = int(part["first_seq"].iloc[0]), int(part["last_seq"].iloc[0])
+            if last is not None and last_seq <= last:
+                continue
+            gaps += last is not None and first_seq > last + 1
+            last = last_seq
+            for side, price, quantity in zip(part["side"], part["price"], part["quantity"]):
+                book.put(side, price, quantity)
+                touched[side, float(price)] = float(quantity)
+            out.append((*key, int(update), gaps, *book.features(book.tops())))
+        for level, quantity in touched.items():
+            if quantity > 0:
+                self.levels.updateValue(level, (quantity,))
+            elif self.levels.containsKey(level):
+                self.levels.removeKey(level)
+        if last is not None:
+            self.seen.update((last, int(gaps)))
+        yield pd.DataFrame(out, columns=["symbol", "update", "gaps", *FEATURE_NAMES])
+
+    def close(self) -> None:
+        pass
+
+
+def book_states(levels: DataFrame) -> DataFrame:
+    """(symbol, update, gaps, features) after every update of a stream of level rows, as the batch replay gives them.
+
+    Rows are (symbol, update, first_seq, last_seq, pos, side, price, quantity). Updates of a series come in order across
+    batches, each whole in one batch; within a batch they are sorted. Updates up to the last sequence number seen are
+    stale and go; ``gaps`` counts those that did not follow, so that 0 marks states of an unbroken feed. The state of a
+    series is its live levels.
+    """
+    levels.sparkSession.conf.set(*_STORE)
+    return levels.groupBy("symbol").transformWithStateInPandas(_Replay(), f"symbol long, update long, gaps long, {FEATURES}", "Append", "None")
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process all that is there and return what was written."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
