@@ -40,6 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Bytes of rows that go to a Python worker at once; a batch is held several times over, outside the heap too.
+ARROW_BYTES = 8 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches be of ARROW_BYTES at most, where the session has Spark's default, which is eight times that."""
+    if int(spark.conf.get(_ARROW).rstrip("bB")) == 64 << 20:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder, which survives lost executors."""
     shared_dir(df.sparkSession)
