@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from propago.session import bound_batches
+
 #: Rows that a worker turns into Python objects at once; bounds its memory, not the result.
 ROWS = 256
 
@@ -19,6 +21,7 @@ def append_columns(df: DataFrame, inputs: dict[str, str], fields: list[StructFie
     ``inputs`` maps column names to the type they are cast to for ``fn``. All columns of ``df`` pass through, in order,
     but for those named like an output, which the output replaces.
     """
+    bound_batches(df.sparkSession)
     new = {f.name for f in fields}
     kept = [c for c in df.columns if c not in new]
     fed = [F.col(f"`{c}`").cast(kind).alias(f"__in{i}") for i, (c, kind) in enumerate(inputs.items())]
