@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propago.operators.sequence import block_of, previous, running_before, split_intervals
-from propago.session import cut
+from propago.session import cut, written
 
 
 @dataclass(frozen=True)
@@ -311,6 +311,23 @@ def with_edges(tape: DataFrame, by: list[str], edges_ns: list[int]) -> DataFrame
     return tape.select(*by, "seq", "t_ns", "m", "c", "s", "e").unionByName(ends)
 
 
+#: Events in a packed block.
+_PACK = 8192
+
+
+def _packed(batches):
+    """Blocks of events of one type: their cells and R as flat arrays, which passes read without taking lists apart."""
+    for batch in batches:
+        m, c = batch.column("m").to_numpy(), batch.column("cell").to_numpy()
+        r = batch.column("R").flatten().to_numpy().reshape(len(m), -1) if len(m) else None
+        for i in np.unique(m):
+            own = np.flatnonzero(m == i)
+            for at in range(0, len(own), _PACK):
+                rows = own[at : at + _PACK]
+                data = [pa.array([x.tobytes()], pa.binary()) for x in (c[rows].astype(np.int32), r[rows])]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([len(rows)], pa.int64()), *data], names=["m", "n", "cell", "R"])
+
+
 class Likelihood:
     """The pooled log-likelihood of all series in mu and alpha, with beta fixed: what does not change is summed once.
 
@@ -332,10 +349,11 @@ class Likelihood:
         for r in (excited if tape is None else tape).filter((F.col("t_ns") < b_ns) & (F.col("e") >= 0)).groupBy("e").agg(*held).collect():
             self.mass[:, r.e] = [r[f"x{n}"] for n in range(n_scales)] / self.beta
         inside = excited.filter((F.col("t_ns") >= a_ns) & (F.col("t_ns") < b_ns) & (F.col("m") >= 0))
-        self.events = cut(inside.select("m", cell(F.col("t_ns"), F.col("s"), self.edges, n_states).cast("int").alias("cell"), "R"))
+        rows = inside.select(F.col("m").cast("int"), cell(F.col("t_ns"), F.col("s"), self.edges, n_states).cast("int").alias("cell"), "R")
+        self.events = written(rows.mapInArrow(_packed, "m int, n long, cell binary, R binary"))
         self.counts = np.zeros(k)
-        for r in self.events.groupBy("m").count().collect():
-            self.counts[r.m] = r["count"]
+        for r in self.events.groupBy("m").agg(F.sum("n").alias("n")).collect():
+            self.counts[r.m] = r.n
 
     def start(self) -> tuple[np.ndarray, np.ndarray]:
         """Half of the events by constant baselines, half by kernels of equal shares."""
@@ -353,11 +371,9 @@ class Likelihood:
         def expect(batches):
             total = np.zeros((len(flat), size))
             for batch in batches:
-                m, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                r = batch.column(2).flatten().to_numpy().reshape(len(m), -1)
-                for i in range(k):
-                    own = m == i
-                    seen, at = r[own], c[own]
+                for block in batch.to_pylist():
+                    i, at = block["m"], np.frombuffer(block["cell"], np.int32)
+                    seen = np.frombuffer(block["R"]).reshape(len(at), -1)
                     for row, (mu, alpha) in zip(total, flat):
                         lam = np.maximum(mu[at, i] + seen @ alpha[i], 1e-300)
                         row[0] += np.log(lam).sum()

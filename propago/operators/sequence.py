@@ -100,6 +100,14 @@ def previous(df: DataFrame, by: list[str], order: list[str], values: dict[str, s
     return own.select(*df.columns, *(found[name].alias(name) for name in values))
 
 
+def backfilled(steps: DataFrame, by: list[str], start_ns: Column | int) -> DataFrame:
+    """A state function (by, t_ns, s) that holds from ``start_ns`` on: where a series' first step is later, its state holds
+    before it too. Series without steps stay without."""
+    start = start_ns if isinstance(start_ns, Column) else F.lit(start_ns)
+    first = steps.groupBy(*by).agg(F.min("t_ns").alias("__first"), F.min_by("s", F.struct("t_ns", "s")).alias("s")).filter(F.col("__first") > start)
+    return steps.select(*by, "t_ns", "s").unionByName(first.select(*by, start.cast("long").alias("t_ns"), "s"))
+
+
 def tape(raw: DataFrame, steps: DataFrame, n_types: int = 2, n_states: int = 3, kernel_state: bool = True) -> DataFrame:
     """A tape with states and exciting types e = m + K (s + S c); without state in the kernel S counts as 1."""
     with_state = asof_backward(raw, steps, ["seg"], "s", default=0)

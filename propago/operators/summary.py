@@ -141,11 +141,22 @@ def two_se_agreement(real: DataFrame, null: DataFrame, by: list[str], least: int
     )
 
 
-def eligibility(orders: DataFrame, continuity: DataFrame, by: list[str], min_span: float, min_orders: int) -> DataFrame:
-    """Facts of each series, and whether it is continuous, long and large enough to be analysed."""
+def eligibility(orders: DataFrame, continuity: DataFrame, by: list[str], min_span: float, min_orders: int, snapshots: DataFrame | None = None, book: DataFrame | None = None, fingerprints: DataFrame | None = None) -> DataFrame:
+    """Facts of each series, and whether it is continuous, long and large enough to be analysed.
+
+    Given the series' snapshots, how many there are is a fact too, and one at least is asked for; given its book updates,
+    their number is; given fingerprints (by, fingerprint), so is that.
+    """
     facts = orders.groupBy(*by).agg((F.max("t") - F.min("t")).alias("span_s"), F.count(F.lit(1)).alias("orders"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"))
     both = facts.join(continuity, by, "left")
-    return both.withColumn("eligible", F.coalesce("continuous", F.lit(False)) & (F.col("span_s") >= min_span) & (F.col("orders") >= min_orders))
+    seeded = F.lit(True)
+    for rows, name in ((snapshots, "snapshots"), (book, "book_rows")):
+        if rows is not None:
+            both = both.join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias(name)), by, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+            seeded = F.col("snapshots") >= 1 if name == "snapshots" else seeded
+    if fingerprints is not None:
+        both = both.join(fingerprints.select(*by, "fingerprint"), by, "left")
+    return both.withColumn("eligible", F.coalesce("continuous", F.lit(False)) & seeded & (F.col("span_s") >= min_span) & (F.col("orders") >= min_orders))
 
 
 def admission(facts: DataFrame, registry: DataFrame, min_span: float, accepted: DataFrame | None = None, required: int | None = None) -> DataFrame:

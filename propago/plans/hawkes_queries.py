@@ -187,11 +187,31 @@ counts AS (SELECT m, count(*) AS n FROM inside GROUP BY m),
 mu0 AS (SELECT s, m, n / (SELECT sum(x) FROM time) / 2 AS v FROM time, counts),
 alpha0 AS (SELECT l, m, e0, n / ({len(BETA)} * {J} * greatest(x, 1e-9)) / 2 AS v FROM mass, counts)"""
     + "".join(_em_sql(k) for k in (1, 2, 3))
+)
+
+
+@query(_EM_SQL + " SELECT l::INT AS scale, m::INT AS m, e0::INT AS e, round(ln(2) / beta, 6) AS half_life, round(v / beta, 7) AS branching FROM alpha3 JOIN scales USING (l)")
+def em_branching(spark, sf_dir):
+    """Branching by scale, type and exciting type, and half-lives, of the marked, state-dependent model after three steps
+    of expectation-maximisation on the tape."""
+    like = h.Likelihood(excited(spark, sf_dir), cells(spark, sf_dir), (S, K, len(BETA), J), BETA, A_NS, B_NS, HOUR, tape=tape(spark, sf_dir))
+    mu, alpha = like.start()
+    for _ in range(3):
+        _, births, parents = like.at([(mu, alpha)])[0]
+        mu, alpha = like.step(births, parents)
+    m = like.as_model(mu, alpha)
+    by_scale, lives = m.branching_by_scale(), m.half_lives()
+    rows = [(n, i, j, round(float(lives[n]), 6), round(float(by_scale[n, i, j]), 7)) for n in range(len(BETA)) for i in range(K) for j in range(J) if like.mass[n, j] > 0]
+    return spark.createDataFrame(rows, "scale int, m int, e int, half_life double, branching double")
+
+
+_EM_STEPS_SQL = (
+    _EM_SQL
     + " SELECT step, round(loglik, 2) AS loglik FROM (SELECT * FROM value0 UNION ALL SELECT * FROM value1 UNION ALL SELECT * FROM value2)"
 )
 
 
-@query(_EM_SQL)
+@query(_EM_STEPS_SQL)
 def hawkes_em_steps(spark, sf_dir):
     """The log-likelihood of the marked, state-dependent model before each of three steps of expectation-maximisation."""
     like = h.Likelihood(excited(spark, sf_dir), cells(spark, sf_dir), (S, K, len(BETA), J), BETA, A_NS, B_NS, HOUR, tape=tape(spark, sf_dir))
@@ -275,10 +295,10 @@ def shared_rows(spark, sf_dir, specs, starts, seeds=(), shares=(), split=CUT_NS,
     return fits.share(tapes, steps, SEG, scales, K, S, 4, HOUR, end, tuple(starts), 5 * DAY)
 
 
-def comparators(spark, sf_dir, a_ns, b_ns, starts):
+def comparators(spark, sf_dir, a_ns, b_ns, starts, end=B_NS):
     """Shared rows with edges at ``starts``, and the models that a neural one is compared with, fitted on [a, b)."""
     specs = [named()[name] for name in ("M1", "M4", "E1'")]
-    shared = shared_rows(spark, sf_dir, specs, starts, split=b_ns)
+    shared = shared_rows(spark, sf_dir, specs, starts, split=b_ns, end=end)
     return shared, fits.fit_all(shared, specs, a_ns, b_ns, tolerance=1e-6)
 
 
@@ -376,6 +396,22 @@ def extension_grid(spark, sf_dir):
     return out.join(nll, "model").join(gains, "model")
 
 
+@query()
+def jittered_diagnostics(spark, sf_dir):
+    """Diagnostics of the query model on the tape as it is and on times jittered within their tick, side by side, with the
+    means' standard errors: what ties do to the distances."""
+    t = tape(spark, sf_dir)
+    draw = F.conv(F.substring(F.md5(F.col("seq").cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    moved = q.jitter(t, SEG, HOUR, draw).withColumn("t_ns", F.col("jittered_ns")).select(*t.columns)
+    out = None
+    for name, own in (("raw", t), ("jittered", cut(moved))):
+        kicked = h.excitation(own, SEG, BETA, J, HOUR, 5 * DAY)
+        found = h.rescaled_residuals(kicked, q.split_intervals(own, v.state_steps(spark, sf_dir), SEG, END_NS), MODEL, SEG)
+        rows = ladder.diagnostics(found, own, SEG, START_NS, 6 * HOUR, errors=True).withColumn("times", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("m", "measure", "at").pivot("times", ["raw", "jittered"]).agg(F.first("value"))
+
+
 #: Marks by fills in an order and by price levels that it took: a rule of merging and edges each.
 MARK_RULES = {"fills": ("fills", 0, (2, 3, 4)), "fills, merged over three days": ("fills", 3 * DAY, (2, 3, 4)), "levels": ("levels", 0, (2, 3, 4)), "quantity": ("quantity", 0, (10.0, 25.0, 40.0))}
 

@@ -100,6 +100,18 @@ def asof_state(spark, sf_dir):
     return tape(spark, sf_dir)
 
 
+@query(
+    v.TAPE_SQL
+    + """, firsts AS (SELECT seg, arg_min(s, t_ns) AS first_s FROM state_steps GROUP BY seg)
+SELECT r.seg, r.seq, coalesce(s.s, f.first_s, 0) AS s, r.m + 2 * (coalesce(s.s, f.first_s, 0) + 3 * r.c) AS e
+FROM raw_tape r ASOF LEFT JOIN state_steps s ON r.seg = s.seg AND r.t_ns >= s.t_ns LEFT JOIN firsts f ON f.seg = r.seg"""
+)
+def backfilled_state(spark, sf_dir):
+    """The tape under a state function whose first state also holds before its first step."""
+    steps = q.backfilled(v.state_steps(spark, sf_dir), SEG, 0)
+    return q.tape(v.raw_tape(spark, sf_dir), steps).select("seg", "seq", "s", "e")
+
+
 @query(v.RAW_TAPE_SQL + " SELECT seg, seq, m + 2 * c AS e FROM raw_tape")
 def exciting_type_without_state(spark, sf_dir):
     t = q.tape(v.raw_tape(spark, sf_dir), v.state_steps(spark, sf_dir), kernel_state=False)

@@ -172,10 +172,33 @@ def test_registry_and_report(spark, tmp_path):
     gains = spark.createDataFrame([("M1", 0.1, 0.05, 0.2)], "model string, estimate double, low double, high double")
     text = c.report(inference.verdicts(gains), spark.createDataFrame([("shift", 0.0, None, 1)], "control string, mean double, sd double, runs int"))
     assert "| M1 | 0.1000 | 0.0500 | 0.2000 | supported |" in text and "| shift | 0.0000 | 0.0000 | 1 |" in text
+    ks = spark.createDataFrame([("M4", 0, 0.05, 0.02)], "model string, m int, ks double, null_ks double")
+    assert "| M4 | 0 | 0.0500 | 0.0200 |" in c.report(inference.verdicts(gains), spark.createDataFrame([], "control string, mean double, sd double, runs int"), ks)
     path = str(tmp_path / "cached")
     assert c.cached(spark, path, lambda: results).count() == 1 and c.cached(spark, path, lambda: 1 / 0).count() == 1
 
 
+def test_identity_and_facts(spark, tmp_path):
+    rows = fills(spark, [(0, "buy", 1.0), (100 * S, "buy", 2.0), (200 * S, "sell", 2.0)])
+    data = c.data_identity(rows, ["symbol"])
+    r = data.first()
+    assert (r.rows, r.first_ns, r.last_ns, r.train_end, r.val_end) == (3, 0, 200 * S, 140.0, 170.0) and len(r.fingerprint) == 16
+    run = c.Run(spark, str(tmp_path / "run"))
+    run.config({"seed": 1}, "abc", data)
+    assert run.verify({"seed": 1, "revision": "abc"}, data) is None
+    other = c.data_identity(rows.filter("capture_seq < 2"), ["symbol"])
+    assert "data" in run.verify({"seed": 1}, other)
+    orders = q.orders(rows, ["symbol"])
+    going = spark.createDataFrame([(0, True)], "symbol long, continuous boolean")
+    seeds, none = spark.createDataFrame([(0, 5)], "symbol long, last_seq long"), spark.createDataFrame([], "symbol long, last_seq long")
+    facts = lambda **more: a.eligibility(orders, going, ["symbol"], 100, 2, **more).first()
+    full = facts(snapshots=seeds, book=seeds.unionByName(seeds), fingerprints=data)
+    assert (full.eligible, full.snapshots, full.book_rows, full.fingerprint) == (True, 1, 2, r.fingerprint)
+    assert not facts(snapshots=none).eligible and facts().eligible
+    back = q.backfilled(spark.createDataFrame([(0, 50, 2), (0, 60, 1), (1, 0, 1)], "seg long, t_ns long, s int"), ["seg"], 0)
+    assert sorted(tuple(x) for x in back.collect()) == [(0, 0, 2), (0, 50, 2), (0, 60, 1), (1, 0, 1)]
+
+
 def test_baseline_blocks_and_extrapolation(spark):
     mu = [[0.1, 0.2], [0.3, 0.1], [0.4, 0.2], [0.2, 0.5]]  # two blocks of two states
     m = hawkes.model(mu, np.zeros((1, 2, 4)), [1.0], S, [10 * S])
