@@ -1,6 +1,8 @@
 """Chunks of updates give what one fold gives; adapters and checks of books."""
 
+import os
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from propago.operators import book
 from propago.operators import sequence as q
 from propago.operators import summary
+from propago.sources import capture as c
 
 
 def rows_of(df):
@@ -59,3 +62,25 @@ def test_failures_are_records(spark):
     out = summary.failures(summary.admission(facts, registry, 3600.0)).collect()
     assert {r.fingerprint: r.reasons for r in out} == {"f0": ["short span", "same data", "overlaps", "date taken"], "f2": ["not eligible"]}
     assert all(r.when is not None for r in out)
+
+
+def test_book_of_a_captured_day(spark, tmp_path):
+    side = "array<struct<price:decimal(38,18),quantity:decimal(38,18)>>"
+    folder = c.partition_path(str(tmp_path), "abc", "2024-01-01")
+    os.makedirs(folder)
+
+    def put(name, rows, kinds):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(str(tmp_path / name))
+        source = next(f for f in os.listdir(tmp_path / name) if f.endswith(".parquet"))
+        os.rename(tmp_path / name / source, f"{folder}/{name}.parquet")
+
+    d = lambda *levels: [(Decimal(p), Decimal(q_)) for p, q_ in levels]
+    put("snapshots-3", [(10, d((10, 1), (9, 0)), d((11, 2))), (20, d((1, 1)), d((2, 2)))], f"last_seq long, bids {side}, asks {side}")
+    updates = [(1, 100, 8, 9, d((99, 5)), d()), (2, 200, 11, 12, d((10, 0), (8, 3)), d()), (3, 300, 12, 12, d((99, 5)), d()), (4, 400, 13, 15, d(), d((11, 0), (12, 4)))]
+    put("book_updates-3", updates, f"capture_seq long, timestamp_ns long, first_seq long, last_seq long, bids {side}, asks {side}")
+    cache = str(tmp_path / "cache")
+    for _ in range(2):
+        out = c.load_book(spark, str(tmp_path), "abc", "2024-01-01", cache).orderBy("update").collect()
+        assert [(r.session, r.update, r.timestamp_ns, r.best_bid, r.best_ask) for r in out] == [(3, 2, 200, 8.0, 11.0), (3, 4, 400, 8.0, 12.0)]
+    assert len(os.listdir(cache)) == 1
+    assert rows_of(c.load_book(spark, str(tmp_path), "ABC", "2024-01-01")) == rows_of(c.load_book(spark, str(tmp_path), "abc", "2024-01-01", cache))
