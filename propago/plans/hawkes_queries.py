@@ -238,30 +238,6 @@ def count_decomposition(spark, sf_dir):
 CUT_NS = A_NS + 14 * DAY
 
 
-def _fitted(spark, sf_dir, name, t=None, steps=None):
-    config = next(c for c in ladder.standard(BETA) if c.name == name)
-    return ladder.fit(t or tape(spark, sf_dir), steps or v.state_steps(spark, sf_dir), config, SEG, (K, S, 4), A_NS, CUT_NS, HOUR, (A_NS + 7 * DAY,), tolerance=1e-6)
-
-
-@query()
-def model_ladder(spark, sf_dir):
-    """All configurations, fitted on the first part to convergence with two baseline blocks, scored on it and on the validation part."""
-    segments = {"train": (A_NS, CUT_NS), "val": (CUT_NS, B_NS)}
-    rows = ladder.run(tape(spark, sf_dir), v.state_steps(spark, sf_dir), ladder.standard(BETA), SEG, (K, S, 4), (A_NS, CUT_NS), segments, HOUR, (A_NS + 7 * DAY,), "val", 1e-6)
-    kinds = "model string, train_nll double, val_nll double, ks0 double, ks1 double, branching double"
-    return spark.createDataFrame([(r["model"], float(r["train"]), float(r["val"]), r.get("ks0"), r.get("ks1"), r["branching"]) for r in rows], kinds)
-
-
-@query()
-def ladder_gains(spark, sf_dir):
-    """What fitted marks gain in the kernel on the validation part, and what marks shuffled before a refit gain."""
-    t = tape(spark, sf_dir)
-    plain, marked = _fitted(spark, sf_dir, "hawkes"), _fitted(spark, sf_dir, "hawkes marks")
-    shuffled = _fitted(spark, sf_dir, "hawkes marks", ladder.with_shuffled_marks(t, SEG, [CUT_NS], 1))
-    out = [ladder.gain(plain, f, SEG, CUT_NS, B_NS, DAY).withColumn("model", F.lit(name)) for name, f in (("marks", marked), ("marks shuffled", shuffled))]
-    return out[0].unionByName(out[1])
-
-
 # The ladder of named models, its controls and verdicts, over one shared excitation
 
 SLOW, DENSE = (*HALF_LIVES, 480.0), (3.0, 6.0, 12.0, 24.0, 48.0, 120.0)
@@ -340,6 +316,38 @@ def _control_specs():
     return [n["M1"], *(n["M2"].of(f"marks {seed}") for seed in SHUFFLES), *(n[m].of(f"states {x:.3f}") for x in SHIFTS for m in ("M4", "M4nok"))]
 
 
+@query()
+def model_ladder(spark, sf_dir):
+    """All named models, fitted on the first part over one excitation, scored on it and on the validation part; the KS
+    distances of their residuals there, and the largest branching of a type."""
+    specs = list(named().values())
+    shared = shared_rows(spark, sf_dir, specs, STARTS)
+    results = fits.fit_all(shared, specs, A_NS, CUT_NS, tolerance=1e-6)
+    trained = shared.tape.filter((F.col("t_ns") >= A_NS) & (F.col("t_ns") < CUT_NS)).count()
+    scores = fits.block_scores(shared, list(results.values()), CUT_NS, B_NS, DAY).groupBy(F.col("name").alias("model")).agg((-F.sum("loglik") / F.sum("events")).alias("val_nll"))
+    rows = None
+    for s in specs:
+        seen, kicked, steps = shared.rows(s)
+        own = h.rescaled_residuals(kicked, q.split_intervals(seen_with_edges(seen), steps, ["key", *SEG], B_NS), results[s.name].model, ["key", *SEG], CUT_NS, B_NS)
+        own = own.select(F.lit(s.name).alias("model"), "m", "residual")
+        rows = own if rows is None else rows.unionByName(own)
+    ks = a.ks_exponential(cut(rows), ["model", "m"], "residual", large=True).groupBy("model").pivot("m", list(range(K))).agg(F.first("ks"))
+    facts = [(name, -r.trace[-1] / trained, float(r.model.branching().sum(axis=0).max()), len(r.trace)) for name, r in results.items()]
+    told = spark.createDataFrame(facts, "model string, train_nll double, branching double, passes int")
+    return told.join(scores, "model").join(ks.select("model", *(F.col(str(k)).alias(f"ks{k}") for k in range(K))), "model", "left")
+
+
+@query()
+def ladder_gains(spark, sf_dir):
+    """What fitted marks gain in the kernel on the validation part, and what marks shuffled before a refit gain."""
+    n = named()
+    specs = [n["M1"], n["M2"], n["M2"].of("marks 1")]
+    shared = shared_rows(spark, sf_dir, specs, STARTS, SHUFFLES[:1])
+    results = fits.fit_all(shared, specs, A_NS, CUT_NS, tolerance=1e-6)
+    scores = cut(fits.block_scores(shared, list(results.values()), CUT_NS, B_NS, DAY))
+    return inference.verdicts(inference.block_bootstrap(cut(_gains(scores, [("M2", "M1"), ("M2 marks 1", "M1")])), ["model"]))
+
+
 @query()
 def refitted_controls(spark, sf_dir):
     """Three shuffles of marks and five moves of states, each refitted, in one batch of fits: gains, mean and deviation."""
