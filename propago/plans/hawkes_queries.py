@@ -457,7 +457,7 @@ def free_decays(spark, sf_dir):
     """One kernel a pair of types with its own decay rate, fitted to all series: rates, half-lives and branching."""
     t = tape(spark, sf_dir).withColumns({"e": F.col("m"), "s": F.lit(0)})
     flat = h.state_pieces(v.state_steps(spark, sf_dir).withColumn("s", F.lit(0)), t, SEG, A_NS, B_NS)
-    mu, alpha, beta, value = fits.fit_free(t, flat, (1, K, K), SEG, A_NS, B_NS, HOUR, rates((3.0, 24.0, 120.0)), tolerance=1e-6, slack=1e-2)
+    mu, alpha, beta, value = fits.fit_free(t, flat, (1, K, K), SEG, A_NS, B_NS, HOUR, rates((6.0, 72.0)), tolerance=1e-5, slack=2e-2)
     rows = [(i, j, float(mu[0, i]), float(alpha[i, j]), float(beta[i, j]), float(np.log(2) / beta[i, j]), float(alpha[i, j] / beta[i, j]), value) for i in range(K) for j in range(K)]
     return spark.createDataFrame(rows, "m int, e int, mu double, alpha double, beta double, half_life double, branching double, loglik double")
 
