@@ -107,11 +107,11 @@ def _recursion(t: np.ndarray, e: np.ndarray, beta: np.ndarray, n_exciting: int,
     return out.reshape(n, -1)
 
 
-#: The time chunk of a series that one task takes, unless said otherwise.
-CHUNK_NS = 86_400_000_000_000
+#: The time chunk of a series for running sums, unless said otherwise.
+CHUNK_NS = 30 * 86_400_000_000_000
 
 
-def excitation(tape: DataFrame, by: list[str], beta, n_exciting: int, unit_ns: int, chunk_ns: int | None = CHUNK_NS) -> DataFrame:
+def excitation(tape: DataFrame, by: list[str], beta, n_exciting: int, unit_ns: int, chunk_ns: int | None = None) -> DataFrame:
     """Append ``R`` (array of scale-major doubles): the decayed counts of earlier events at each event.
 
     A predecessor at the same time counts in full. A series is cut into time chunks that run in parallel: each chunk's

@@ -30,8 +30,8 @@ book AS (SELECT symbol, update, best_bid, best_ask, (best_bid + best_ask) / 2 AS
 )
 
 
-#: Updates of a symbol in a chunk on the test tables, whose symbols have some hundreds.
-CHUNK = 200
+#: Updates of a symbol in a chunk; the symbols of the test tables have fewer.
+CHUNK = 4096
 
 
 def states(spark, sf_dir, top=False):

@@ -49,7 +49,7 @@ areas AS (SELECT b.seg, b.k AS m, base + coalesce(kick, 0) AS compensator FROM b
 )
 
 
-def excited(spark, sf_dir, chunk_ns=5 * DAY):
+def excited(spark, sf_dir, chunk_ns=None):
     return h.excitation(tape(spark, sf_dir), SEG, BETA, J, HOUR, chunk_ns)
 
 
@@ -268,7 +268,7 @@ def shared_rows(spark, sf_dir, specs, starts, seeds=(), shares=(), split=CUT_NS,
     """The rows that fits and scores share: one excitation over all tapes and scales that the models need."""
     tapes, steps = fits.control_tapes(tape(spark, sf_dir), v.state_steps(spark, sf_dir), SEG, [split], seeds, shares)
     scales = {b for s in specs for b in (s.scales or BETA[:1])}
-    return fits.share(tapes, steps, SEG, scales, K, S, 4, HOUR, end, tuple(starts), 5 * DAY)
+    return fits.share(tapes, steps, SEG, scales, K, S, 4, HOUR, end, tuple(starts))
 
 
 def comparators(spark, sf_dir, a_ns, b_ns, starts, end=B_NS):
@@ -413,7 +413,7 @@ def jittered_diagnostics(spark, sf_dir):
     moved = q.jitter(t, SEG, HOUR, draw).withColumn("t_ns", F.col("jittered_ns")).select(*t.columns)
     out = None
     for name, own in (("raw", t), ("jittered", cut(moved))):
-        kicked = h.excitation(own, SEG, BETA, J, HOUR, 5 * DAY)
+        kicked = h.excitation(own, SEG, BETA, J, HOUR)
         found = h.rescaled_residuals(kicked, q.split_intervals(own, v.state_steps(spark, sf_dir), SEG, END_NS), MODEL, SEG)
         rows = ladder.diagnostics(found, own, SEG, START_NS, 6 * HOUR, errors=True).withColumn("times", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
@@ -439,7 +439,7 @@ def mark_sensitivity(spark, sf_dir):
     width = max(DAY, (b - c) // 12)
     starts = [*range(c, b, width), b]
     beta = rates((7 * 24.0, 60 * 24.0))
-    shared = fits.share(tapes, steps, SYMBOL, beta, 2, 1, 4, HOUR, b, tuple(starts), 120 * DAY)
+    shared = fits.share(tapes, steps, SYMBOL, beta, 2, 1, 4, HOUR, b, tuple(starts))
     specs = [fits.Spec(f"{kind} {name}", beta, name, False, False, kind == "marked") for name in MARK_RULES for kind in ("plain", "marked")]
     results = fits.fit_all(shared, specs, a, c, tolerance=1e-6)
     scores = cut(fits.block_scores(shared, list(results.values()), c, b, width))
