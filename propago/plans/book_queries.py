@@ -30,8 +30,8 @@ book AS (SELECT symbol, update, best_bid, best_ask, (best_bid + best_ask) / 2 AS
 )
 
 
-#: Updates of a symbol in a chunk; the symbols of the test tables have fewer.
-CHUNK = 4096
+#: Many short series: a symbol is one chunk (see the operator for long ones).
+CHUNK = None
 
 
 def states(spark, sf_dir, top=False):
