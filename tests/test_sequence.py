@@ -226,3 +226,26 @@ def test_ranks_by_ranges(spark):
     assert near(of(summary.exponential_quantiles(df, ["g"], "x")), of(summary.exponential_quantiles(df, ["g"], "x", large=True)))
     lags = (1, 2, 5)
     assert near(of(summary.autocorrelation(df, ["g"], "x", ["k"], lags)), of(summary.autocorrelation(df, ["g"], "x", ["k"], lags, block=7)))
+
+
+def test_excitation_streams_many_short_and_few_long_series(spark):
+    """Batches of some rows: series side by side and one by one, handed on between batches and time chunks, equal plain sums."""
+    r, hour = np.random.default_rng(3), 10**9
+    rows = [(g, n, int(t), int(r.integers(-1, 3))) for g, size in enumerate([700, 1, 3, *[9] * 40]) for n, t in enumerate(np.sort(r.integers(-50, 200, size)) * hour)]
+    tape = spark.createDataFrame(rows, "seg long, seq long, t_ns long, e int").withColumn("seg", F.when(F.col("seg") == 5, None).otherwise(F.col("seg")))
+    expected = {}
+    for g in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == g]
+        for _, n, t, _ in own:
+            sums = [[sum(np.exp(-b * (t - y[2]) / hour) for y in own[:n] if y[3] == j) for j in range(3)] for b in (0.02, 3.0)]
+            expected[None if g == 5 else g, n] = np.ravel(sums)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (7, 100, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for chunk in (None, 17 * hour):
+                found = {(x.seg, x.seq): x.R for x in hawkes.excitation(tape, ["seg"], (0.02, 3.0), 3, hour, chunk).collect()}
+                assert found.keys() == expected.keys()
+                assert all(np.allclose(found[x], expected[x], atol=1e-9) for x in found)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
