@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies: five-word shingles, similarity 0.8 or more."""
+    """The document with the smallest id of each component of near copies: SimHashes of at most 4 differing bits, or five-word shingles of similarity 0.8 or more."""
     return nearcopies.representatives(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near copies of the pipeline: exact Jaccard similarity of five-word shingles, found by a prefix filter that loses none."""
+"""Near copies of the pipeline: SimHash by the pigeonring filter, completed by exact Jaccard similarity of five-word shingles, found by a prefix filter that loses none."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField
 
+from propago.llm import simhash
 from propago.llm.arrow import append_columns, list_of
 from propago.llm.components import components
 from propago.session import cut, written
@@ -296,18 +297,27 @@ def links(nodes: DataFrame, texts: DataFrame, small: int = SMALL, block: int = B
     return first.unionByName(_verified(texts, paired)).unionByName(grouped)
 
 
+def simhash_links(marked: DataFrame) -> DataFrame:
+    """(a, b): links from the smallest node of each component of fingerprints to its others. ``marked`` has node and fp."""
+    each = cut(marked.select("node", "fp").distinct())
+    found = components(simhash.links(cut(each.select("fp").distinct())))
+    named = cut(each.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.col("node").alias("b"), F.coalesce("root", "fp").alias("root")))
+    return named.join(cut(named.groupBy("root").agg(F.min("b").alias("a"))), "root").filter("a <> b").select("a", "b")
+
+
 def representatives(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest key of each component of near copies, whole; a repeated key once. Columns as in ``df``.
 
-    Near copies have a Jaccard similarity of at least 0.8 of their sets of five-word shingles (words of lower-cased
+    Near copies have SimHash fingerprints that differ in at most 4 bits (see ``simhash``), or a Jaccard similarity of at least 0.8 of their sets of five-word shingles (words of lower-cased
     bytes other than ASCII white space); texts without words are near copies of each other. Of a component whose keys
     are all null one row stays. Shingles are compared as 64-bit hashes.
     """
     texts = df.select(F.col(f"`{text_col}`").cast("string").alias("__t"))
     common = common_shingles(texts, df.count())
-    marked = cut(_marked(df.select(F.col(f"`{key}`").cast("long").alias("__key"), F.col(f"`{text_col}`").cast("string").alias("__t"))).drop("__t"))
+    keyed = df.select(F.col(f"`{key}`").cast("long").alias("__key"), F.col(f"`{text_col}`").cast("string").alias("__t"))
+    marked = cut(_marked(simhash.with_fingerprints(keyed, "__t")).drop("__t"))
     nodes = cut(marked.groupBy("node").agg(F.min("__key").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    found = components(links(nodes, texts, tokens=_tokens(texts, common)))
+    found = components(simhash_links(marked).unionByName(links(nodes, texts, tokens=_tokens(texts, common))))
     grouped = nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = cut(grouped.groupBy("root").agg(F.min("least").alias("__kept")))
     # Few keys go: as a table of a known size they are shipped to the texts where they are small, and joined where not.

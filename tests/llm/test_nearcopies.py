@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
-from propago.llm import nearcopies
+from propago.llm import nearcopies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -165,3 +165,18 @@ def test_blocks_of_a_group_bring_few_sets_together(spark):
     ids = {x.node: x.doc_id for x in nodes.collect()}
     out = nearcopies.links(nodes.drop("doc_id"), df.select(F.col("text").alias("__t")), small=4, block=16).collect()
     assert {tuple(sorted((ids[x.a], ids[x.b]))) for x in out} == {(3, 120), (77, 121)}
+
+
+def test_near_copies_are_of_simhashes_too_and_chains_pass_through_both(spark):
+    """Repeats decide a SimHash but not a set of shingles: 0 and 1 have one fingerprint, 1 and 2 nearly one set of shingles."""
+    tail = lambda x: " ".join(f"{x}{k}" for k in range(20))
+    loop = "one two three four five " * 100
+    far = "one two three four five " * 2 + tail("y")
+    texts = [loop + tail("x"), loop + tail("y"), far, tail("z")]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    fps = [simhash.fingerprint_bits(t.encode()) for t in texts]
+    sets = [set(nearcopies.shingles(t.encode()).tolist()) for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert (fps[0] ^ fps[1]).bit_count() <= 4 < min((fps[2] ^ fps[k]).bit_count() for k in (0, 1, 3))
+    assert like(0, 1) < 0.8 <= like(1, 2) and like(0, 2) < 0.8
+    assert sorted(r.doc_id for r in nearcopies.representatives(df).collect()) == [0, 3]
