@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from compare import SF
 from pyspark.sql import functions as F
 
 from propago.operators import book, hawkes, inference
@@ -12,6 +13,7 @@ from propago.operators import neural as n
 from propago.operators import sequence as q
 from propago.operators import summary as a
 from propago.sources import capture as c
+from propago.sources import views as v
 
 S = 1_000_000_000
 T = [0, 2, 5, 10, 10, 10.4, 11, 15, 20, 30]
@@ -249,3 +251,16 @@ def test_excitation_streams_many_short_and_few_long_series(spark):
                 assert all(np.allclose(found[x], expected[x], atol=1e-9) for x in found)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_large_tables_are_dealt_to_more_tasks_by_series(spark, monkeypatch):
+    """A task gets TASK_ROWS rows on average at most, whatever the session's number of partitions, in one shuffle."""
+    from propago import session
+
+    plain = v.fills(spark, SF).count()
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    fills = v.fills(spark, SF)
+    assert fills.rdd.getNumPartitions() >= plain / 500 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = q.collapse(fills, ["symbol"])
+    assert orders.rdd.getNumPartitions() == fills.rdd.getNumPartitions()
+    assert fills.count() == plain and orders.agg({"fills": "sum"}).first()[0] == plain
