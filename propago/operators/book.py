@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import itertools
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from propago.operators.hawkes import begins
+
 #: Levels a side that features look at.
 DEPTH = 10
 
@@ -27,52 +32,97 @@ def level_counts(updates: DataFrame, bids: str = "bids", asks: str = "asks") ->
     return updates.withColumn("levels", F.size(bids) + F.size(asks))
 
 
-def _imbalance(bid: list, ask: list, depth: int) -> float | None:
-    b, a = sum(q for _, q in bid[:depth]), sum(q for _, q in ask[:depth])
-    return (b - a) / (b + a) if b + a else None
-
-
-class _Side:
-    """One side's live levels, its prices kept in order of quality."""
-
-    def __init__(self, sign: int) -> None:
-        self.sign, self.quantity, self.order = sign, {}, []
-
-    def put(self, price: float, quantity: float) -> None:
-        at = bisect_left(self.order, self.sign * price)
-        there = at < len(self.order) and self.order[at] == self.sign * price
-        if quantity > 0:
-            self.quantity[price] = quantity
-            if not there:
-                self.order.insert(at, self.sign * price)
-        elif there:
-            del self.order[at], self.quantity[price]
-
-    def top(self) -> list[tuple[float, float]]:
-        return [(p, self.quantity[p]) for p in (self.sign * x for x in self.order[:DEPTH])]
+class Side:
+    """One side's live levels: prices times its sign in order of quality, and their quantities."""
+
+    def __init__(self, sign: int, prices=(), quantities=()) -> None:
+        self.sign = sign
+        held = sign * np.asarray(prices, float)
+        order = np.argsort(held, kind="stable")
+        self.price, self.quantity = held[order], np.asarray(quantities, float)[order]
+
+    def fold(self, n: int, at: np.ndarray, prices: np.ndarray, quantities: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Apply rows (their update among ``n``, in order, price, quantity), and give after every update the number of live
+        levels, and the prices and quantities (n, DEPTH) of the best, 0 where there are fewer.
+
+        Updates side by side as a matrix of the levels that they touch. Of the others, which do not change, only the best
+        DEPTH can be among the best.
+        """
+        touched, code = np.unique(self.sign * prices, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.price, touched), max(len(self.price) - 1, 0))
+        there = self.price[place] == touched if len(self.price) else np.zeros(len(touched), bool)
+        still = np.ones(len(self.price), bool)
+        still[place[there]] = False
+        rest, held = self.price[still], self.quantity[still]
+        columns = np.concatenate((touched, rest[:DEPTH]))
+        order = np.argsort(columns, kind="stable")
+        rank = np.empty(len(order), int)
+        rank[order] = np.arange(len(order))
+        values, since = np.zeros((n + 1, len(columns))), np.zeros((n + 1, len(columns)), np.int32)
+        values[0, rank[: len(touched)][there]] = self.quantity[place[there]]
+        values[0, rank[len(touched) :]] = held[:DEPTH]
+        where = at + 1, rank[code]
+        values[where], since[where] = quantities, where[0]
+        filled = np.take_along_axis(values, np.maximum.accumulate(since, axis=0), axis=0)
+        ended = filled[-1, rank[: len(touched)]]
+        price, quantity = np.concatenate((rest, touched[ended > 0])), np.concatenate((held, ended[ended > 0]))
+        again = np.argsort(price, kind="stable")
+        self.price, self.quantity = price[again], quantity[again]
+        live = filled[1:] > 0
+        count = np.cumsum(live, axis=1)
+        row, column = np.nonzero(live & (count <= DEPTH))
+        best, depth = np.zeros((n, DEPTH)), np.zeros((n, DEPTH))
+        to = row, count[row, column] - 1
+        best[to], depth[to] = self.sign * columns[order][column], filled[1:][row, column]
+        return (count[:, -1] if len(columns) else np.zeros(n, int)) + len(rest[DEPTH:]), best, depth
 
 
 class Book:
-    """Both sides of one series' book, and its features as FEATURES names them."""
-
-    def __init__(self) -> None:
-        self.bid, self.ask = _Side(-1), _Side(1)
-
-    def put(self, side: str, price: float, quantity: float) -> None:
-        (self.bid if side == "bid" else self.ask).put(price, quantity)
-
-    def tops(self) -> tuple[list, list]:
-        return self.bid.top(), self.ask.top()
-
-    def features(self, tops: tuple[list, list]) -> tuple:
-        bid, ask = tops
-        b, a = (bid[0][0] if bid else None), (ask[0][0] if ask else None)
-        both = b is not None and a is not None
-        depth = float(sum(q for _, q in bid)), float(sum(q for _, q in ask))
-        return b, a, (a + b) / 2 if both else None, a - b if both else None, _imbalance(bid, ask, 1), _imbalance(bid, ask, 5), *depth, len(self.bid.order), len(self.ask.order), both and b >= a
+    """Both sides of one series' book."""
+
+    def __init__(self, bid: Side | None = None, ask: Side | None = None) -> None:
+        self.bid, self.ask = bid or Side(-1), ask or Side(1)
+
+    def fold(self, at: np.ndarray, bid: np.ndarray, prices: np.ndarray, quantities: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Apply rows in order, ``at`` being their updates from 0 on; for each side what ``Side.fold`` gives."""
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        parts, begin = [], 0
+        while begin < len(at):  # whole updates of about TILE rows
+            end = int(first[min(np.searchsorted(first, begin + TILE, "left"), len(first) - 1)]) if begin + TILE < len(at) else len(at)
+            end = end if end > begin else len(at)
+            own, low = slice(begin, end), at[begin]
+            n, mine = int(at[end - 1] - low) + 1, bid[own]
+            parts.append([side.fold(n, at[own][which] - low, prices[own][which], quantities[own][which]) for side, which in ((self.bid, mine), (self.ask, ~mine))])
+            begin = end
+        return [tuple(np.concatenate([x[k][i] for x in parts]) for i in range(3)) for k in (0, 1)]
+
+
+def features(bid: tuple[np.ndarray, ...], ask: tuple[np.ndarray, ...]) -> list[pa.Array]:
+    """The columns of FEATURES from both sides' ``Side.fold``."""
+    (n, price, b), (m, other, a) = bid, ask
+    none, both = (n == 0, m == 0), (n > 0) & (m > 0)
+    of = lambda x, known: pa.array(x, mask=~known)
+    b, a = np.cumsum(b, axis=1), np.cumsum(a, axis=1)
+    gap = lambda k: of((b[:, k] - a[:, k]) / np.where(b[:, k] + a[:, k] == 0, 1, b[:, k] + a[:, k]), b[:, k] + a[:, k] != 0)
+    first, least = price[:, 0], other[:, 0]
+    return [
+        of(first, ~none[0]), of(least, ~none[1]), of((least + first) / 2, both), of(least - first, both), gap(0), gap(4),
+        pa.array(b[:, -1]), pa.array(a[:, -1]), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), pa.array(both & (first >= least)),
+    ]
+
+
+def _lists(side: tuple[np.ndarray, ...]) -> pa.Array:
+    """The best levels after every update, as lists of (price, quantity)."""
+    n, price, quantity = side
+    sizes = np.minimum(n, DEPTH)
+    kept = np.arange(DEPTH) < sizes[:, None]
+    level = pa.StructArray.from_arrays([pa.array(price[kept]), pa.array(quantity[kept])], names=["price", "quantity"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), level)
 
 
 _LEVELS = "array<struct<price:double,quantity:double>>"
+#: Rows of a series that are applied side by side.
+TILE = 512
 #: Updates of a series that one task replays, from the levels that are live at the first of them.
 CHUNK = 4096
 
@@ -97,7 +147,7 @@ def replay(levels: DataFrame, by: list[str], update: str = "update", snapshot: D
     A positive quantity sets a level, zero deletes it; the last row of an update wins. ``snapshot`` rows (by, side,
     price, quantity) are the state before the first update. A series is cut into chunks of ``chunk`` update numbers,
     which tasks replay in parallel, each from the levels that are live where it begins (see ``_seeds``); None: a series
-    is one chunk. An empty side gives null prices; ``crossed`` marks states whose best bid is not below the ask. With
+    is one chunk. Sorted series pass through tasks as a stream; a task holds live levels and a batch. An empty side gives null prices; ``crossed`` marks states whose best bid is not below the ask. With
     ``top``, ``bids`` and ``asks`` hold the best DEPTH levels after every update.
     """
     zero = levels.select(*by, update, "pos", "side", "price", "quantity")
@@ -113,42 +163,59 @@ def replay(levels: DataFrame, by: list[str], update: str = "update", snapshot: D
         rows = rows.join(firsts, by).withColumn("__chunk", F.greatest("__chunk", "__before")).drop("__before")
         seeds = _seeds(rows, by, update).withColumns({update: F.lit(None).cast("long"), "pos": F.lit(-1).cast("long")})
         zero = rows.filter(F.col(update).isNotNull()).unionByName(seeds)
-    names = FEATURE_NAMES
-    kinds = [pa.int64() if f.endswith("long") else pa.bool_() if f.endswith("boolean") else pa.float64() for f in FEATURES.split(", ")]
-    level = pa.list_(pa.struct([("price", pa.float64()), ("quantity", pa.float64())]))
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(update, "ascending"), ("pos", "ascending")])
-        ids = table.column(update).to_pylist()
-        gone = ids.count(None)  # rows of the state before, which sorting puts last, come first
-        turn = [*range(len(ids) - gone, len(ids)), *range(len(ids) - gone)]
-        ids = [ids[k] for k in turn]
-        sides, prices, quantities = ([column[k] for k in turn] for column in (table.column(c).to_pylist() for c in ("side", "price", "quantity")))
-        book, out, tops, kept = Book(), [], [], []
-        for k, u in enumerate(ids):
-            book.put(sides[k], prices[k], quantities[k])
-            if u is None or (k + 1 < len(ids) and ids[k + 1] == u):
+    names = [*keys, update, "side", "price", "quantity"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, book, kept = None, Book(), None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
                 continue
-            best = book.tops()
-            out.append(book.features(best))
-            kept.append(u)
-            if top:
-                tops.append([[{"price": p, "quantity": q} for p, q in side] for side in best])
-        first = pa.array([0] * len(kept), pa.int64())
-        arrays = [*(table.column(c).take(first) for c in by), pa.array(kept, pa.int64()), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds))]
-        if top:
-            arrays += [pa.array([t[i] for t in tops], level) for i in (0, 1)]
-        return pa.Table.from_arrays(arrays, names=[*by, update, *names, *(("bids", "asks") if top else ())])
+            if batch is None:
+                if kept is None:
+                    return
+                rows, kept = kept, None
+            else:
+                rows = pa.concat_batches([kept, batch]) if kept is not None else batch
+                kept = None
+            if rows.column("price").null_count or rows.column("quantity").null_count:
+                raise ValueError("a level without price or quantity")
+            own = [rows.column(c) for c in keys]
+            new = begins(own, last)
+            known = rows.column(update).is_valid().to_numpy(zero_copy_only=False)
+            number = rows.column(update).fill_null(0).to_numpy()
+            differ = np.diff(number, prepend=0) != 0
+            differ[0] = True
+            differ |= new | np.diff(known, prepend=True)
+            if batch is not None:  # the last update may go on in the next batch
+                end = int(np.flatnonzero(differ)[-1])
+                kept = rows.slice(end)
+                if not end:
+                    continue
+                rows, new, known, differ = rows.slice(0, end), new[:end], known[:end], differ[:end]
+            at, bid = np.cumsum(differ) - 1, pc.equal(rows.column("side"), "bid").fill_null(False).to_numpy(zero_copy_only=False)
+            prices, quantities = rows.column("price").to_numpy(), rows.column("quantity").to_numpy()
+            found = []
+            for a, b in itertools.pairwise(np.unique([0, *np.flatnonzero(new), len(at)]).tolist()):
+                if new[a]:
+                    book = Book()
+                found.append(book.fold(at[a:b] - at[a], bid[a:b], prices[a:b], quantities[a:b]))
+            last = tuple(rows.column(c)[-1].as_py() for c in keys)
+            sides = [tuple(np.concatenate([x[k][i] for x in found]) for i in range(3)) for k in (0, 1)]
+            told = np.flatnonzero(differ)
+            real = known[told]
+            sides = [tuple(x[real] for x in side) for side in sides]
+            first = pa.array(told[real])
+            arrays = [*(rows.column(c).take(first) for c in (*by, update)), *features(*sides), *(map(_lists, sides) if top else ())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*by, update, *FEATURE_NAMES, *(("bids", "asks") if top else ())])
 
     schema = ", ".join([*(f"{c} {levels.schema[c].dataType.simpleString()}" for c in by), f"{update} long", FEATURES, *((f"bids {_LEVELS}", f"asks {_LEVELS}") if top else ())])
-    return zero.groupBy(*keys).applyInArrow(fold, schema)
+    return zero.repartition(*keys).sortWithinPartitions(*keys, update, "pos").select(*names).mapInArrow(run, schema)
 
 
 def top_levels(states: DataFrame, by: list[str], update: str = "update") -> DataFrame:
     """(by, update, side, rank, price, quantity) of the best DEPTH levels after every update, from ``replay(top=True)``."""
-    side = lambda name, c: states.select(*by, update, F.lit(name).alias("side"), F.posexplode(c).alias("rank", "l"))
-    both = side("bid", "bids").unionByName(side("ask", "asks"))
-    return both.select(*by, update, "side", (F.col("rank") + 1).alias("rank"), "l.price", "l.quantity")
+    side = lambda name, c: F.transform(c, lambda x, k: F.struct(F.lit(name).alias("side"), (k + 1).alias("rank"), x["price"].alias("price"), x["quantity"].alias("quantity")))
+    return states.select(*by, update, F.inline(F.concat(side("bid", "bids"), side("ask", "asks"))))
 
 
 def live_levels(levels: DataFrame, by: list[str], update: str = "update") -> DataFrame:

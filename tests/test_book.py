@@ -30,6 +30,31 @@ def test_chunks_equal_one_fold(spark, chunk):
     assert book.replay(levels.filter("false"), ["symbol"], chunk=chunk).count() == 0
 
 
+def test_tiles_equal_a_dictionary_of_levels(spark):
+    """Series of many tiles and of few rows, over small Arrow batches, against one plain fold; one replay in the plan."""
+    r = random.Random(7)
+    rows = [(g, u, k, r.choice(["bid", "ask"]), float(r.randint(1, 400)), r.choice([0.0, 1.0, 2.5])) for g, n in ((0, 900), (1, 3), (2, 40)) for u in range(n) for k in range(r.randint(1, 3))]
+    levels = spark.createDataFrame(rows, "symbol long, update long, pos long, side string, price double, quantity double")
+    want, held = set(), {}
+    for n, (g, u, _, side, price, quantity) in enumerate(rows):
+        held.setdefault(g, {})[side, price] = quantity
+        if n + 1 < len(rows) and rows[n + 1][:2] == (g, u):
+            continue
+        for name, sign in (("bid", -1), ("ask", 1)):
+            live = sorted((sign * p, q) for (s, p), q in held[g].items() if s == name and q > 0)[: book.DEPTH]
+            want |= {(g, u, name, k + 1, sign * p, q) for k, (p, q) in enumerate(live)}
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        tops = book.top_levels(book.replay(levels, ["symbol"], top=True, chunk=None), ["symbol"])
+        found = [tuple(x) for x in tops.collect()]
+    finally:
+        spark.conf.set(size, before)
+    assert len(found) == len(want) and set(found) == want
+    assert tops._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_updates_with_arrays(spark):
     kinds = "symbol long, update long, bids array<struct<price:decimal(38,18),quantity:decimal(38,18)>>, asks array<struct<price:decimal(38,18),quantity:decimal(38,18)>>"
     updates = spark.sql("SELECT 0L AS symbol, 1L AS update, array(named_struct('price', 10.0, 'quantity', 2.0), named_struct('price', 9.0, 'quantity', 1.0)) AS bids, array(named_struct('price', 11.0, 'quantity', 3.0)) AS asks")
