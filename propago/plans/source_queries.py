@@ -85,6 +85,6 @@ def streamed_decayed_counts(spark, sf_dir):
     at = c.scratch(spark, "stream")
     # A series is in one file, in order, so that its events come in order whatever the order of files.
     tape(spark, sf_dir).repartition("seg").sortWithinPartitions("seg", "t_ns", "seq").write.parquet(f"{at}/in")
-    stream = s.read_tape(spark, f"{at}/in", "seg long, seq long, t_ns long, m int, c int, s int, e int")
+    stream = s.read_tape(spark, f"{at}/in", "seg long, seq long, t_ns long, m int, c int, s int, e int", 10)
     out = s.run_once(s.decayed_counts(stream, [0.05], 24, HOUR), f"{at}/out", f"{at}/state")
     return out.select("seg", "seq", F.round(F.aggregate("R", F.lit(0.0), lambda x, y: x + y), 6).alias("total"))

@@ -39,3 +39,16 @@ def test_book_goes_on_across_batches(spark, tmp_path):
     want = {(r.symbol, r.update): r for r in book.replay(spark.createDataFrame(fresh, kinds), ["symbol"]).collect()}
     assert sorted(out) == sorted(want) and {k: r.gaps for k, r in out.items()} == {(0, 1): 0, (0, 2): 0, (0, 4): 0, (1, 1): 0, (1, 2): 1, (1, 3): 1}
     assert all([out[k][c] for c in book.FEATURE_NAMES] == [want[k][c] for c in book.FEATURE_NAMES] for k in want)
+
+
+def test_decayed_counts_go_on_across_batches_and_edges_excite_nothing(spark, tmp_path):
+    from propago.operators import hawkes as h
+
+    kinds = "seg long, seq long, t_ns long, m int, c int, s int, e int"
+    first, second = ([(g, k, k // 2 * 10**9, 0, 0, 0, (k + g) % 4 - 1) for k in ks for g in (0, 1)] for ks in (range(6), range(6, 9)))
+    for part in (first, second):
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = s.run_once(s.decayed_counts(s.read_tape(spark, str(tmp_path / "in"), kinds), [0.5, 2.0], 3, 10**9), str(tmp_path / "out"), str(tmp_path / "state"))
+    found = {(r.seg, r.seq): [round(x, 9) for x in r.R] for r in out.collect()}
+    want = {(r.seg, r.seq): [round(x, 9) for x in r.R] for r in h.excitation(spark.createDataFrame(first + second, kinds), ["seg"], (0.5, 2.0), 3, 10**9).collect()}
+    assert found == want and len(found) == 18
