@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propago.session import cut
+from propago.session import written
 from propago.sources.views import digitize
 
 
@@ -67,7 +67,7 @@ def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
     Rows are dealt by ranges of (by, order); a window ranks those of a range, and the few counts by range are summed up.
     """
-    dealt = cut(df.repartitionByRange(*(F.col(c) for c in (*by, *order))).withColumn("__part", F.spark_partition_id()))
+    dealt = written(df.repartitionByRange(*(F.col(c) for c in (*by, *order))).withColumn("__part", F.spark_partition_id()))
     counts = dealt.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__size"))
     upto = Window.partitionBy(*by).orderBy("__part")
     before = counts.select(*by, "__part", (F.sum("__size").over(upto) - F.col("__size")).alias("__before"), F.sum("__size").over(Window.partitionBy(*by)).alias("n"))
@@ -75,9 +75,14 @@ def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return dealt.withColumn("__own", own).join(before, [*by, "__part"]).withColumn("rank", F.col("__own") + F.col("__before")).drop("__own", "__before", "__part")
 
 
-def ks_exponential(df: DataFrame, by: list[str], x: str, large: bool = False) -> DataFrame:
-    """Kolmogorov-Smirnov distance of each group's x to the unit exponential; ``large`` groups are ranked by many tasks."""
-    if large:
+def ks_exponential(df: DataFrame, by: list[str], x: str, large: bool = False, placed: DataFrame | None = None) -> DataFrame:
+    """Kolmogorov-Smirnov distance of each group's x to the unit exponential; ``large`` groups are ranked by many tasks.
+
+    ``placed`` are the rows as ``ranked`` gave them already.
+    """
+    if placed is not None:
+        pass
+    elif large:
         placed = ranked(df.select(*by, x), by, [x])
     else:
         placed = df.withColumns({"rank": F.row_number().over(Window.partitionBy(*by).orderBy(x)), "n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
@@ -110,10 +115,10 @@ def autocorrelation(df: DataFrame, by: list[str], x: str, order: list[str], lags
     return lagged.groupBy(*by).agg(*((F.sum(f"__l{h}") / F.nullif(F.sum(F.col("__x") * F.col("__x")), F.lit(0.0))).alias(f"acf{h}") for h in lags))
 
 
-def exponential_quantiles(df: DataFrame, by: list[str], x: str, probs=(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), large: bool = False) -> DataFrame:
+def exponential_quantiles(df: DataFrame, by: list[str], x: str, probs=(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), large: bool = False, placed: DataFrame | None = None) -> DataFrame:
     """Each group's quantiles, linearly interpolated, beside those of the unit exponential, one row a probability."""
-    if large:
-        each = ranked(df.select(*by, x), by, [x]).withColumn("p", F.explode(F.array(*map(F.lit, probs))))
+    if large or placed is not None:
+        each = (ranked(df.select(*by, x), by, [x]) if placed is None else placed).withColumn("p", F.explode(F.array(*map(F.lit, probs))))
         away = (F.col("n") - 1) * F.col("p") - (F.col("rank") - 1)
         weight = F.greatest(F.lit(0.0), 1 - F.abs(away))
         found = each.filter(F.abs(away) < 1).groupBy(*by, "p").agg(F.sum(F.col(x) * weight).alias("empirical"))
