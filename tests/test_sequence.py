@@ -264,3 +264,19 @@ def test_large_tables_are_dealt_to_more_tasks_by_series(spark, monkeypatch):
     orders = q.collapse(fills, ["symbol"])
     assert orders.rdd.getNumPartitions() == fills.rdd.getNumPartitions()
     assert fills.count() == plain and orders.agg({"fills": "sum"}).first()[0] == plain
+
+
+def test_tables_are_dealt_where_the_session_has_many_partitions(spark, monkeypatch):
+    """Adaptive execution does not merge what is dealt, however many partitions the session asks for."""
+    from propago import session
+
+    plain = v.fills(spark, SF).count()
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(plain))
+        orders = q.collapse(v.fills(spark, SF), ["symbol"])
+        assert orders.rdd.getNumPartitions() >= plain / 500
+        assert v.level_updates(spark, SF).rdd.getNumPartitions() >= plain / 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
