@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from propago.operators.hawkes import begins
+from propago.session import union
 
 #: Levels a side that features look at.
 DEPTH = 10
@@ -153,7 +154,7 @@ def replay(levels: DataFrame, by: list[str], update: str = "update", snapshot: D
     zero = levels.select(*by, update, "pos", "side", "price", "quantity")
     if snapshot is not None:
         first = snapshot.select(*by, F.lit(None).cast("long").alias(update), F.lit(-1).cast("long").alias("pos"), "side", "price", "quantity")
-        zero = zero.unionByName(first)
+        zero = union(zero, first)
     keys = by
     if chunk:
         keys = [*by, "__chunk"]
@@ -162,7 +163,7 @@ def replay(levels: DataFrame, by: list[str], update: str = "update", snapshot: D
         firsts = rows.filter(F.col(update).isNotNull()).groupBy(*by).agg((F.min("__chunk") - 1).alias("__before"))
         rows = rows.join(firsts, by).withColumn("__chunk", F.greatest("__chunk", "__before")).drop("__before")
         seeds = _seeds(rows, by, update).withColumns({update: F.lit(None).cast("long"), "pos": F.lit(-1).cast("long")})
-        zero = rows.filter(F.col(update).isNotNull()).unionByName(seeds)
+        zero = union(rows.filter(F.col(update).isNotNull()), seeds)
     names = [*keys, update, "side", "price", "quantity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
