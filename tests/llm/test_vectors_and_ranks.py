@@ -223,3 +223,14 @@ def test_negation_and_reports_have_a_reach():
     assert of("you idiot. " * 40) == {"insult at target": 40}  # no count is capped
     some = [[0] * len(toxicity.KINDS), [4 if k == "insult" else 0 for k in toxicity.KINDS]]
     assert toxicity._design(some)[1, 1:3].tolist() == [1.0, 2.0] and toxicity._design(some)[0].sum() == 1
+
+
+def test_sample_of_the_index_is_not_sent_by_every_task(spark, monkeypatch):
+    """The tasks together send few rows more than the sample has, and it is the same: the rows of smallest hash."""
+    monkeypatch.setattr(multiindex, "SAMPLE", 100)
+    rows = spark.range(20_000).selectExpr("id", "array(sin(id), cos(id), sin(id * 3)) AS v").repartition(8)
+    hashed = rows.select("v", F.xxhash64("v", "id").alias("h"))
+    lowest = multiindex._lowest(rows)
+    assert 100 <= lowest.count() < 150
+    assert lowest.orderBy("h", "v").limit(100).collect() == hashed.orderBy("h", "v").limit(100).collect()
+    assert multiindex._lowest(rows.limit(30)).count() == 30 and multiindex._lowest(rows.filter("false")).count() == 0
